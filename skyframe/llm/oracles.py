@@ -18,3 +18,8 @@ reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, both_
 comp AS (SELECT d, min(r) AS c FROM reach GROUP BY 1)
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.c AS component_id, documents.doc_id = comp.c AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON comp.d = documents.doc_id"""
+
+OP8 = f"""WITH d AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS common FROM d JOIN i USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, common, n AS item_shingles FROM c JOIN n USING (item_id) WHERE 100 * common >= 80 * n"""
