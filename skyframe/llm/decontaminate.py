@@ -27,6 +27,9 @@ from ._common import gram_hashes, mix, shingle_set, text_batches, word_hashes
 BASE = 16
 HASHES = 48
 PART = 1_000_000
+#: A table of 2 ** FILTER_BITS flags keeps most values that no item has from the search.
+FILTER_BITS = 22
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -59,11 +62,11 @@ class _Items:
         self.levels = {}
         for level, items in by.items():
             values = np.stack([np.multiply.outer(_MULTIPLIERS, sets[i]).min(axis=1) for i in items], axis=1)
-            tables = []
-            for h in range(HASHES):
-                order = np.argsort(values[h], kind="stable")
-                tables.append((values[h][order], np.array(items)[order]))
-            self.levels[level] = tables
+            flat = values.reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
+            maybe[flat & _LOW] = True
+            self.levels[level] = maybe, flat[order], np.tile(np.array(items), HASHES)[order], np.repeat(np.arange(HASHES), len(items))[order]
 
     def near(self, grams: np.ndarray) -> set[int]:
         """Items that agree with a window of the document in a minimum."""
@@ -74,10 +77,14 @@ class _Items:
                 blocks = np.minimum.reduceat(blocks, np.arange(0, blocks.shape[1], 2), axis=1)
                 level += 1
             windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            for h, (values, items) in enumerate(self.levels[at]):
-                low, high = np.searchsorted(values, windows[h]), np.searchsorted(values, windows[h], side="right")
-                for a, b in {*zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)}:
-                    found.update(items[a:b].tolist())
+            maybe, values, items, functions = self.levels[at]
+            h, w = np.nonzero(maybe[windows & _LOW])
+            if not len(h):
+                continue
+            wanted = windows[h, w]
+            low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
+            for a, b, k in {*zip(low[low < high].tolist(), high[low < high].tolist(), h[low < high].tolist(), strict=True)}:
+                found.update(items[a:b][functions[a:b] == k].tolist())
         return found
 
 

@@ -8,6 +8,7 @@ encoded once.  Texts in which a space meets other white space are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import islice
 
@@ -17,7 +18,9 @@ from tokenizers import Tokenizer
 from ._common import process_cache
 
 #: Chunks held for each worker process (about 100 bytes each); others are encoded again in each batch.
-CACHE = 250_000
+CACHE = 600_000
+#: How a byte-level vocabulary writes a space byte.
+BYTE_SPACE = "\u0120"
 #: Code points of text that go through the encoder at once.
 BATCH = 1 << 20
 
@@ -47,11 +50,27 @@ class Encoder:
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
+        self.cache: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of space-led chunks, given without the space: encoded as running text, cut before each token that starts with one."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 4096):
+            own = chunks[at : at + 4096]
+            (ids,) = self._whole([" " + " ".join(own)])
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) != len(own):  # a vocabulary whose pieces don't start at spaces
+                out += [x.tobytes() for x in self._whole([" " + x for x in own])]
+                continue
+            blob, ends = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
+            out += [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
@@ -67,28 +86,33 @@ class Encoder:
         return out + self._part(part)
 
     def _part(self, texts: list[str]) -> list[bytes]:
-        cache, chunked = self.cache, []
+        cache, tails, whole = self.cache, [], []
         fresh: set[str] = set()
         for t in texts:
-            if _plain(t):
-                head, *tail = t.split(" ")
-                chunks = [head, *[" " + x for x in tail]]
-                fresh.update(x for x in chunks if x not in cache)
+            head, *tail = t.split(" ") if _plain(t) else (t,)
+            whole.append(head)
+            got = list(map(cache.get, tail))
+            if None in got:
+                fresh.update(x for x, ids in zip(tail, got, strict=True) if ids is None)
+                tails.append((tail, got))
             else:
-                chunks = [t]
-                fresh.add(t)
-            chunked.append(chunks)
+                tails.append((None, b"".join(got)))
         new = list(fresh)
-        seen = dict(zip(new, self._ids(new), strict=True))
+        seen = dict(zip(new, self._chunks(new), strict=True))
+        out = []
+        for head, (tail, got) in zip(self._whole(whole), tails, strict=True):
+            if tail is not None:
+                got = b"".join([seen[x] if ids is None else ids for x, ids in zip(tail, got, strict=True)])
+            out.append(head.tobytes() + got)
         for chunk, ids in islice(seen.items(), max(0, CACHE - len(cache))):
             if len(chunk) <= 32:
                 cache[chunk] = ids
-        get = lambda x: cache[x] if x in cache else seen[x]
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+        return out
 
 
 def encoder(json: str) -> Encoder:
     """This worker process's encoder for a tokenizer file's content."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     held = process_cache()
     if held.get("tokenizer_json") != json:
         held["tokenizer_json"], held["encoder"] = json, Encoder(json)
