@@ -58,8 +58,8 @@ def period_schedule(units: DataFrame) -> DataFrame:
         aggregate(sequence(0L, total - 1),
           named_struct('had', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
           (st, t) -> transform(array(array_min(transform(sequence(0, size(s) - 1),
-              i -> if(st.had[i] < s[i].units and floor(st.had[i] * total / s[i].units) <= t,
-                      struct(ceil((st.had[i] + 1) * total / s[i].units) as due, i as i), null)))),
+              i -> if(st.had[i] < s[i].units and (st.had[i] * total) div s[i].units <= t,
+                      struct(((st.had[i] + 1) * total + s[i].units - 1) div s[i].units as due, i as i), null)))),
             p -> if(p is null,
               named_struct('had', st.had, 'picks', st.picks || array(-1)),
               named_struct('had', transform(st.had, (h, i) -> if(i = p.i, h + 1, h)), 'picks', st.picks || array(p.i))))[0]).picks

@@ -23,3 +23,37 @@ OP8 = f"""WITH d AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benc
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
 c AS (SELECT doc_id, item_id, count(*) AS common FROM d JOIN i USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, common, n AS item_shingles FROM c JOIN n USING (item_id) WHERE 100 * common >= 80 * n"""
+
+OP4 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+OP10 = """WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 512), -4611686018427387904)::BIGINT AS part FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1 AS number FROM r),
+p AS (SELECT *, number // 512 AS piece FROM n),
+w AS (SELECT DISTINCT conv_id, role AS participant FROM r WHERE role <> 'system'),
+e AS (SELECT p.*, participant, role = participant AS learn,
+  '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+  text || '<|im_end|>' || chr(10) AS body FROM p JOIN w ON p.conv_id IS NOT DISTINCT FROM w.conv_id),
+f AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, part, piece ORDER BY number) AS stop FROM e),
+g AS (SELECT conv_id, participant, part, piece, count(*) AS n_messages, string_agg(head || body, '' ORDER BY number) AS text,
+  coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY number) FILTER (WHERE learn), '') AS spans FROM f GROUP BY ALL)
+SELECT conv_id, participant, part, piece, n_messages, (sum(length(text)) OVER (PARTITION BY conv_id, participant ORDER BY part, piece) - length(text))::BIGINT AS char_start, text, spans FROM g"""
+
+#: The sqrt and the units are whole-number arithmetic but for one square root; the period's fold picks, slot by slot, the least deadline.
+OP5 = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS s0, source, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+z AS (SELECT s0, floor(sqrt(count(*)::DOUBLE) * 1000)::BIGINT AS raw FROM d GROUP BY 1),
+u AS MATERIALIZED (SELECT s0, greatest(1, (raw * 1000 + t // 2) // t)::BIGINT AS units FROM z, (SELECT sum(raw)::BIGINT AS t FROM z)),
+l AS MATERIALIZED (SELECT list(s0 ORDER BY s0) AS s, list(units ORDER BY s0) AS w, sum(units)::BIGINT AS total FROM u),
+f(t, had, pick) AS (
+  SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT FROM l
+  UNION ALL
+  SELECT t, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END), pick FROM (
+    SELECT t + 1 AS t, had, list_sort(list_transform(list_filter(range(1, len(w) + 1), lambda i: had[i] < w[i] AND (had[i] * total) // w[i] <= t + 1),
+      lambda i: ((had[i] + 1) * total + w[i] - 1) // w[i] * 1000000 + i))[1] % 1000000 AS pick FROM f, l WHERE t + 1 < total)),
+p AS MATERIALIZED (SELECT s[pick] AS s0, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM f, l WHERE t >= 0 AND pick IS NOT NULL),
+n AS (SELECT doc_id, source, s0, row_number() OVER (PARTITION BY s0 ORDER BY h, doc_id) - 1 AS k FROM d)
+SELECT doc_id, source, k // 64 AS mix_block, (k // 64) // units * total + slot AS mix_slot, (k % 64)::BIGINT AS mix_rank
+FROM n JOIN u USING (s0) JOIN p ON p.s0 = n.s0 AND p.turn = (k // 64) % units, l"""
