@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import perspectives
 from .decontaminate import contaminated
+from .html_extract import main_texts
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .quality import quality_scores
@@ -51,3 +52,7 @@ def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return perspectives(table(spark, sf_dir, "conversations")).withColumn("spans", spans)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
