@@ -11,6 +11,7 @@ from .html_extract import main_texts
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .quality import quality_scores
+from .substring_dedup import shared_passages
 from .token_counts import context_limits, length_histogram
 from .token_output import tokens_written
 from .topk import top_k
@@ -56,3 +57,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
