@@ -57,3 +57,5 @@ p AS MATERIALIZED (SELECT s[pick] AS s0, t AS slot, row_number() OVER (PARTITION
 n AS (SELECT doc_id, source, s0, row_number() OVER (PARTITION BY s0 ORDER BY h, doc_id) - 1 AS k FROM d)
 SELECT doc_id, source, k // 64 AS mix_block, (k // 64) // units * total + slot AS mix_slot, (k % 64)::BIGINT AS mix_rank
 FROM n JOIN u USING (s0) JOIN p ON p.s0 = n.s0 AND p.turn = (k // 64) % units, l"""
+
+ORACLES = {"op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}

@@ -61,3 +61,20 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_token_counts,
+        op3_html_extraction,
+        op4_bit_sliced_top_k,
+        op5_source_mixing,
+        op6_token_output,
+        op7_minhash_near_dedup,
+        op8_decontamination,
+        op9_quality_classifier,
+        op10_chat_formatting,
+    )
+}
