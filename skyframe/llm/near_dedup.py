@@ -12,9 +12,12 @@
    likelihood from the counts of larger, smaller and equal registers and both
    set sizes.  Pairs far below the threshold (``MARGIN`` standard deviations)
    end here.
-5. The rest is verified on full shingle sets: first every class with its most
-   similar partner, then, of what these links leave in different components,
-   all pairs.  Components come from alternating star steps.
+5. The rest is verified on full shingle sets.  Of small buckets, first every
+   class with its most similar partner, then, of what these links leave in
+   different components, all pairs.  Of large buckets, the members that have a
+   similar one are dealt out in pairs of blocks once more, with their sets: a
+   matrix product gives all intersections, and a spanning forest of the links
+   is handed on, never all pairs.  Components come from alternating star steps.
 
 With 20 bands of 4 registers a pair at similarity 0.85 shares no band with
 probability 4e-7; none is lost otherwise.
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from ._common import binary_column, components, dropped, gram_hashes, mix, shingle_set, stored, text_batches, word_hashes
 
 BANDS, ROWS = 20, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 160  # bands take the first of them, estimates all
 SKETCH_B, SKETCH_A, SKETCH_Q = 1.001, 20.0, 65534
 BLOCK = 1024
+#: Pairs of a bucket with up to so many members are spelled out; of a larger one, only links that its components need.
+SMALL = 8
 MARGIN = 4.5
 #: Ids of candidate documents are broadcast up to this many (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_IDS = 2_000_000
@@ -96,7 +101,7 @@ def _sketched(batches):
 def _band_keys(batches):
     """The bucket of each band, as a 64-bit hash of the band's number and registers."""
     for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
+        regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         keys = mix((regs.astype(np.uint64) * _BAND_MIX).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         flat = pa.array(keys.reshape(-1).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)], names=["node", "bands"])
@@ -113,59 +118,58 @@ def _pairs_of(threshold: float):
     least_equal = int(REGISTERS * p - MARGIN * np.sqrt(REGISTERS * p * (1 - p)))
     floor = p - MARGIN * np.sqrt(p * (1 - p) / REGISTERS)
 
-    def compared(ids, n, regs, band, block, crossed, i, j):
+    def similar(n, regs, i, j):
+        """Of the pairs (i, j), those whose estimate may reach the threshold, and the estimates."""
         ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-        ok &= ids[i] != ids[j]
-        if crossed:
-            ok &= block[i] != block[j]
         i, j = i[ok], j[ok]
-        if not len(i):
-            return None
-        same = regs[i] == regs[j]
-        ok = same.sum(axis=1) >= least_equal
+        same = (regs[i] == regs[j]).sum(axis=1)
+        ok = same >= least_equal
         i, j, same = i[ok], j[ok], same[ok]
-        ok = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
-        i, j, same = i[ok], j[ok], same[ok]
-        if not len(i):
-            return None
-        equal = same.sum(axis=1)
         larger = (regs[i] > regs[j]).sum(axis=1)
-        est = joint_similarity(n[i], n[j], larger, REGISTERS - equal - larger, equal)
+        est = joint_similarity(n[i], n[j], larger, REGISTERS - same - larger, same)
         ok = est >= floor
-        i, j, est = i[ok], j[ok], est[ok]
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), est
+        return i[ok], j[ok], est[ok]
+
+    def first_band(regs, band, i, j):
+        same = (regs[i, : BANDS * ROWS] == regs[j, : BANDS * ROWS]).reshape(-1, BANDS, ROWS)
+        return same.all(axis=2).argmax(axis=1) == band[i]
 
-    def batch_of(parts):
-        parts = [x for x in parts if x is not None and len(x[0])]
-        if parts:
-            a, b, est = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(est)], names=["a", "b", "est"])
+    def batch_of(a, b, est, bucket):
+        if len(a):
+            b = pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(est), pa.array(bucket)], names=["a", "b", "est", "bucket"])
 
     def whole_runs(table):
-        """Sorted rows of complete buckets: small ones together by offset, large ones one member against the rest."""
+        """Sorted rows of complete buckets: pairs of small ones, members of large ones that have a similar member."""
         col = lambda c: table.column(c).to_numpy()
         ids, n, key, band, b1, b2, block = (col(c) for c in ("node", "n_shingles", "bucket", "band", "b1", "b2", "block"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1]))))
         size = np.diff(np.append(new, len(ids)))
         row_end = np.repeat(new + size, size)
-        small = np.repeat(size <= 32, size)
+        few = np.repeat((size <= SMALL) & (col("blocks")[new] == 1), size)
         rows = np.arange(len(ids))
-        parts = []
-        for d in range(1, 32):
-            i = rows[small & (rows + d < row_end)]
-            if not len(i):
-                break
-            parts.append(compared(ids, n, regs, band, block, False, i, i + d))
-        yield from batch_of(parts)
-        for start, m in zip(new[size > 32], size[size > 32], strict=True):
-            crossed = b1[start] != b2[start]
-            for group in range(0, m - 1, 64):
-                parts = []
-                for k in range(start + group, min(start + group + 64, start + m - 1)):
-                    j = np.arange(k + 1, start + m)
-                    parts.append(compared(ids, n, regs, band, block, crossed, np.full(len(j), k), j))
-                yield from batch_of(parts)
+        for d in range(1, SMALL):
+            i = rows[few & (rows + d < row_end)]
+            i = i[ids[i] != ids[i + d]]
+            i = i[first_band(regs, band, i, i + d)]
+            i, j, est = similar(n, regs, i, i + d)
+            yield from batch_of(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), est, key[i])
+        for start, m in zip(new.tolist(), size.tolist(), strict=True):
+            if few[start]:
+                continue
+            near = np.zeros(m, bool)
+            for k in range(m - 1):
+                j = np.arange(k + 1, m)
+                if near[k]:
+                    j = j[~near[k + 1 :]]
+                if b1[start] != b2[start]:
+                    j = j[block[start + j] != block[start + k]]
+                i, j, _ = similar(n, regs, np.full(len(j), start + k), start + j)
+                near[j - start] = True
+                near[k] |= len(j) > 0
+            own = ids[start : start + m][near]
+            yield from batch_of(own, None, np.ones(len(own)), np.full(len(own), key[start]))
 
     def pairs(batches):
         held = None
@@ -185,19 +189,26 @@ def _pairs_of(threshold: float):
     return pairs
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (node, bucket, ...) with the pairs of blocks (b1, b2) in which their bucket is worked on."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return members.withColumn("b1", F.least("block", "with")).withColumn("b2", F.greatest("block", "with")).drop("with", "members")
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, est): pairs of ``classes`` (node, n_shingles, registers) that share a band and whose estimate may reach the threshold."""
+    """(a, b, est, bucket) of ``classes`` (node, n_shingles, registers): pairs that share a small bucket and whose estimate may reach the threshold.
+
+    For a large bucket, a row with a null b for each member that has a similar one.
+    """
     full = classes.where("n_shingles > 0")
     keys = full.select("node", "registers").mapInArrow(_band_keys, "node long, bands array<long>").select("node", F.posexplode("bands").alias("band", "bucket"))
     keys = stored(keys, "bands")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = keys.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("node", "bucket", "band", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
-    dealt = members.join(full, "node").select("node", "n_shingles", "registers", "bucket", "band", "b1", "b2", "block")
+    dealt = _dealt(keys).join(full, "node").select("node", "n_shingles", "registers", "bucket", "band", "b1", "b2", "block", "blocks")
     dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    pairs = stored(dealt.mapInArrow(_pairs_of(threshold), "a long, b long, est double"), "pairs")
+    pairs = stored(dealt.mapInArrow(_pairs_of(threshold), "a long, b long, est double, bucket long"), "pairs")
     dropped(keys)
     return pairs
 
@@ -220,6 +231,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct()
 
 
+def forest(sets: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) with 100 * intersection >= percent * union that connect what all such links connect.
+
+    All intersections come from a product of the sets' incidence matrix with
+    itself, some columns at a time; counts are exact.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)
+    shared = np.flatnonzero(np.bincount(at) > 1)
+    place = np.full(len(shingle), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((m, m), np.float32)
+    for low in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((m, min(4096, len(shared) - low)), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    linked = common * 100 >= percent * (size[:, None] + size[None, :] - common)
+    left, links = np.ones(m, bool), []
+    while left.any():
+        todo = [int(np.flatnonzero(left)[0])]
+        left[todo[0]] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & left)
+            left[found] = False
+            links += [(i, j) for j in found.tolist()]
+            todo += found.tolist()
+    a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return a, b
+
+
+def _forests(percent: int):
+    def whole(table):
+        col = lambda c: table.column(c).to_numpy()
+        ids, key, b1, b2 = (col(c) for c in ("node", "bucket", "b1", "b2"))
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1]))))
+        lists = table.column("shingles").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for start, end in zip(new.tolist(), np.append(new[1:], len(ids)).tolist(), strict=True):
+            i, j = forest([flat[at[k] : at[k + 1]] for k in range(start, end)], percent)
+            a, b = ids[start + i], ids[start + j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def forests(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not held.num_rows:
+                continue
+            key, b1, b2 = (held.column(c).to_numpy() for c in ("bucket", "b1", "b2"))
+            other = np.flatnonzero((key != key[-1]) | (b1 != b1[-1]) | (b2 != b2[-1]))
+            if len(other):
+                yield from whole(held.slice(0, other[-1] + 1))
+                held = pa.concat_tables([held.slice(other[-1] + 1)]).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from whole(held)
+
+    return forests
+
+
+def _large_buckets(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links among the members of large buckets; a bucket's members that all lie in one component need a link each."""
+    dealt = _dealt(hot).join(sets, "node").select("node", "shingles", "bucket", "b1", "b2")
+    dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+    return dealt.mapInArrow(_forests(percent), "a long, b long").distinct()
+
+
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Of ``pairs``, those whose ends are in different components so far."""
     ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -244,15 +330,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.registers"), "classes"
     )
     pairs = candidates(classes.drop("digest"), percent / 100)
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    best = pairs.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("n")), F.struct("a", "b", "est", F.col("b").alias("n")))).alias("p")).select("p.*")
+    hot = pairs.where("b is null").select(F.col("a").alias("node"), "bucket").distinct()
+    small = pairs.where("b is not null").select("a", "b", "est")
+    best = small.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("n")), F.struct("a", "b", "est", F.col("b").alias("n")))).alias("p")).select("p.*")
     best = best.groupBy("n").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    first = stored(_verified(best, sets, percent), "links")
+    first = stored(_verified(best, sets, percent).unionAll(_large_buckets(hot, sets, percent)), "links")
     comps = stored(components(first), "components")
-    rest = _across(pairs.join(best, ["a", "b"], "left_anti"), comps)
+    rest = _across(small.join(best, ["a", "b"], "left_anti"), comps)
     links = stored(first.unionAll(_verified(rest, sets, percent)), "links")
     dropped(sets, pairs, nodes, comps, first)
     comps = components(links)
