@@ -22,6 +22,7 @@ from .tokens import default_tokenizer, encoder, tokenizer_json
 
 END = 0
 STRIPE_BYTES = 16 << 20
+SCHEMA = "doc_id long, chunk int, row long, n int, ids array<int>"
 
 
 def _encoded(json):
@@ -33,7 +34,7 @@ def _encoded(json):
                 blobs = [x + end for x in own.encode(texts)]
                 flat = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
                 at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "chunk", "row")] + [pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "chunk", "row", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "chunk", "row")] + [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "chunk", "row", "n", "ids"])
 
     return encoded
 
@@ -59,21 +60,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, range
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("row"))
-    ids = rows.mapInArrow(_encoded(json), "doc_id long, chunk int, row long, ids array<int>")
+    ids = rows.mapInArrow(_encoded(json), SCHEMA)
     writer = ids.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", 10000)
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(path)
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """(doc_id, chunk, row, ids) of files that ``write_tokens`` made."""
-    return spark.read.schema("doc_id long, chunk int, row long, ids array<int>").orc(path)
+    """(doc_id, chunk, row, n, ids) of files that ``write_tokens`` made."""
+    return spark.read.schema(SCHEMA).orc(path)
 
 
 def token_index(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the files: where each document's ids are in the whole stream, and their checksum."""
-    rows = read_tokens(spark, path).mapInArrow(_sums, "doc_id long, chunk int, row long, n_tokens long, ids_crc32 long")
-    chunks = read_tokens(spark, path).groupBy("chunk").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    rows = read_tokens(spark, path).drop("n").mapInArrow(_sums, "doc_id long, chunk int, row long, n_tokens long, ids_crc32 long")
+    chunks = read_tokens(spark, path).groupBy("chunk").agg(F.sum(F.col("n").cast("long")).alias("n"))
     ahead = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.select("chunk", F.coalesce(ahead, F.lit(0)).alias("base"))
     before = F.sum("n_tokens").over(Window.partitionBy("chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
