@@ -78,26 +78,23 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs:
     counts as an empty string.  A null source is the source ''.  Columns named
     like the new ones are replaced.  An empty table gives no rows.
     """
-    new = ("mix_source", "mix_block", "mix_slot", "mix_rank")
-    rows = docs.drop(*new)
-    names = rows.columns
+    rows = docs.drop("mix_source", "mix_block", "mix_slot", "mix_rank")
+    tie = F.coalesce(F.col("text"), F.lit("")) if "text" in rows.columns else F.lit("")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("mix_source", F.coalesce("source", F.lit(""))).withColumn("mix_digest", digest).withColumn("mix_bucket", F.substring("mix_digest", 1, DIGITS))
-    sizes = rows.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("mix_n"))
-    before = F.sum("mix_n").over(Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("mix_source", "mix_bucket", F.coalesce(before, F.lit(0)).alias("mix_before"))
-    tie = F.coalesce(F.col("text"), F.lit("")) if "text" in names else F.lit("")
-    within = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_digest", "doc_id", tie)) - 1
-    rows = rows.withColumn("mix_within", within).join(sizes, ["mix_source", "mix_bucket"])
-    rows = rows.withColumn("mix_number", F.col("mix_before") + F.col("mix_within")).withColumn("mix_block", F.floor(F.col("mix_number") / block_docs))
+    # The given columns travel as one, so none can clash with what is added here.
+    rows = rows.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), digest.alias("digest"), F.substring(digest, 1, DIGITS).alias("bucket"), F.col("doc_id").alias("id"), tie.alias("tie"))
+    sizes = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("digest", "id", "tie")) - 1
+    rows = rows.withColumn("within", within).join(sizes, ["source", "bucket"])
+    rows = rows.withColumn("number", F.col("before") + F.col("within")).withColumn("block", F.floor(F.col("number") / block_docs))
     plan = period_schedule(source_units(docs, weights, period))
-    plan = plan.select(F.col("source").alias("mix_source"), "units", "total", F.col("turn").alias("mix_turn"), "slot")
-    shares = plan.select("mix_source", "units").distinct()
-    rows = rows.join(F.broadcast(shares), "mix_source")  # a row per source
-    rows = rows.withColumn("mix_turn", F.col("mix_block") % F.col("units"))
-    rows = rows.join(F.broadcast(plan.drop("units")), ["mix_source", "mix_turn"])  # a row per slot of a period
-    slot = F.floor(F.col("mix_block") / F.col("units")) * F.col("total") + F.col("slot")
-    return rows.select(*names, "mix_source", "mix_block", slot.alias("mix_slot"), (F.col("mix_number") % block_docs).alias("mix_rank"))
+    rows = rows.join(F.broadcast(plan.select("source", "units").distinct()), "source")  # a row per source
+    rows = rows.withColumn("turn", F.col("block") % F.col("units"))
+    rows = rows.join(F.broadcast(plan.drop("units")), ["source", "turn"])  # a row per slot of a period
+    slot = F.floor(F.col("block") / F.col("units")) * F.col("total") + F.col("slot")
+    return rows.select("row.*", F.col("source").alias("mix_source"), F.col("block").alias("mix_block"), slot.alias("mix_slot"), (F.col("number") % block_docs).alias("mix_rank"))
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
