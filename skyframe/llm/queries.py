@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .chat import perspectives
 from .decontaminate import contaminated
 from .html_extract import main_texts
@@ -26,7 +27,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_limits(length_histogram(table(spark, sf_dir, "documents")))
+    return context_limits(stored(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
