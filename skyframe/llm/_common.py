@@ -124,7 +124,7 @@ def binary_column(blobs: list) -> pa.Array:
     return pa.array(blobs, type=pa.binary())
 
 
-def text_batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def text_batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Row ranges of a batch whose texts have at most about ``most`` characters together."""
     texts = batch.column(column).to_pylist()
     start = size = 0
@@ -155,11 +155,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = least.select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        large = stored(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        dropped(edges, large)
+        dropped(edges)
         edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -339,10 +339,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     best = small.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("n")), F.struct("a", "b", "est", F.col("b").alias("n")))).alias("p")).select("p.*")
     best = best.groupBy("n").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     first = stored(_verified(best, sets, percent).unionAll(_large_buckets(hot, sets, percent)), "links")
-    comps = stored(components(first), "components")
+    comps = components(first)
     rest = _across(small.join(best, ["a", "b"], "left_anti"), comps)
     links = stored(first.unionAll(_verified(rest, sets, percent)), "links")
-    dropped(sets, pairs, nodes, comps, first)
+    dropped(sets, pairs, nodes, first)
     comps = components(links)
     # Equal digests share the class's node; links of the class hold for all its rows.
     of_class = classes.where("n_shingles > 0").select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
