@@ -437,12 +437,11 @@ def _adjacent() -> dict[tuple[int, int, int], tuple[int, tuple] | None]:
 _ADJACENT = _adjacent()
 
 
-def _step(n: Column, x: Column, y: Column, face: Column, dx: int, dy: int):
+def _step(steps: Column, n: Column, x: Column, y: Column, face: Column, dx: int, dy: int):
     """(x, y, face) of the pixel one step away; face is null where there is none."""
     u, v = x + dx, y + dy
     code = F.when(u < 0, 0).when(u >= n, 2).otherwise(1) * 3 + F.when(v < 0, 0).when(v >= n, 2).otherwise(1)
-    row = F.element_at(F.array(*[F.array(*[F.lit(w).cast("long") for w in r]) for r in _STEPS]), (face * 9 + code).cast("int") + 1)
-    first = record(row=row, a=F.pmod(u, n), b=F.pmod(v, n))
+    first = record(row=F.element_at(steps, (face * 9 + code).cast("int") + 1), a=F.pmod(u, n), b=F.pmod(v, n))
 
     def place(r):
         g, ox, oy, xx, xy, yx, yy = (F.element_at(r["row"], k) for k in range(1, 8))
@@ -471,11 +470,12 @@ def neighbours(nside, pix, nest: bool = False) -> Column:
     def around(r):
         found = []
         for dx, dy in _DIRECTIONS:
-            there = _step(n, r["x"], r["y"], r["face"], dx, dy)
+            there = _step(r["steps"], n, r["at"]["x"], r["at"]["y"], r["at"]["face"], dx, dy)
             found.append(let(there, lambda t: F.coalesce(F.when(t["face"].isNotNull(), xyf2pix(nside, t["x"], t["y"], t["face"], nest)), F.lit(-1).cast("long"))))
         return F.array(*found)
 
-    return let(pix2xyf(nside, pix, nest), around)
+    steps = F.array(*[F.array(*[F.lit(w).cast("long") for w in r]) for r in _STEPS])
+    return let(record(at=pix2xyf(nside, pix, nest), steps=steps), around)
 
 
 def interp_weights(nside, theta, phi, nest: bool = False, lonlat: bool = False) -> Column:

@@ -1,11 +1,258 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+Positions of events come from their ids (golden-ratio sequences), the same in
+both engines.  A query's SQL works its formulas out afresh in DuckDB.
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyframe.functions import pixel as P
+from skyframe.functions.projection import image_pixels
+from skyframe.functions.rotation import Rotator
+from skyframe.operators import graph, harmonic, maps, regions
+
+TURN, RISE = 0.6180339887498949, 0.7548776662466927
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, value, phi, z) of events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    frac = lambda x: x - F.floor(x)
+    return e.select("event_id", "value", (frac(F.col("event_id") * F.lit(TURN)) * (2 * math.pi)).alias("phi"), (frac((F.col("event_id") + 0.5) * F.lit(RISE)) * 2 - 1).alias("z"))
+
+
+def event_map(spark: SparkSession, sf_dir: str, nside: int = 8, nest: bool = False) -> DataFrame:
+    found = maps.pixelise(positions(spark, sf_dir), nside, P.zphi2pix(nside, "z", "phi", nest), "value")
+    return found.select("ipix", F.col("mean").alias("value"), "hits")
+
+
+# --- SQL building blocks ---------------------------------------------------
+_EV = f"""SELECT event_id, value, (event_id * {TURN}::DOUBLE - floor(event_id * {TURN}::DOUBLE)) * {2 * math.pi!r}::DOUBLE AS phi,
+  ((event_id + 0.5::DOUBLE) * {RISE}::DOUBLE - floor((event_id + 0.5::DOUBLE) * {RISE}::DOUBLE)) * 2 - 1 AS z FROM events"""
+
+
+def _xyf(n: int, source: str) -> str:
+    """Face and place in it of (z, phi) rows."""
+    return f"""SELECT *, CASE WHEN belt THEN jm % {n} WHEN z >= 0 THEN {n - 1} - cm ELSE cp END AS x, CASE WHEN belt THEN {n - 1} - jp % {n} WHEN z >= 0 THEN {n - 1} - cp ELSE cm END AS y,
+      CASE WHEN belt THEN (CASE WHEN fp = fm THEN fp % 4 + 4 WHEN fp < fm THEN fp ELSE fm + 8 END) WHEN z >= 0 THEN q ELSE q + 8 END AS face
+    FROM (SELECT *, jp // {n} AS fp, jm // {n} AS fm, least(jp, {n - 1}) AS cp, least(jm, {n - 1}) AS cm, least(3, floor(tt))::BIGINT AS q
+    FROM (SELECT *, CASE WHEN belt THEN floor({n} * (tt + 0.5) - {n}::DOUBLE * z * 0.75) ELSE floor((tt - floor(tt)) * near) END::BIGINT AS jp,
+      CASE WHEN belt THEN floor({n} * (tt + 0.5) + {n}::DOUBLE * z * 0.75) ELSE floor((1 - (tt - floor(tt))) * near) END::BIGINT AS jm
+    FROM (SELECT *, phi / {math.pi / 2!r}::DOUBLE AS tt, abs(z) <= {2 / 3!r}::DOUBLE AS belt, {n} * sqrt((1 - abs(z)) * 3) AS near FROM ({source}))))"""
+
+
+def _ring(n: int, source: str) -> str:
+    return f"""SELECT *, CASE WHEN belt THEN {2 * n * (n - 1)} + (ir - 1) * {4 * n} + ((jp + jm - {n} + 2 - ir % 2 + {8 * n}) // 2) % {4 * n}
+      WHEN z > 0 THEN 2 * cr * (cr - 1) + floor(tt * cr)::BIGINT % (4 * cr) ELSE {12 * n * n} - 2 * cr * (cr + 1) + floor(tt * cr)::BIGINT % (4 * cr) END AS ipix
+    FROM (SELECT *, {n + 1} + jp - jm AS ir, jp + jm + 1 AS cr FROM ({_xyf(n, source)}))"""
+
+
+def _nest(n: int, source: str) -> str:
+    bits = range(max(1, n.bit_length() - 1))
+    spread = lambda v: " + ".join(f"(({v} >> {b}) & 1) * {4**b}" for b in bits)
+    return f"SELECT *, face * {n * n} + {spread('x')} + 2 * ({spread('y')}) AS nest FROM ({_xyf(n, source)})"
+
+
+def _centres(n: int) -> str:
+    """ipix, z, phi, s of all RING pixels."""
+    cap, npix = 2 * n * (n - 1), 12 * n * n
+    return f"""SELECT ipix, z, phi, sqrt((1 - z) * (1 + z)) AS s FROM (SELECT ipix, CASE WHEN north THEN 1 - i * i / {3.0 * n * n}::DOUBLE WHEN south THEN i * i / {3.0 * n * n}::DOUBLE - 1 ELSE ({2 * n} - i) * 2 / {3.0 * n}::DOUBLE END AS z,
+      CASE WHEN north THEN (ipix - 2 * i * (i - 1) + 0.5) * {math.pi / 2!r} / i WHEN south THEN (ipix - ({npix} - 2 * i * (i + 1)) + 0.5) * {math.pi / 2!r} / i
+        ELSE ((ipix - {cap}) % {4 * n} + CASE WHEN (i - {n}) % 2 = 0 THEN 0.5 ELSE 0 END) * {math.pi / 2!r} / {n} END::DOUBLE AS phi
+    FROM (SELECT *, CASE WHEN north THEN floor((1 + sqrt(2 * ipix + 1.5)) / 2) WHEN south THEN floor((1 + sqrt(2 * ({npix} - ipix) - 0.5)) / 2) ELSE (ipix - {cap}) // {4 * n} + {n} END::BIGINT AS i
+    FROM (SELECT range AS ipix, range < {cap} AS north, range >= {npix - cap} AS south FROM range({npix}))))"""
+
+
+_MAP8 = f"SELECT ipix, avg(value) AS value, count(*) AS hits FROM ({_ring(8, _EV)}) GROUP BY 1"
+
+
+# --- queries ---------------------------------------------------------------
+def pixelise_events(spark, sf_dir):
+    return event_map(spark, sf_dir).select("ipix", "hits", F.round("value", 6).alias("mean"))
+
+
+def pixelise_events_nest(spark, sf_dir):
+    return event_map(spark, sf_dir, nest=True).select("ipix", "hits")
+
+
+def reorder_to_nest(spark, sf_dir):
+    return maps.reorder(event_map(spark, sf_dir), 8, True).select("ipix", "hits")
+
+
+def pix_roundtrip(spark, sf_dir):
+    rows = positions(spark, sf_dir).select("event_id", P.zphi2ring(64, "z", "phi").alias("ipix"))
+    rows = rows.withColumn("c", P.pix2zphi(64, "ipix"))
+    return rows.select("event_id", "ipix", F.round("c.z", 9).alias("z"), F.round("c.phi", 9).alias("phi"), P.zphi2ring(64, F.col("c.z"), F.col("c.phi")).alias("back"))
+
+
+def vec2pix_embeddings(spark, sf_dir):
+    e = F.col("embedding")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size(e) >= 3)
+    return rows.select("vec_id", P.vec2pix(16, e[0], e[1], e[2]).alias("ipix"))
+
+
+def degrade_mean(spark, sf_dir):
+    return maps.degrade(event_map(spark, sf_dir, 16), 16, 4).select("ipix", F.round("value", 10).alias("value"))
+
+
+def degrade_pessimistic(spark, sf_dir):
+    return maps.degrade(event_map(spark, sf_dir, 16), 16, 4, pessimistic=True).select("ipix", F.round("value", 10).alias("value"))
+
+
+def upgrade_map(spark, sf_dir):
+    return maps.upgrade(event_map(spark, sf_dir, 4, nest=True), 4, 8, nest=True).select("ipix", F.round("value", 6).alias("value"))
+
+
+def mask_good_stats(spark, sf_dir):
+    sky = event_map(spark, sf_dir).select("ipix", F.when(F.col("ipix") % 7 == 0, P.UNSEEN).otherwise(F.col("value")).alias("value"))
+    return sky.agg(F.count(F.when(maps.mask_good("value"), 1)).alias("good"), F.count(F.when(maps.mask_bad("value"), 1)).alias("bad"), F.round(F.avg(maps.unseen_to_null("value")), 6).alias("mean"))
+
+
+_DISC = ((0.3, -0.4, 0.8), 0.7)
+
+
+def disc_members(spark, sf_dir):
+    return regions.query_disc(spark, 16, *_DISC)
+
+
+def events_in_disc(spark, sf_dir):
+    points = positions(spark, sf_dir).select("event_id", P.zphi2ring(16, "z", "phi").alias("ipix"))
+    return regions.in_ranges(points, regions.disc_ranges(spark, 16, *_DISC), 16)
+
+
+def strip_ranges_nest(spark, sf_dir):
+    return regions.ranges_of(regions.query_strip(spark, 8, 0.51, 1.03, nest=True))
+
+
+def polygon_members(spark, sf_dir):
+    return regions.query_polygon(spark, 16, [(1, 0.01, 0.02), (0.02, 1, 0.01), (0.01, 0.02, 1)])
+
+
+def hotspots(spark, sf_dir):
+    return graph.hotspots(event_map(spark, sf_dir), 8).select("ipix", "is_min", "is_max")
+
+
+def neighbours_ring(spark, sf_dir):
+    return spark.range(768).select(F.col("id").alias("ipix"), F.posexplode(P.neighbours(8, "id")).alias("direction", "near"))
+
+
+def interp_points(spark, sf_dir):
+    points = positions(spark, sf_dir).select("event_id", F.acos("z").alias("theta"), "phi")
+    smooth = spark.range(768).select(F.col("id").alias("ipix"), P.pix2zphi(8, "id")["z"].alias("value"))
+    return maps.interpolate(points, smooth, 8, "event_id", "theta", "phi").select("event_id", F.round("value", 6).alias("value"))
+
+
+def fit_monopole(spark, sf_dir):
+    return maps.fit_monopole(event_map(spark, sf_dir), 8).select(F.round("monopole", 6).alias("monopole"))
+
+
+def dipole_moments(spark, sf_dir):
+    found = maps.dipole_moments(event_map(spark, sf_dir), 8)
+    return found.select(*[(F.round(c, 4) + 0.0).alias(c.lower()) for c in found.columns])
+
+
+def rotate_points_g2e(spark, sf_dir):
+    v = F.struct((F.sqrt(1 - F.col("z") * F.col("z")) * F.cos("phi")).alias("x"), (F.sqrt(1 - F.col("z") * F.col("z")) * F.sin("phi")).alias("y"), F.col("z"))
+    rows = positions(spark, sf_dir).select("event_id", Rotator(coord="GE").vector(v).alias("v")).select("event_id", "v.*")
+    return rows.select("event_id", *[F.round(c, 8).alias(c) for c in "xyz"])
+
+
+def _alm(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 528")
+    x = e.select(F.col("value"), F.floor((F.sqrt(F.col("event_id") * 8.0 + 1) - 1) / 2).cast("int").alias("l"), F.col("event_id"))
+    x = x.withColumn("m", (F.col("event_id") - F.col("l") * (F.col("l") + 1) / 2).cast("int"))
+    return x.select("l", "m", F.col("value").alias("re"), F.when(F.col("m") == 0, 0.0).otherwise(F.col("value") * 0.5).alias("im"))
+
+
+def alm2cl(spark, sf_dir):
+    return harmonic.alm2cl(_alm(spark, sf_dir)).select("l", F.round("cl", 5).alias("cl"))
+
+
+def almxfl_gauss(spark, sf_dir):
+    beam = harmonic.gauss_beam(spark, 0.2, 20).select("l", F.col("t").alias("fl"))
+    return harmonic.almxfl(_alm(spark, sf_dir), beam).select("l", "m", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+def gauss_beam(spark, sf_dir):
+    return harmonic.gauss_beam(spark, 0.1, 64, pol=True).select("l", *[F.round(c, 9).alias(c) for c in ("t", "e", "b", "te")])
+
+
+def projmap_mollweide(spark, sf_dir):
+    return image_pixels(spark, 8, "mollweide", 60, 30).where("ipix is not null").groupBy("ipix").agg(F.count("*").alias("cells"))
+
+
+def anafast(spark, sf_dir):
+    return harmonic.anafast(event_map(spark, sf_dir).select("ipix", "value"), 8, lmax=12, iter=1)
+
+
+def smoothing(spark, sf_dir):
+    return harmonic.smoothing(event_map(spark, sf_dir).select("ipix", "value"), 8, 0.3, lmax=16, iter=1)
+
+
+def dist2holes(spark, sf_dir):
+    mask = spark.range(768).select(F.col("id").alias("ipix"), (F.col("id") % 97 == 5).alias("masked"))
+    return graph.dist2holes(mask, 8).select("ipix", F.round("distance", 6).alias("distance"))
+
+
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+def _in_disc(n: int) -> str:
+    (x, y, z), r = _DISC
+    size = math.sqrt(x * x + y * y + z * z)
+    return f"SELECT ipix FROM ({_centres(n)}) WHERE s * cos(phi) * {x / size!r} + s * sin(phi) * {y / size!r} + z * {z / size!r} >= {math.cos(r)!r}"
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    m = Rotator(coord="GE").matrix.tolist()
+    vec = ("sqrt(1 - z * z) * cos(phi)", "sqrt(1 - z * z) * sin(phi)", "z")
+    turned = ", ".join(f"round({' + '.join(f'({v}) * {a!r}::DOUBLE' for v, a in zip(vec, row, strict=True))}, 8) AS {c}" for c, row in zip("xyz", m, strict=True))
+    centres = f"SELECT ipix, 1.0::DOUBLE AS o, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(8)})"
+    names = "oxyz"
+    label = {"o": "1", "x": "x", "y": "y", "z": "z"}
+    moments = ", ".join([f"round(sum({a} * {b}), 4) + 0.0::DOUBLE AS s_{label[a]}{label[b]}" for i, a in enumerate(names) for b in names[i:]] + [f"round(sum({a} * value), 4) + 0.0::DOUBLE AS r_{label[a]}" for a in names])
+    alm = "SELECT l, m, value AS re, CASE WHEN m = 0 THEN 0.0 ELSE value * 0.5 END AS im FROM (SELECT value, l, (event_id - l * (l + 1) // 2)::INT AS m FROM (SELECT *, floor((sqrt(event_id * 8.0::DOUBLE + 1) - 1) / 2)::INT AS l FROM events WHERE event_id < 528))"
+    beam = lambda w: f"exp(l * (l + 1) * {-0.5 * (w / math.sqrt(8 * math.log(2))) ** 2!r}::DOUBLE)"
+    s2 = (0.1 / math.sqrt(8 * math.log(2))) ** 2
+    parent = f"SELECT nest // 16 AS parent, avg(value) AS value, count(*) AS n FROM (SELECT nest, avg(value) AS value FROM ({_nest(16, _EV)}) GROUP BY 1) GROUP BY 1"
+    table4 = f"SELECT ipix, nest FROM ({_nest(4, f'SELECT ipix, z, phi FROM ({_centres(4)})')})"
+    strip = f"SELECT nest FROM ({_nest(8, f'SELECT z, phi FROM ({_centres(8)}) WHERE acos(z) BETWEEN 0.51 AND 1.03')})"
+    poly = [(1, 0.01, 0.02), (0.02, 1, 0.01), (0.01, 0.02, 1)]
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    sides = " AND ".join(f"s * cos(phi) * {c[0]!r} + s * sin(phi) * {c[1]!r} + z * {c[2]!r} >= 0" for c in (cross(poly[i], poly[(i + 1) % 3]) for i in range(3)))
+    plane = "SELECT asin(y) AS t, x, y FROM (SELECT ((range % 60 + 0.5::DOUBLE) / 60 * 2 - 1) * -2 AS x, ((range // 60 + 0.5::DOUBLE) / 30 * 2 - 1) AS y FROM range(1800)) WHERE x * x / 4 + y * y <= 1"
+    plane = f"SELECT (t + y * sqrt(1 - y * y)) * {2 / math.pi!r}::DOUBLE AS z, ((x * {math.pi / 2!r}::DOUBLE / sqrt(1 - y * y)) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM ({plane})"
+    emb = f"SELECT vec_id, z / r AS z, (atan2(y, x) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM (SELECT vec_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE len(embedding) >= 3))"
+    return {
+        "pixelise_events": f"SELECT ipix, hits, round(value, 6) AS mean FROM ({_MAP8})",
+        "pixelise_events_nest": f"SELECT nest AS ipix, count(*) AS hits FROM ({_nest(8, _EV)}) GROUP BY 1",
+        "reorder_to_nest": f"SELECT nest AS ipix, count(*) AS hits FROM ({_nest(8, _EV)}) GROUP BY 1",
+        "pix_roundtrip": f"SELECT event_id, e.ipix, round(c.z, 9) AS z, round(c.phi, 9) AS phi, e.ipix AS back FROM (SELECT event_id, ipix FROM ({_ring(64, _EV)})) e JOIN ({_centres(64)}) c USING (ipix)",
+        "vec2pix_embeddings": f"SELECT vec_id, ipix FROM ({_ring(16, emb)})",
+        "degrade_mean": f"SELECT ipix, round(value, 10) AS value FROM ({parent}) JOIN ({table4}) ON nest = parent",
+        "degrade_pessimistic": f"SELECT ipix, CASE WHEN n = 16 THEN round(value, 10) END AS value FROM ({parent}) JOIN ({table4}) ON nest = parent",
+        "upgrade_map": f"SELECT nest * 4 + part AS ipix, round(value, 6) AS value FROM (SELECT nest, avg(value) AS value FROM ({_nest(4, _EV)}) GROUP BY 1), (SELECT range AS part FROM range(4))",
+        "mask_good_stats": f"SELECT count(*) FILTER (WHERE ipix % 7 <> 0) AS good, count(*) FILTER (WHERE ipix % 7 = 0) AS bad, round(avg(value) FILTER (WHERE ipix % 7 <> 0), 6) AS mean FROM ({_MAP8})",
+        "disc_members": _in_disc(16),
+        "events_in_disc": f"SELECT event_id, ipix FROM ({_ring(16, _EV)}) WHERE ipix IN ({_in_disc(16)})",
+        "strip_ranges_nest": f"SELECT min(nest) AS first, max(nest) AS last FROM (SELECT nest, nest - row_number() OVER (ORDER BY nest) AS run FROM ({strip})) GROUP BY run",
+        "polygon_members": f"SELECT ipix FROM ({_centres(16)}) WHERE {sides}",
+        "fit_monopole": f"SELECT round(avg(value), 6) AS monopole FROM ({_MAP8})",
+        "dipole_moments": f"SELECT {moments} FROM ({_MAP8}) JOIN ({centres}) USING (ipix)",
+        "rotate_points_g2e": f"SELECT event_id, {turned} FROM ({_EV})",
+        "alm2cl": f"SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 5) AS cl FROM ({alm}) GROUP BY l",
+        "almxfl_gauss": f"SELECT l, m, round(re * f, 6) AS re, round(im * f, 6) AS im FROM (SELECT *, CASE WHEN l <= 20 THEN {beam(0.2)} ELSE 0 END AS f FROM ({alm}))",
+        "gauss_beam": f"SELECT l, round(t, 9) AS t, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS e, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS b, round(t * {math.exp(s2)!r}::DOUBLE, 9) AS te FROM (SELECT l, {beam(0.1)} AS t FROM (SELECT range::INT AS l FROM range(65)))",
+        "projmap_mollweide": f"SELECT ipix, count(*) AS cells FROM ({_ring(8, plane)}) GROUP BY 1",
+        "dist2holes": f"""WITH c AS (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(8)}))
+            SELECT a.ipix, round(min(2 * asin(least(1, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / 2))), 6) AS distance FROM c a, c b WHERE b.ipix % 97 = 5 GROUP BY 1""",
+    }
