@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_batches
-from .tokens import default_tokenizer, encoder, tokenizer_json
+from .tokens import default_tokenizer, encoder, text_slices, tokenizer_json
 
 SPAN = 4096
 
@@ -23,8 +22,8 @@ def _lengths(json):
     def lengths(batches):
         own = encoder(json.value)
         for batch in batches:
-            for _, texts in text_batches(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in own.encode(texts)], pa.int64())], names=["n_tokens"])
+            for _, texts in text_slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(own.lengths(texts))], names=["n_tokens"])
 
     return lengths
 

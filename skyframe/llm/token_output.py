@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, text_batches
-from .tokens import default_tokenizer, encoder, tokenizer_json
+from ._common import new_path
+from .tokens import default_tokenizer, encoder, text_slices, tokenizer_json
 
 END = 0
 STRIPE_BYTES = 16 << 20
@@ -28,13 +28,11 @@ SCHEMA = "doc_id long, chunk int, row long, n int, ids array<int>"
 def _encoded(json):
     def encoded(batches):
         own = encoder(json.value)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for start, texts in text_batches(batch, "text", 1 << 20):
-                blobs = [x + end for x in own.encode(texts)]
-                flat = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(texts)) for c in ("doc_id", "chunk", "row")] + [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "chunk", "row", "n", "ids"])
+            for start, texts in text_slices(batch.column("text")):
+                ids = own.encode(texts, END)
+                kept = [batch.column(c).slice(start, len(texts)) for c in ("doc_id", "chunk", "row")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(ids.offsets.to_numpy())), ids], names=["doc_id", "chunk", "row", "n", "ids"])
 
     return encoded
 

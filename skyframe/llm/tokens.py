@@ -9,10 +9,11 @@ encoded once.  Texts in which a space meets other white space are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from ._common import process_cache
@@ -21,11 +22,11 @@ from ._common import process_cache
 CACHE = 600_000
 #: How a byte-level vocabulary writes a space byte.
 BYTE_SPACE = "\u0120"
-#: Code points of text that go through the encoder at once.
-BATCH = 1 << 20
+#: Bytes of text that go through the encoder at once.
+BATCH = 4 << 20
 
-#: White space other than the space and the line feed; a text with any of it is encoded whole.
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: A space that meets white space, or white space other than the space and the line feed: such a text is encoded whole.
+_UNUSUAL = r"  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def default_tokenizer() -> str:
@@ -40,10 +41,6 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
-def _plain(text: str) -> bool:
-    return not ("  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
-
-
 class Encoder:
     """Encodes lists of texts; special tokens' strings in a text are ordinary text."""
 
@@ -72,42 +69,71 @@ class Encoder:
             out += [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; a null is empty."""
-        out: list[bytes] = []
-        part: list[str] = []
-        size = 0
-        for t in texts:
-            part.append(t or "")
-            size += len(part[-1])
-            if size >= BATCH:
-                out += self._part(part)
-                part, size = [], 0
-        return out + self._part(part)
-
-    def _part(self, texts: list[str]) -> list[bytes]:
-        cache, tails, whole = self.cache, [], []
-        fresh: set[str] = set()
-        for t in texts:
-            head, *tail = t.split(" ") if _plain(t) else (t,)
-            whole.append(head)
-            got = list(map(cache.get, tail))
-            if None in got:
-                fresh.update(x for x, ids in zip(tail, got, strict=True) if ids is None)
-                tails.append((tail, got))
-            else:
-                tails.append((None, b"".join(got)))
-        new = list(fresh)
-        seen = dict(zip(new, self._chunks(new), strict=True))
-        out = []
-        for head, (tail, got) in zip(self._whole(whole), tails, strict=True):
-            if tail is not None:
-                got = b"".join([seen[x] if ids is None else ids for x, ids in zip(tail, got, strict=True)])
-            out.append(head.tobytes() + got)
-        for chunk, ids in islice(seen.items(), max(0, CACHE - len(cache))):
-            if len(chunk) <= 32:
-                cache[chunk] = ids
-        return out
+    def _looked_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, from the cache where it has them."""
+        cache = self.cache
+        got = list(map(cache.get, chunks))
+        new = [x for x, ids in zip(chunks, got, strict=True) if ids is None]
+        if new:
+            fresh = self._chunks(new)
+            cache.update([(x, ids) for x, ids in islice(zip(new, fresh, strict=True), max(0, CACHE - len(cache))) if len(x) <= 32])
+            rest = iter(fresh)
+            got = [next(rest) if ids is None else ids for ids in got]
+        return got
+
+    def _pieces(self, texts: pa.Array):
+        """Of texts: the ids of distinct pieces, which piece each place has, and where each text's places start.
+
+        A text's first place is what comes before its first space, or all of
+        an unusual text; the others are chunks.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _UNUSUAL)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        starts = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        heads = lists.values.take(pa.array(starts[:-1])).to_pylist()
+        if pc.any(odd).as_py():
+            heads = [t if o else h for t, o, h in zip(texts.to_pylist(), odd.to_pylist(), heads, strict=True)]
+        ids = self._looked_up(words.dictionary.to_pylist())
+        places = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        places[starts[:-1]] = len(ids) + np.arange(len(heads))
+        ids += [x.tobytes() for x in self._whole(heads)]
+        return ids, places, starts.astype(np.int64)
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has; a null has none."""
+        if not len(texts):
+            return np.empty(0, np.int64)
+        ids, places, starts = self._pieces(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.add.reduceat(size[places], starts[:-1])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.ListArray:
+        """The ids of each text, followed by ``end`` if given; a null has none of its own."""
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
+        ids, places, starts = self._pieces(texts)
+        if end is not None:
+            places = np.insert(places, starts[1:], len(ids))
+            starts = starts + np.arange(len(starts))
+            ids = [*ids, np.array([end], "<u4").tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        flat = table.take(pa.array(places)).flatten()
+        ends = np.concatenate(([0], np.cumsum(size[places])))[starts]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+
+
+def text_slices(texts: pa.Array):
+    """(start, slice): runs of texts of at most about ``BATCH`` bytes together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        done = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, done + BATCH, side="right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 def encoder(json: str) -> Encoder:

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,14 +134,16 @@ def test_encoder_equals_the_tokenizer():
     json = tokenizer_json(default_tokenizer())
     own = Encoder(json)
     texts = ["", None, " a b", "a  b", "a\n b\n\nc", "don't 's x's y", "é😀", "12 3%", *[words(50) for _ in range(20)], "x\ty", "end ", "\n", "<|endoftext|>"]
-    got = own.encode(texts)
-    for t, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids
+    want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert own.encode(pa.array(texts)).to_pylist() == want and own.lengths(pa.array(texts)).tolist() == list(map(len, want))
+    assert own.encode(pa.array(texts), 0).to_pylist() == [[*x, 0] for x in want] and len(own.encode(pa.array([], pa.string()))) == 0
+    assert own.encode(pa.array(["x", *texts]).slice(1)).to_pylist() == want
 
 
 def test_token_counts(odd, empty):
     own = Encoder(tokenizer_json(default_tokenizer()))
-    lengths = [len(x) // 4 for x in own.encode([r[1] for r in odd_documents()])]
+    lengths = own.lengths(pa.array([r[1] for r in odd_documents()])).tolist()
     histogram = length_histogram(odd)
     for r in context_limits(histogram).collect():
         assert r.n_docs == lengths.count(r.limit) and r.docs_over == sum(x > r.limit for x in lengths)
@@ -157,7 +160,7 @@ def test_token_output_round_trip(spark, odd, tmp_path):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     want, start = [], 0
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        ids = own.encode([r.text])[0] + bytes(4)
+        ids = np.array(own.encode(pa.array([r.text], pa.string()), 0).to_pylist()[0], "<u4").tobytes()
         want.append((r.doc_id, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     assert sorted(tuple(r) for r in tokens_written(docs).collect()) == want
