@@ -88,29 +88,32 @@ class _Items:
         return found
 
 
+def _found(own: _Items, texts: list, percent: int):
+    """(text, item, common) of the items that texts hold."""
+    words, bounds = word_hashes(texts)
+    for i in range(len(texts)):
+        w = words[bounds[i] : bounds[i + 1]]
+        if not len(w):
+            continue
+        grams = gram_hashes(w, min(5, len(w)))
+        near = own.near(grams)
+        if not near:
+            continue
+        document = np.unique(grams)
+        for k in sorted(near):
+            at = np.searchsorted(document, own.sets[k])
+            common = int((document[np.minimum(at, len(document) - 1)] == own.sets[k]).sum())
+            if 100 * common >= percent * len(own.sets[k]):
+                yield i, k, common
+
+
 def _contained(items, percent: int):
     def contained(batches):
         own = items.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for start, texts in text_batches(batch, "text"):
-                words, bounds = word_hashes(texts)
-                rows = []
-                for i in range(len(texts)):
-                    w = words[bounds[i] : bounds[i + 1]]
-                    if not len(w):
-                        continue
-                    grams = gram_hashes(w, min(5, len(w)))
-                    near = own.near(grams)
-                    if not near:
-                        continue
-                    document = np.unique(grams)
-                    for k in sorted(near):
-                        n = len(own.sets[k])
-                        at = np.searchsorted(document, own.sets[k])
-                        common = int((document[np.minimum(at, len(document) - 1)] == own.sets[k]).sum())
-                        if 100 * common >= percent * n:
-                            rows.append((ids[start + i], own.ids[k], common, n))
+                rows = [(ids[start + i], own.ids[k], common, len(own.sets[k])) for i, k, common in _found(own, texts, percent)]
                 if rows:
                     a, b, c, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c, n)], names=["doc_id", "item_id", "common", "item_shingles"])
@@ -118,6 +121,18 @@ def _contained(items, percent: int):
     return contained
 
 
+def _clean(items, percent: int):
+    def clean(batches):
+        own = items.value
+        for batch in batches:
+            for start, texts in text_batches(batch, "text"):
+                keep = np.ones(len(texts), bool)
+                keep[[i for i, _, _ in _found(own, texts, percent)]] = False
+                yield batch.slice(start, len(texts)).filter(pa.array(keep))
+
+    return clean
+
+
 def _parts(benchmark: DataFrame):
     """The items as lists (ids, sets) of at most PART shingles, streamed to the driver one partition at a time."""
     ids, sets, size = [], [], 0
@@ -156,6 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without those that hold an item; rows with a null doc_id stay."""
-    found = contaminated(docs.where("doc_id is not null"), benchmark, percent).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds an item, whatever their id: a pass over the texts for each part of the benchmark, without a shuffle."""
+    context = docs.sparkSession.sparkContext
+    for part in _parts(benchmark):
+        docs = docs.mapInArrow(_clean(context.broadcast(_Items(*part)), percent), docs.schema)
+    return docs

@@ -175,7 +175,7 @@ def test_contaminated(spark, odd, empty):
     docs = spark.createDataFrame([(0, " ".join(long[:7001] + one + long[7001:])), (1, "One\ttwo"), (2, "one two three"), (3, odd_text + " z"), (4, None), (None, "one two")], "doc_id long, text string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id) for r in contaminated(docs, items).collect())
     assert got == [(-1, 2), (0, 1), (1, 2), (3, 5)]
-    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in without_contaminated(docs, items).collect()) == [-1, 2, 4]
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in without_contaminated(docs, items).collect()) == [2, 4]
     assert contaminated(empty, items).count() == 0 and contaminated(odd, items.where("false")).count() == 0
 
 
