@@ -155,6 +155,7 @@ def encode(columns: dict[str, np.ndarray], cards: dict) -> bytes:
 def write_map(sky: DataFrame, path: str, nside: int, nest: bool = False, partial: bool = False) -> None:
     """One local file of a map; the format holds a map as a whole, so it is gathered in one place, 12 nside ** 2 values."""
     rows = sky.select("ipix", "value").toPandas().sort_values("ipix")
+    # The keywords by which readers of this format know the scheme.
     cards = {"PIXTYPE": "HEALPIX", "ORDERING": "NESTED" if nest else "RING", "NSIDE": nside, "INDXSCHM": "EXPLICIT" if partial else "IMPLICIT", "OBJECT": "PARTIAL" if partial else "FULLSKY"}
     if partial:
         rows = rows[rows["value"].notna()]
