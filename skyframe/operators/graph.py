@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 
+from ._lineage import settled
 from .maps import mask_good
 
 
@@ -30,12 +31,12 @@ def hotspots(sky: DataFrame, nside: int, nest: bool = False) -> DataFrame:
 def components(pixels: DataFrame, nside: int, nest: bool = False) -> DataFrame:
     """(ipix, label) of connected pixels, label the smallest id: labels spread and jump until none changes."""
     labels = pixels.select("ipix", F.col("ipix").alias("label"))
-    pairs = neighbour_pairs(pixels, nside, nest).join(pixels.select(F.col("ipix").alias("near")), "near", "left_semi").checkpoint()
+    pairs = settled(neighbour_pairs(pixels, nside, nest).join(pixels.select(F.col("ipix").alias("near")), "near", "left_semi"))
     while True:
         near = pairs.join(labels.withColumnRenamed("ipix", "near"), "near").groupBy("ipix").agg(F.min("label").alias("other"))
         new = labels.join(near, "ipix", "left").select("ipix", "label", F.least("label", F.coalesce("other", "label")).alias("own"))
         jump = labels.select(F.col("ipix").alias("own"), F.col("label").alias("far"))
-        new = new.join(jump, "own").select("ipix", F.col("label").alias("was"), F.least("own", "far").alias("label")).checkpoint()
+        new = settled(new.join(jump, "own").select("ipix", F.col("label").alias("was"), F.least("own", "far").alias("label")))
         labels = new.select("ipix", "label")
         if not new.where("was <> label").limit(1).count():
             return labels
@@ -66,14 +67,14 @@ def dist2holes(mask: DataFrame, nside: int, nest: bool = False, max_distance: fl
     vec = lambda c: P.pix2vec(nside, c, nest)
     if not mask.where("masked").limit(1).count():
         return mask.select("ipix", F.lit(float(max_distance)).alias("distance"))
-    pairs = neighbour_pairs(mask, nside, nest).checkpoint()
-    state = mask.select("ipix", F.when(F.col("masked"), F.col("ipix")).alias("hole"), F.when(F.col("masked"), 0.0).alias("d")).checkpoint()
+    pairs = settled(neighbour_pairs(mask, nside, nest))
+    state = settled(mask.select("ipix", F.when(F.col("masked"), F.col("ipix")).alias("hole"), F.when(F.col("masked"), 0.0).alias("d")))
     while True:
         came = pairs.join(state.select(F.col("ipix").alias("near"), "hole").where("hole is not null"), "near").select("ipix", "hole").distinct()
         came = came.withColumn("d", P.angdist(vec("ipix"), vec("hole"))).groupBy("ipix").agg(F.min(F.struct("d", "hole")).alias("n"))
         new = state.join(came, "ipix", "left")
         better = F.col("n").isNotNull() & (F.col("d").isNull() | (F.col("n.d") < F.col("d")))
-        new = new.select("ipix", F.when(better, F.col("n.hole")).otherwise(F.col("hole")).alias("hole"), F.when(better, F.col("n.d")).otherwise(F.col("d")).alias("d"), F.coalesce(better, F.lit(False)).alias("moved")).checkpoint()
+        new = settled(new.select("ipix", F.when(better, F.col("n.hole")).otherwise(F.col("hole")).alias("hole"), F.when(better, F.col("n.d")).otherwise(F.col("d")).alias("d"), F.coalesce(better, F.lit(False)).alias("moved")))
         state = new.drop("moved")
         if not new.where("moved").limit(1).count():
             break

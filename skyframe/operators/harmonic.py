@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 
+from ._lineage import settled
 from .maps import mask_bad
 
 RING_BLOCK, ORDER_BLOCK = 32, 8
@@ -206,12 +207,12 @@ def map2alm(sky: DataFrame, nside: int, lmax: int | None = None, mmax: int | Non
     lmax = 3 * nside - 1 if lmax is None else lmax
     mmax = lmax if mmax is None else mmax
     sky = sky.select("ipix", F.when(F.col("value").isNull() | F.isnan("value") | mask_bad("value"), 0.0).otherwise(F.col("value")).alias("value"))
-    alm = map2alm_once(sky, nside, lmax, mmax).checkpoint()
+    alm = settled(map2alm_once(sky, nside, lmax, mmax))
     for _ in range(iter):
         model = alm2map(alm, nside).withColumnRenamed("value", "model")
         rest = model.join(sky, "ipix", "left").select("ipix", (F.coalesce("value", F.lit(0.0)) - F.col("model")).alias("value"))
         more = map2alm_once(rest, nside, lmax, mmax).select("l", "m", F.col("re").alias("re2"), F.col("im").alias("im2"))
-        alm = alm.join(more, ["l", "m"]).select("l", "m", (F.col("re") + F.col("re2")).alias("re"), (F.col("im") + F.col("im2")).alias("im")).checkpoint()
+        alm = settled(alm.join(more, ["l", "m"]).select("l", "m", (F.col("re") + F.col("re2")).alias("re"), (F.col("im") + F.col("im2")).alias("im")))
     return alm
 
 
@@ -229,7 +230,7 @@ def smoothing(sky: DataFrame, nside: int, fwhm: float, lmax: int | None = None,
 
 
 def synfast(cl: DataFrame, nside: int, seed: int = 0) -> DataFrame:
-    return alm2map(synalm(cl, seed=seed).checkpoint(), nside)
+    return alm2map(settled(synalm(cl, seed=seed)), nside)
 
 
 def harmonic_ud_grade(sky: DataFrame, nside: int, nside_out: int, fwhm_out: float | None = None, iter: int = 3) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 
+from ._lineage import settled
 from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, _rings, alm2map, map2alm
 from .maps import interpolate, mask_bad
 
@@ -140,13 +141,13 @@ def map2alm_pol(sky: DataFrame, nside: int, lmax: int | None = None, iter: int =
     """
     good = [F.when(F.col(c).isNull() | F.isnan(c) | mask_bad(c), 0.0).otherwise(F.col(c)).alias(c) for c in ("q", "u")]
     qu = sky.select("ipix", *good)
-    pair = map2alm_spin(qu, nside, 2, lmax).checkpoint()
+    pair = settled(map2alm_spin(qu, nside, 2, lmax))
     names = PAIR.replace(" int", "").replace(" double", "").split(", ")[2:]
     for _ in range(iter):
         model = alm2map_spin(pair, nside, 2).withColumnsRenamed({"q": "mq", "u": "mu"})
         rest = model.join(qu, "ipix", "left").select("ipix", *[(F.coalesce(c, F.lit(0.0)) - F.col("m" + c)).alias(c) for c in ("q", "u")])
         more = map2alm_spin(rest, nside, 2, lmax).withColumnsRenamed({c: c + "2" for c in names})
-        pair = pair.join(more, ["l", "m"]).select("l", "m", *[(F.col(c) + F.col(c + "2")).alias(c) for c in names]).checkpoint()
+        pair = settled(pair.join(more, ["l", "m"]).select("l", "m", *[(F.col(c) + F.col(c + "2")).alias(c) for c in names]))
     return map2alm(sky.select("ipix", F.col("i").alias("value")), nside, lmax, iter=iter), pair
 
 
@@ -214,7 +215,7 @@ def rotate_map_alms(sky: DataFrame, nside: int, rotator, lmax: int | None = None
 def rotate_map_polarised(sky: DataFrame, nside: int, rotator) -> DataFrame:
     """Maps (ipix, q, u[, i]) in another frame, interpolated; the polarisation turns with the meridians."""
     grid = sky.sparkSession.range(12 * nside * nside).select(F.col("id").alias("pixel"), P.pix2ang(nside, "id").alias("a"))
-    points = grid.select("pixel", rotator.inverse.direction(F.col("a.theta"), F.col("a.phi")).alias("d")).select("pixel", "d.*").checkpoint()
+    points = settled(grid.select("pixel", rotator.inverse.direction(F.col("a.theta"), F.col("a.phi")).alias("d")).select("pixel", "d.*"))
     parts = [interpolate(points, sky.select("ipix", F.col(c).alias("value")), nside, "pixel", "theta", "phi").withColumnRenamed("value", c) for c in ("i", "q", "u") if c in sky.columns]
     joined = reduce(lambda x, y: x.join(y, "pixel"), parts, points.withColumn("turn", rotator.angle_ref("theta", "phi") * 2))
     c, s = F.cos("turn"), F.sin("turn")
@@ -286,7 +287,7 @@ def synalm_pol(cl: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     cross = F.when(t > 0, c["te"] / t).otherwise(F.lit(0.0))
     rows = cl.select("l", t.alias("t"), cross.alias("x"), F.sqrt(F.greatest(c["ee"] - cross * cross, F.lit(0.0))).alias("e"), F.sqrt(F.greatest(c["bb"], F.lit(0.0))).alias("b"), F.explode(F.sequence(F.lit(0), F.col("l").cast("int"))).alias("m"))
     re, im = F.when(F.col("m") == 0, 1.0).otherwise(math.sqrt(0.5)), F.when(F.col("m") == 0, 0.0).otherwise(math.sqrt(0.5))
-    drawn = rows.select("*", *[(w * F.randn(seed + 2 * k + j)).alias(f"{p}{k}") for k in range(3) for j, (p, w) in enumerate((("re", re), ("im", im)))]).checkpoint()
+    drawn = settled(rows.select("*", *[(w * F.randn(seed + 2 * k + j)).alias(f"{p}{k}") for k in range(3) for j, (p, w) in enumerate((("re", re), ("im", im)))]))
     mixed = lambda p: F.col("x") * F.col(p + "0") + F.col("e") * F.col(p + "1")
     pair = drawn.select("l", "m", mixed("re").alias("g_re"), mixed("im").alias("g_im"), (F.col("b") * F.col("re2")).alias("c_re"), (F.col("b") * F.col("im2")).alias("c_im"))
     return drawn.select("l", "m", (F.col("t") * F.col("re0")).alias("re"), (F.col("t") * F.col("im0")).alias("im")), pair

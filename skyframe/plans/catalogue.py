@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 from skyframe.functions.projection import image_pixels
 from skyframe.functions.rotation import Rotator
-from skyframe.operators import graph, harmonic, maps, regions
+from skyframe.operators import graph, harmonic, maps, regions, spin
 
 TURN, RISE = 0.6180339887498949, 0.7548776662466927
 
@@ -199,7 +199,32 @@ def dist2holes(spark, sf_dir):
     return graph.dist2holes(mask, 8).select("ipix", F.round("distance", 6).alias("distance"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes]
+def rotated_spectrum(spark, sf_dir):
+    """A turn leaves a spectrum as it is. No spectrum of values with two decimals is a tie at the fifth."""
+    return harmonic.alm2cl(spin.rotate_alm(_alm(spark, sf_dir), 0.4, 1.1, -0.7)).select("l", F.round("cl", 5).alias("cl"))
+
+
+def alm2map_der1(spark, sf_dir):
+    slope = spin.alm2map_der1(_alm(spark, sf_dir).where("l <= 1"), 8)
+    return slope.select("ipix", *[(F.round(c, 6) + 0.0).alias(c) for c in ("value", "d_theta", "d_phi")])
+
+
+def alm2map_spin2(spark, sf_dir):
+    none = [F.lit(0.0).alias(c) for c in ("c_re", "c_im")]
+    pair = _alm(spark, sf_dir).where("l = 2 and m = 2").select("l", "m", F.col("re").alias("g_re"), F.col("im").alias("g_im"), *none)
+    return spin.alm2map_spin(pair, 8, 2).select("ipix", *[(F.round(c, 6) + 0.0).alias(c) for c in "qu"])
+
+
+def map2alm_spin2(spark, sf_dir):
+    sky = event_map(spark, sf_dir).select("ipix", F.col("value").alias("q"), (F.col("value") * -0.5).alias("u"))
+    return spin.map2alm_spin(sky, 8, 2, 12)
+
+
+def blm_gauss(spark, sf_dir):
+    return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+
+
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes, rotated_spectrum, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -232,7 +257,19 @@ def oracle_sql() -> dict[str, str]:
     plane = "SELECT asin(y) AS t, x, y FROM (SELECT ((range % 60 + 0.5::DOUBLE) / 60 * 2 - 1) * -2 AS x, ((range // 60 + 0.5::DOUBLE) / 30 * 2 - 1) AS y FROM range(1800)) WHERE x * x / 4 + y * y <= 1"
     plane = f"SELECT (t + y * sqrt(1 - y * y)) * {2 / math.pi!r}::DOUBLE AS z, ((x * {math.pi / 2!r}::DOUBLE / sqrt(1 - y * y)) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM ({plane})"
     emb = f"SELECT vec_id, z / r AS z, (atan2(y, x) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM (SELECT vec_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE len(embedding) >= 3))"
+    y10, y11, y22 = (repr(math.sqrt(a / math.pi)) + "::DOUBLE" for a in (3 / 4, 3 / 8, 5 / 64))
+    one = f"SELECT max(re) FILTER (WHERE l = 0) AS a00, max(re) FILTER (WHERE l = 1 AND m = 0) AS a10, max(re) FILTER (WHERE l = 1 AND m = 1) AS re, max(im) FILTER (WHERE l = 1 AND m = 1) AS im FROM ({alm})"
+    wave = "(re * cos(phi) - im * sin(phi))"
+    spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
+    blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
     return {
+        "rotated_spectrum": f"SELECT l, round(cl, 5) AS cl FROM ({spectrum})",
+        "alm2map_der1": f"""SELECT ipix, round(a00 * {math.sqrt(1 / (4 * math.pi))!r}::DOUBLE + a10 * {y10} * z - 2 * {y11} * s * {wave}, 6) + 0.0::DOUBLE AS value,
+            round(-a10 * {y10} * s - 2 * {y11} * z * {wave}, 6) + 0.0::DOUBLE AS d_theta, round(2 * {y11} * (re * sin(phi) + im * cos(phi)), 6) + 0.0::DOUBLE AS d_phi
+            FROM ({_centres(8)}), ({one})""",
+        "alm2map_spin2": f"""SELECT ipix, round(-{y22} * ((1 - z) ** 2 + (1 + z) ** 2) * (re * cos(2 * phi) - im * sin(2 * phi)), 6) + 0.0::DOUBLE AS q,
+            round(-{y22} * ((1 - z) ** 2 - (1 + z) ** 2) * (re * sin(2 * phi) + im * cos(2 * phi)), 6) + 0.0::DOUBLE AS u FROM ({_centres(8)}), (SELECT re, im FROM ({alm}) WHERE l = 2 AND m = 2)""",
+        "blm_gauss": " UNION ALL ".join([blm(0, 0, 0, 4 * math.pi, 1, 0), blm(2, 1, 2, 32 * math.pi, 1, 0), blm(2, 2, 2, 32 * math.pi, 0, 1)]),
         "pixelise_events": f"SELECT ipix, hits, round(value, 6) AS mean FROM ({_MAP8})",
         "pixelise_events_nest": f"SELECT nest AS ipix, count(*) AS hits FROM ({_nest(8, _EV)}) GROUP BY 1",
         "reorder_to_nest": f"SELECT nest AS ipix, count(*) AS hits FROM ({_nest(8, _EV)}) GROUP BY 1",
