@@ -238,3 +238,66 @@ def harmonic_ud_grade(sky: DataFrame, nside: int, nside_out: int, fwhm_out: floa
     lmax = min(3 * nside_out - 1, 3 * nside - 1)
     fwhm = effective_resolution_fwhm(nside_out) if fwhm_out is None else fwhm_out
     return alm2map(smoothalm(map2alm(sky, nside, lmax, iter=iter), fwhm), nside_out)
+
+
+def ud_grade_transfer(sky: DataFrame, nside: int, nside_out: int, transfer: DataFrame, lmax: int | None = None, iter: int = 3) -> DataFrame:
+    """Change of resolution by way of coefficients, with f(l) of table (l, fl) in one step (see ``window_ratio``)."""
+    lmax = min(3 * nside_out - 1, 3 * nside - 1) if lmax is None else lmax
+    return alm2map(almxfl(map2alm(sky, nside, lmax, iter=iter), transfer), nside_out)
+
+
+def window_ratio(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(l, fl): a window (l, fl) over another; 0 where the old one is 0 or either is absent."""
+    before = old.select("l", F.col("fl").alias("before"))
+    return new.select("l", "fl").join(before, "l").select("l", F.when(F.col("before") != 0, F.col("fl") / F.col("before")).otherwise(0.0).alias("fl"))
+
+
+def weighted(sky: DataFrame, nside: int, pixels: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
+    """The map times pixel weights (ipix, weight), and 1 + w of rings (ring, w), north and south alike.
+
+    Absent weights count as 1; transform the result with iter=0.
+    """
+    if pixels is not None:
+        sky = sky.join(pixels.select("ipix", "weight"), "ipix", "left").select("ipix", (F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("value"))
+    if rings is not None:
+        ring = P.pix2ring(nside, "ipix")
+        at = sky.select("ipix", "value", F.least(ring, 4 * nside - ring).alias("ring"))
+        sky = at.join(rings.select(F.col("ring").cast("long").alias("ring"), "w"), "ring", "left").select("ipix", (F.col("value") * (1 + F.coalesce("w", F.lit(0.0)))).alias("value"))
+    return sky
+
+
+def _plus(one: DataFrame, two: DataFrame, factor: float, keys: list[str], values: list[str]) -> DataFrame:
+    """one + factor * two, settled."""
+    other = two.select(*keys, *[F.col(v).alias(v + "_b") for v in values])
+    return settled(one.join(other, keys).select(*keys, *[(F.col(v) + F.col(v + "_b") * factor).alias(v) for v in values]))
+
+
+def _size(frame: DataFrame) -> float:
+    """Squared length: of a map, or of coefficients with both signs of the order."""
+    if "value" in frame.columns:
+        return float(frame.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0)
+    return float(frame.agg(F.sum((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.when(F.col("m") == 0, 1.0).otherwise(2.0))).first()[0] or 0.0)
+
+
+def map2alm_lsq(sky: DataFrame, nside: int, lmax: int, mmax: int | None = None, tol: float = 1e-10, maxiter: int = 20) -> tuple[DataFrame, float, int]:
+    """Coefficients whose map is nearest a full map, the relative residual and the number of steps.
+
+    Conjugate gradients on the least-squares problem; what meets on the driver is two sums a step.
+    """
+    mmax = lmax if mmax is None else mmax
+    transposed = lambda rest: map2alm_once(rest, nside, lmax, mmax).select("l", "m", *[(F.col(c) * (12 * nside * nside / (4 * math.pi))).alias(c) for c in ("re", "im")])
+    rest = settled(sky.select("ipix", F.when(F.col("value").isNull() | F.isnan("value") | mask_bad("value"), 0.0).otherwise(F.col("value")).alias("value")))
+    whole = _size(rest)
+    way = settled(transposed(rest))
+    alm, slope, steps = way.select("l", "m", F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), _size(way), 0
+    first, left = slope, whole
+    while steps < maxiter and slope > (tol * tol) * first and left > (tol * tol) * whole:
+        image = settled(alm2map(way, nside))
+        step = slope / _size(image)
+        alm = _plus(alm, way, step, ["l", "m"], ["re", "im"])
+        rest = _plus(rest, image, -step, ["ipix"], ["value"])
+        down = settled(transposed(rest))
+        slope, before, left = _size(down), slope, _size(rest)
+        way = _plus(down, way, slope / before, ["l", "m"], ["re", "im"])
+        steps += 1
+    return alm, math.sqrt(left / whole) if whole else 0.0, steps

@@ -120,3 +120,22 @@ def rotate_map(sky: DataFrame, nside: int, rotator) -> DataFrame:
     old = rotator.inverse.direction(F.col("a.theta"), F.col("a.phi"))
     points = grid.select("pixel", old.alias("d")).select("pixel", "d.*")
     return interpolate(points, sky, nside, "pixel", "theta", "phi").withColumnRenamed("pixel", "ipix")
+
+
+def equalised(sky: DataFrame, bins: int | None = None) -> DataFrame:
+    """(ipix, value, level): good values' places in 0..1 by the cumulated histogram; null for the others.
+
+    Bins are a twentieth of the good values' number, 5,000 at most, or that number if fewer than 3 come out.
+    Only the histogram's rows are put in order.
+    """
+    from pyspark.sql import Window
+
+    value = F.when(mask_good("value") & (F.abs("value") < float("inf")), F.col("value"))
+    low, high, n = sky.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n:
+        return sky.select("ipix", "value", F.lit(None).cast("double").alias("level"))
+    bins = bins or (min(n // 20, 5000) if n // 20 >= 3 else n)
+    at = F.when(value.isNotNull(), F.least(F.floor((value - low) / ((high - low) or 1.0) * bins), F.lit(bins - 1))).cast("int")
+    counts = sky.select(at.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+    up_to = counts.select("bin", (F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / n).alias("level"))
+    return sky.select("ipix", "value", at.alias("bin")).join(up_to, "bin", "left").select("ipix", "value", "level")

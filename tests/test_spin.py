@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 from skyframe.functions.rotation import Rotator
-from skyframe.operators import harmonic, spin
+from skyframe.operators import harmonic, maps, spin
 
 X = np.array([0.3, 1.1, 2.0, 2.9])
 
@@ -97,3 +97,26 @@ def test_random_coefficients(spark):
     e = p.select("l", "m", F.col("g_re").alias("re"), F.col("g_im").alias("im"))
     mean = lambda a, b=None: harmonic.alm2cl(a, b).agg(F.avg("cl")).first()[0]
     assert mean(t) == pytest.approx(4, rel=0.3) and mean(e) == pytest.approx(2, rel=0.3) and mean(t, e) == pytest.approx(1, abs=0.5)
+
+
+def test_least_squares_weights_and_windows(spark):
+    alm = spark.createDataFrame([(l, m, 1.0 / (l + 1), 0.0 if m == 0 else 0.3 / (m + l)) for l in range(6) for m in range(l + 1)], harmonic.ALM)
+    sky = harmonic.alm2map(alm, 4).cache()
+    got, rest, steps = harmonic.map2alm_lsq(sky, 4, 5, tol=1e-8)
+    worst = got.join(alm.withColumnsRenamed({"re": "a", "im": "b"}), ["l", "m"]).agg(F.max(F.abs(F.col("re") - F.col("a")) + F.abs(F.col("im") - F.col("b"))), F.count("*")).first()
+    assert worst[0] < 1e-6 and worst[1] == 21 and rest < 1e-6 and 0 < steps <= 20
+    rings = spark.createDataFrame([(1, 0.5)], "ring int, w double")
+    pixels = spark.createDataFrame([(7, 2.0)], "ipix long, weight double")
+    heavy = harmonic.weighted(sky, 4, pixels, rings).withColumnRenamed("value", "w").join(sky, "ipix")
+    assert [(r.ipix, round(r.w / r.value, 9)) for r in heavy.where("abs(w - value) > 1e-12").orderBy("ipix").collect()] == [(i, 1.5) for i in range(4)] + [(7, 2.0)] + [(i, 1.5) for i in range(188, 192)]
+    old = spark.createDataFrame([(0, 2.0), (1, 0.0), (2, 4.0)], "l int, fl double")
+    new = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)], "l int, fl double")
+    assert sorted(map(tuple, harmonic.window_ratio(new, old).collect())) == [(0, 0.5), (1, 0.0), (2, 0.25)]
+
+
+def test_equalised(spark):
+    sky = spark.range(100).select(F.col("id").alias("ipix"), F.when(F.col("id") == 9, P.UNSEEN).when(F.col("id") == 8, float("nan")).otherwise(F.exp(F.col("id") / 20)).alias("value"))
+    rows = maps.equalised(sky).orderBy("ipix").collect()
+    assert rows[9].level is None and rows[8].level is None and rows[99].level == 1.0
+    good = [r.level for r in rows if r.level is not None]
+    assert len(good) == 98 and good == sorted(good)
