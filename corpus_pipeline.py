@@ -12,6 +12,7 @@ classifier; empty tables pass through as empty tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyframe.llm._common import stored
 from skyframe.llm.decontaminate import without_contaminated
@@ -42,8 +43,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in ORC; a row per document from what was read back."""
-    return tokens_written(docs)
+    """Token files in ORC, in the mixture's order; a row per document from what was read back.
+
+    The mixing stage's range partitions are files numbered in their order, each
+    sorted, so a row's file name and number in it are its place in the mixture,
+    in whatever order the files are read.
+    """
+    return tokens_written(docs, order=(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
 
 
 STAGES = [("quality classifier", classify), ("MinHash near-dedup", deduplicate), ("benchmark decontamination", decontaminate), ("mixing sources", mix), ("token output", tokenise)]

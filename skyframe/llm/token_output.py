@@ -1,7 +1,7 @@
 """Token ids in ORC files: run-length encoded integers, row indexes and Bloom filters on the document id.
 
-Documents are range-partitioned by id and sorted, encoded within their
-partition and written at once; a file holds one range, its stripes can be read
+Documents are range-partitioned by id, or by a given order, and sorted, encoded
+within their partition and written at once; a file holds one range, its stripes can be read
 in parallel, and a look-up by id is pruned by footer, row index and Bloom
 filter.  Each row keeps the number of its range, so the offset of a document in
 the whole stream is the sum of the ranges before it and of the rows before it
@@ -45,18 +45,20 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "chunk", "row")] + [pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "chunk", "row", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, ranges: int | None = None) -> str:
-    """Write the ids of every whole text, each document's followed by ``END``, in ascending doc_id order; returns ``path``.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, ranges: int | None = None, order: tuple = ()) -> str:
+    """Write the ids of every whole text, each document's followed by ``END``, in ascending order; returns ``path``.
 
-    A null text is empty.  Rows with one doc_id are ordered by their text;
-    null ids come first.  ``ranges``: number of files; the session's number of
-    shuffle partitions if not given.
+    ``order``: columns to go by before doc_id; by doc_id alone if not given.
+    A null text is empty.  Rows equal in these are ordered by their text; nulls
+    come first.  ``ranges``: number of files; the session's number of shuffle
+    partitions if not given.
     """
     spark = docs.sparkSession
     json = spark.sparkContext.broadcast(tokenizer_json(tokenizer or default_tokenizer()))
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    places = {f"place_{i}": c for i, c in enumerate(order)}
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), *[c.alias(p) for p, c in places.items()])
+    rows = rows.repartitionByRange(n, *places, "doc_id", "tie").sortWithinPartitions(*places, "doc_id", "tie", "text")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("row"))
     ids = rows.mapInArrow(_encoded(json), SCHEMA)
     writer = ids.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", 10000)
@@ -80,7 +82,7 @@ def token_index(spark, path: str) -> DataFrame:
     return rows.join(chunks, "chunk").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_written(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write the ids to the shared folder and return ``token_index`` of what was written."""
-    path = write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer)
+def tokens_written(docs: DataFrame, tokenizer: str | None = None, order: tuple = ()) -> DataFrame:
+    """Write the ids to the shared folder, by ``order`` and doc_id, and return ``token_index`` of what was written."""
+    path = write_tokens(docs, new_path(docs.sparkSession, "tokens"), tokenizer, order=order)
     return token_index(docs.sparkSession, path)

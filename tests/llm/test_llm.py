@@ -282,3 +282,19 @@ def test_pipeline(spark):
     clean = {r.doc_id for r in seen[2].collect() if not any(100 * len(s & shingles(r.text)) >= 80 * len(s) for _, s in items if s)}
     assert ids[3] == clean == ids[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == clean
+
+
+def test_pipeline_writes_tokens_in_mixture_order(spark):
+    import corpus_pipeline
+
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # several files
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = corpus_pipeline.stored(stage(spark, docs, SF), "t")
+        want = [r.doc_id for r in mixed(docs).orderBy("mix_slot", "mix_rank").collect()]
+        got = [r.doc_id for r in corpus_pipeline.run(spark, SF).orderBy("start").collect()]
+    finally:
+        spark.conf.unset(coalesce)
+    assert got == want != sorted(want)
