@@ -16,7 +16,7 @@ from skyframe.llm.decontaminate import contaminated, without_contaminated
 from skyframe.llm.html_extract import blocks, main_texts
 from skyframe.llm.mixing import in_mix_order, mixed
 from skyframe.llm.near_dedup import near_duplicates, without_near_duplicates
-from skyframe.llm.quality import accepted, held_out, quality_scores
+from skyframe.llm.quality import FEATURES, accepted, features, held_out, quality_scores
 from skyframe.llm.queries import QUERIES
 from skyframe.llm.substring_dedup import equal_words, shared_passages
 from skyframe.llm.token_counts import at_limits, context_limits, length_histogram, quantile_lengths
@@ -179,6 +179,12 @@ def test_contaminated(spark, odd, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(odd, items.where("false")).count() == 0
 
 
+def test_quality_reads_every_word():
+    for n in (100, 400, 1000, 20_000):
+        x = features([" ".join(["Aa", "bb"] * (n // 2)), " ".join(["Aa"] + ["bb"] * (n - 1))])[:, FEATURES.index("capitalised")]
+        assert x.tolist() == [0.5, 1 / n]
+
+
 def test_quality(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
