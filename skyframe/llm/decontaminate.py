@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Test items are partitioned by their number of shingles (sizes doubling from
-``BASE``).  For a partition of items of at most m shingles, a document is cut
+``BASE``); an item of fewer is a candidate wherever one of its shingles is.
+For a partition of items of at most m shingles, a document is cut
 into blocks of m shingles, and two neighbouring blocks are one window: a
 passage of m shingles lies whole within one, however long the document is, so
 the similarity of item and window stays above ``containment / 4``.  Minima of
@@ -52,13 +53,20 @@ def _level(n: int) -> int:
 
 
 class _Items:
-    """A part of the benchmark: by level, the sorted minima of its items; and the items' sets."""
+    """A part of the benchmark: by level, the sorted minima of its items; the sorted shingles of small items; and the items' sets."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
         by: dict[int, list[int]] = {}
         for i, own in enumerate(sets):
-            by.setdefault(_level(len(own)), []).append(i)
+            if len(own) >= BASE:
+                by.setdefault(_level(len(own)), []).append(i)
+        small = [i for i, own in enumerate(sets) if len(own) < BASE]
+        flat = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in small)])
+        order = np.argsort(flat, kind="stable")
+        maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
+        maybe[flat & _LOW] = True
+        self.small = maybe, flat[order], np.repeat(np.array(small, np.int64), [len(sets[i]) for i in small])[order]
         self.levels = {}
         for level, items in by.items():
             values = np.stack([np.multiply.outer(_MULTIPLIERS, sets[i]).min(axis=1) for i in items], axis=1)
@@ -69,8 +77,13 @@ class _Items:
             self.levels[level] = maybe, flat[order], np.tile(np.array(items), HASHES)[order], np.repeat(np.arange(HASHES), len(items))[order]
 
     def near(self, grams: np.ndarray) -> set[int]:
-        """Items that agree with a window of the document in a minimum."""
-        found: set[int] = set()
+        """Small items that share a shingle with the document, others that agree with a window of it in a minimum."""
+        maybe, values, items = self.small
+        wanted = np.unique(grams[maybe[grams & _LOW]])
+        low, high = np.searchsorted(values, wanted), np.searchsorted(values, wanted, side="right")
+        found = {k for a, b in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True) for k in items[a:b].tolist()}
+        if not self.levels:
+            return found
         blocks, level = _minima(grams, BASE), 0
         for at in sorted(self.levels):
             while level < at:

@@ -179,6 +179,14 @@ def test_contaminated(spark, odd, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(odd, items.where("false")).count() == 0
 
 
+def test_contaminated_by_small_items(spark):
+    small = [" ".join(f"i{i}x{j}" for j in range(5 + i % 8)) for i in range(200)]
+    items = spark.createDataFrame(list(enumerate(small)), "item_id long, text string")
+    long = [words(400).split() for _ in small]
+    docs = spark.createDataFrame([(i, " ".join(long[i][:195] + t.split() + long[i][195:])) for i, t in enumerate(small)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(i, i) for i in range(200)]
+
+
 def test_quality_reads_every_word():
     for n in (100, 400, 1000, 20_000):
         x = features([" ".join(["Aa", "bb"] * (n // 2)), " ".join(["Aa"] + ["bb"] * (n - 1))])[:, FEATURES.index("capitalised")]
