@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,17 @@ COVERED = 0.6
 # Element and class names of HTML.
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = "script|style|template|noscript|svg|math|iframe|object|canvas|video|audio|select|textarea|button|title"
+_RAW = "script|style|textarea|title|iframe"
+_SKIPPED = set("template noscript svg math object canvas video audio select button".split())
+#: Of these, one may stand within another.
+_NESTED = {"template", "object"}
 _CHROME_TAGS = set("nav footer aside form dialog menu head".split())
 _CHROME_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 _CHROME_WORDS = set("ad ads adv advert advertisement advertising advertorial banner sponsor sponsored promo promotion sidebar aside cookie cookies consent gdpr notice notices alert comment comments commentlist discussion disqus replies respond share sharing social related recommended newsletter subscribe subscription signup popup modal overlay pagination pager breadcrumb breadcrumbs".split())
 _OUTER_WORDS = set("nav navbar navigation menu topbar toolbar header masthead footer bottom copyright widget search login logo".split())
 
-_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_SKIPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SKIPPED))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACES = re.compile(r"\s+")
@@ -72,12 +77,34 @@ def _zone(tag: str, attributes: str, around: str) -> str | None:
     return zone
 
 
+def _tag_places(page: str) -> dict[tuple[str, str], list[int]]:
+    """Where the start tags ("") and end tags ("/") of skipped elements are."""
+    found: dict[tuple[str, str], list[int]] = {}
+    for m in _SKIPPED_TAG.finditer(page):
+        found.setdefault((m[2].lower(), m[1]), []).append(m.start())
+    return found
+
+
+def _ended(places: dict, tag: str, at: int) -> bool:
+    """Whether the element whose start tag ends at ``at`` has an end tag of its own."""
+    ends, starts = places.get((tag, "/"), []), places.get((tag, ""), [])
+    end, start = bisect_left(ends, at), bisect_left(starts, at)
+    return end < len(ends) and (tag in _NESTED or start == len(starts) or ends[end] < starts[start])
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(zone, text) of a page's blocks in order; texts with single spaces, none empty."""
+    """(zone, text) of a page's blocks in order; texts with single spaces, none empty.
+
+    Skipped elements (``_SKIPPED``) have no text and cut no block.  They end
+    with their end tag or an element around them; one without an end tag ends
+    at the next block.
+    """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, str]] = []  # tag, the zone around it, what is skipped around it
     pieces: list[str] = []
     zone, at = "open", 0
+    skipped = ""  # "ended" or "cut off" within a skipped element with or without an end tag
+    places = None
 
     def close():
         if pieces:
@@ -88,42 +115,57 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
 
     page = page or ""
     for m in _MARK.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             pieces.append(page[at : m.start()])
         at = m.end()
         if not m[3]:
             continue
         tag = m[3].lower()
         if tag == "br":
-            pieces.append(" ")
+            if not skipped:
+                pieces.append(" ")
             continue
-        if tag in _BLOCK:
+        if tag in _BLOCK and not m[2] and skipped == "cut off":
+            while skipped == "cut off":
+                skipped = stack.pop()[2]
+        if tag in _BLOCK and not skipped:
             close()
         if tag in _VOID:
             continue
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if stack[i][1] != zone:
+                    if stack[i][1] != zone or (tag in _BLOCK and not stack[i][2]):
                         close()
-                    zone = stack[i][1]
+                    _, zone, skipped = stack[i]
                     del stack[i:]
                     break
+                if skipped == "ended" and tag in ("p", "li") and stack[i][0] in _SKIPPED:
+                    break
+            continue
+        if tag in _SKIPPED:
+            if m[4].endswith("/") and tag in ("svg", "math"):
+                continue
+            places = _tag_places(page) if places is None else places
+            stack.append((tag, zone, skipped))
+            if skipped != "ended":
+                skipped = "ended" if _ended(places, tag, m.end()) else "cut off"
             continue
         if tag in ("p", "li") or tag == "body":  # these end an open one of their kind
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag or (tag == "body" and stack[i][0] == "head"):
-                    zone = stack[i][1]
+                    _, zone, skipped = stack[i]
                     del stack[i:]
                     break
-                if stack[i][0] in _BLOCK and tag != "body":
+                if (stack[i][0] in _BLOCK or stack[i][0] in _SKIPPED) and tag != "body":
                     break
-        stack.append((tag, zone))
-        own = _zone(tag, m[4].strip(" /"), zone)
+        stack.append((tag, zone, skipped))
+        own = None if skipped else _zone(tag, m[4].strip(" /"), zone)
         if own and own != zone:
             close()
             zone = own
-    pieces.append(page[at:])
+    if not skipped:
+        pieces.append(page[at:])
     close()
     return out
 

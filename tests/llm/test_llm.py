@@ -242,6 +242,11 @@ def test_html_blocks():
     assert blocks(None) == [] and blocks("") == [] and blocks("<article>cut <p>off") == [("main", "cut"), ("main", "off")]
 
 
+@pytest.mark.parametrize("odd_part", ['<svg class="i"/>', "<math/>", "<video-player src='x'></video-player>", "<button-group></button-group>", "<button>no", "<select><option>no<option>no", "<svg><path d='M0'><text>no</text>", "<button>no<button>no</button>", "<button><p>no</p></button>", "<p><template><div>no<template><p>no</template></div></template>", "<video src='x'>no<p>no</p></video>", "<select><option>no</select>", "<object><object><p>no</object><p>no</object>", "<textarea>no<p>no</textarea>"])
+def test_text_after_an_odd_element_stays(odd_part):
+    assert blocks(f"<article><p>a</p>{odd_part}<p>rest</p><p>b <button>no</button> c</p></article>") == [("main", "a"), ("main", "rest"), ("main", "b c")]
+
+
 def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     chrome = "Welcome to our site where all news is told first and best"
     rows = [(i, f"http://h.example/{i}", f"<div>{chrome}</div><p>Story {words(20)}</p>") for i in range(4)]
