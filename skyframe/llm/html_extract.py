@@ -6,8 +6,10 @@ sidebars, notices, adverts, forms, reader comments) or ``open``.  The words
 outside the main zone are the page's token stream.  The streams of a host are
 concatenated, with a break between pages, and their suffixes are sorted by
 their first ``RUN`` words by prefix doubling; neighbours in that order that
-agree in all of them and lie on distinct pages are repeats.  A page's text is
-its main zone; a page without one keeps of its open blocks those runs that no
+agree in all of them and lie on distinct pages are repeats.  Pages without a
+main zone whose open blocks have ``COPIES`` % of their shingles in common are
+one page here, so copies don't take each other's text.  A page's text is its
+main zone; a page without one keeps of its open blocks those words that no
 repeat covers, so what a host repeats from page to page goes and unique runs
 stay.  Text inside a main zone is never removed for being repeated.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import gram_hashes, stored, text_batches, word_hashes
+from .near_dedup import near_duplicates
 
 RUN = 8
 SHARD = 400_000
-#: An open block goes if repeats cover this share of its words.
-COVERED = 0.6
+#: Per cent of the five-word shingles of two pages' open blocks that are the same in copies.
+COPIES = 80
 
 # Element and class names of HTML.
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -226,7 +230,7 @@ def _repeats(shard: pd.DataFrame, several: bool):
     if not len(order):
         return
     new = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-    pages = shard["row"].to_numpy()[page[order]]
+    pages = shard["page"].to_numpy()[page[order]]
     first, last = np.minimum.reduceat(pages, new), np.maximum.reduceat(pages, new)
     keep = np.ones(len(new), bool) if several else first != last
     grams = gram_hashes(tokens, RUN)[order[new]]
@@ -264,16 +268,15 @@ def _unique_runs(batches):
     for batch in batches:
         texts = []
         for opens, places in zip(batch.column("opens").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            sizes = [len(t.encode("utf-8", "surrogatepass").split()) for t in opens]
-            covered = np.zeros(sum(sizes) + RUN, bool)
+            words = [t.split(" ") for t in opens]  # as word_hashes splits them: a block's white space is single spaces
+            covered = np.zeros(sum(map(len, words)) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
             at, kept = 0, []
-            for text, n in zip(opens, sizes, strict=True):
-                if not n or covered[at : at + n].mean() < COVERED:
-                    kept.append(text)
-                at += n
-            texts.append("\n".join(kept))
+            for own in words:
+                kept.append(" ".join(compress(own, ~covered[at : at + len(own)])))
+                at += len(own)
+            texts.append("\n".join(filter(None, kept)))
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts)], names=["row", "unique"])
 
 
@@ -282,18 +285,21 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space within a block is one space,
     blocks are joined by one line feed.  A null or empty page gives an empty
-    text.  Pages with a null or odd url share the host ''.  Repeated rows are
-    pages of their own.  An empty table gives no rows.
+    text.  Pages with a null or odd url share the host ''.  Repeated rows each
+    have their text.  An empty table gives no rows.
     """
     rows = pages.select("page_id", "url", "html").withColumn("row", F.monotonically_increasing_id())
     parsed = stored(rows.mapInArrow(_parsed, _PARSED), "pages")
+    undecided = parsed.where("not has_main")
+    copies = near_duplicates(undecided.select(F.col("row").alias("doc_id"), F.array_join("opens", "\n").alias("text")), COPIES)
+    copies = copies.select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")).where("row <> page")
     hosts = parsed.groupBy("host").agg(F.sum(F.size("words").cast("long")).alias("n"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD)).cast("long")
     streams = parsed.where(F.size("words") >= RUN).select("host", "row", "words").join(hosts.select("host", shards.alias("shards")), "host")
+    streams = streams.join(copies, "row", "left").withColumn("page", F.coalesce("page", "row"))
     streams = streams.withColumn("shard", F.pmod(F.xxhash64("row"), "shards")).repartition("host", "shard").sortWithinPartitions("host", "shard")
     grams = streams.mapInArrow(_shards, "host string, gram long, first long, last long")
     repeats = stored(grams.groupBy("host", "gram").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("host", "gram"), "repeats")
-    undecided = parsed.where("not has_main")
     places = undecided.select("row", "host", "words").mapInArrow(_places, "row long, host string, place long, gram long")
     places = places.join(repeats, ["host", "gram"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
     unique = undecided.select("row", "opens").join(places, "row", "left").mapInArrow(_unique_runs, "row long, unique string")

@@ -257,6 +257,21 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_copies_of_a_page_keep_their_text_and_repeats_go_as_runs(spark):
+    chrome = " ".join(f"chrome{i}" for i in range(10))
+    own = [" ".join(f"own{i}x{j}" for j in range(60)) for i in range(4)]
+    near = own[0].replace("own0x30 ", "changed ")
+    halves = [f"{chrome} {' '.join(f'half{i}x{j}' for j in range(12))}" for i in range(4)]
+    page = lambda i, text: f"<div>{chrome}</div><p>{text}</p><p>{halves[i]}</p>"
+    shown = [page(0, own[0]), page(0, own[0]), page(0, near), page(1, own[1]), page(2, own[2]), page(3, own[3])]
+    rows = [(i, f"http://h.example/{i}", t) for i, t in enumerate(shown)]
+    rows += [rows[0], (6, "http://alone.example/1", page(0, own[3])), (7, "http://alone.example/2", page(0, own[3]))]
+    got = sorted((r.page_id, r.text) for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    half = [h.removeprefix(chrome + " ") for h in halves]
+    want = [(0, f"{own[0]}\n{half[0]}")] * 2 + [(1, f"{own[0]}\n{half[0]}"), (2, f"{near}\n{half[0]}")] + [(i + 2, f"{own[i]}\n{half[i]}") for i in (1, 2, 3)]
+    assert got == want + [(i, f"{chrome}\n{own[3]}\n{halves[0]}") for i in (6, 7)]
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hé"), (1, 2, "bob", "yo"), (1, None, None, None), (2, 0, "system", "x"), (None, 0, "ann", "n"), (1, 1, "ann", "hé")]
     out = perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
