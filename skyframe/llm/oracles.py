@@ -42,20 +42,21 @@ g AS (SELECT conv_id, participant, part, piece, count(*) AS n_messages, string_a
   coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY number) FILTER (WHERE learn), '') AS spans FROM f GROUP BY ALL)
 SELECT conv_id, participant, part, piece, n_messages, (sum(length(text)) OVER (PARTITION BY conv_id, participant ORDER BY part, piece) - length(text))::BIGINT AS char_start, text, spans FROM g"""
 
-#: The sqrt and the units are whole-number arithmetic but for one square root; the period's fold picks, slot by slot, the least deadline.
+#: Whole-number arithmetic but for one square root; the fold picks, slot by slot, the least deadline of what is released.
 OP5 = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS s0, source, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-z AS (SELECT s0, floor(sqrt(count(*)::DOUBLE) * 1000)::BIGINT AS raw FROM d GROUP BY 1),
-u AS MATERIALIZED (SELECT s0, greatest(1, (raw * 1000 + t // 2) // t)::BIGINT AS units FROM z, (SELECT sum(raw)::BIGINT AS t FROM z)),
-l AS MATERIALIZED (SELECT list(s0 ORDER BY s0) AS s, list(units ORDER BY s0) AS w, sum(units)::BIGINT AS total FROM u),
+u AS MATERIALIZED (SELECT s0, count(*) AS docs, floor(sqrt(count(*)::DOUBLE) * 1000)::BIGINT AS units FROM d GROUP BY 1),
+b AS MATERIALIZED (SELECT greatest(64, max(ceil((docs * (SELECT sum(units) FROM u) // units + 1)::DOUBLE / 131072)))::BIGINT AS per FROM u),
+l AS MATERIALIZED (SELECT list(s0 ORDER BY s0) AS s, list(units ORDER BY s0) AS w, sum(units)::BIGINT AS total,
+  least(sum(units), max(((docs + per - 1) // per * (SELECT sum(units) FROM u) + units - 1) // units))::BIGINT AS slots FROM u, b),
 f(t, had, pick) AS (
   SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT FROM l
   UNION ALL
   SELECT t, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END), pick FROM (
-    SELECT t + 1 AS t, had, list_sort(list_transform(list_filter(range(1, len(w) + 1), lambda i: had[i] < w[i] AND (had[i] * total) // w[i] <= t + 1),
-      lambda i: ((had[i] + 1) * total + w[i] - 1) // w[i] * 1000000 + i))[1] % 1000000 AS pick FROM f, l WHERE t + 1 < total)),
+    SELECT t + 1 AS t, had, list_sort(list_transform(list_filter(range(1, len(w) + 1), lambda i: (had[i] * total) // w[i] <= t + 1),
+      lambda i: ((had[i] + 1) * total + w[i] - 1) // w[i] * 1000000 + i))[1] % 1000000 AS pick FROM f, l WHERE t + 1 < slots)),
 p AS MATERIALIZED (SELECT s[pick] AS s0, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM f, l WHERE t >= 0 AND pick IS NOT NULL),
 n AS (SELECT doc_id, source, s0, row_number() OVER (PARTITION BY s0 ORDER BY h, doc_id) - 1 AS k FROM d)
-SELECT doc_id, source, k // 64 AS mix_block, (k // 64) // units * total + slot AS mix_slot, (k % 64)::BIGINT AS mix_rank
-FROM n JOIN u USING (s0) JOIN p ON p.s0 = n.s0 AND p.turn = (k // 64) % units, l"""
+SELECT doc_id, source, k // per AS mix_block, (k // per) // units * total + slot AS mix_slot, (k % per)::BIGINT AS mix_rank
+FROM n JOIN u USING (s0) JOIN p ON p.s0 = n.s0 AND p.turn = (k // (SELECT per FROM b)) % units, l, b"""
 
 ORACLES = {"op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}

@@ -206,7 +206,7 @@ def test_quality(spark, odd, empty):
 def test_mixing(spark, odd, empty):
     docs = spark.createDataFrame([(i, "abc"[0 if i % 10 < 6 else 1 if i % 10 < 9 else 2], "t") for i in range(4000)], "doc_id long, source string, text string")
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    out = mixed(docs, weights, block_docs=4, period=10).collect()
+    out = mixed(docs, weights, block_docs=4).collect()
     assert len(out) == 4000
     order = {r.mix_slot: r.mix_source for r in out}
     had, horizon = dict.fromkeys("abc", 0), min(max(s for s, x in order.items() if x == c) for c in "abc")
@@ -219,6 +219,27 @@ def test_mixing(spark, odd, empty):
     assert mixed(clash).count() == odd.count()
 
 
+@pytest.mark.parametrize(("weights", "slots"), [({"a": 0.50049, "b": 0.49951}, 1 << 17), ({"a": 1 / 3, "b": 0.1234567, "c": 0.5432099667}, 1 << 17), ({"a": 0.7, "b": 0.2, "c": 0.1}, 100), (None, 1 << 17)])
+def test_mixing_stays_within_a_block_of_the_true_weights(spark, weights, slots):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.expr("case when id % 10 < 5 then 'a' when id % 10 < 8 then 'b' else 'c' end").alias("source"))
+    docs = docs.where(F.col("source").isin(list(weights))) if weights else docs
+    out = mixed(docs, weights, block_docs=2, slots=slots).select("mix_source", "mix_slot").distinct().collect()
+    assert max(r.mix_slot for r in out) < slots
+    share = weights or {k: int(n**0.5 * 1000) for k, n in (("a", 6000), ("b", 3600), ("c", 2400))}
+    total = sum(share.values())
+    order = {r.mix_slot: r.mix_source for r in out}
+    had, horizon = dict.fromkeys(share, 0), min(max(s for s, x in order.items() if x == c) for c in share)
+    for slot in range(horizon):
+        had[order[slot]] += 1
+        assert all(abs(had[c] - share[c] / total * (slot + 1)) < 1 for c in share)
+
+
+def test_mixing_takes_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a")] * 500 + [(1, "a")] * 300 + [(i, None) for i in range(200)], "doc_id long, source string")
+    out = mixed(docs, {"a": 0.8}, block_docs=8).collect()
+    assert len(out) == 1000 and len({(r.mix_slot, r.mix_rank) for r in out}) == 1000
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=9)]) for i in range(300)]
