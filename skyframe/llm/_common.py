@@ -16,9 +16,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # --- shared storage --------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all nodes see: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a single machine; an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         at = f"file://{tempfile.mkdtemp(prefix='skyframe-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -341,14 +341,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = stored(_verified(best, sets, percent).unionAll(_large_buckets(hot, sets, percent)), "links")
     comps = components(first)
     rest = _across(small.join(best, ["a", "b"], "left_anti"), comps)
-    links = stored(first.unionAll(_verified(rest, sets, percent)), "links")
+    # An id that several texts have links their classes.
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
+    several = stored(several, "several")
+    of_id = rows.join(several, "doc_id").where("n_shingles > 0").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    of_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    links = stored(first.unionAll(_verified(rest, sets, percent)).unionAll(of_id), "links")
     dropped(sets, pairs, nodes, first)
     comps = components(links)
     # Equal digests share the class's node; links of the class hold for all its rows.
     of_class = classes.where("n_shingles > 0").select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if not several.isEmpty():  # such an id's rows with an empty text go with the others
+        whole = out.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

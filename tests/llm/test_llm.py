@@ -89,6 +89,14 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert all(r.n_shingles == sizes[r.doc_id] for r in got if r.doc_id is not None)
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    t = [words(60) for _ in range(4)]
+    rows = [(3, t[2]), (5, t[1]), (5, t[2]), (7, t[1]), (9, ""), (9, t[3]), (8, t[3]), (11, None), (11, "  ")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit(1)).withColumn("node", F.lit("x"))).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8), (11, 11), (11, 11)]
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_large_groups_of_near_copies(spark):
     base = words(150).split()
     rows = [(0, " ".join(base))]
