@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settled(frame: DataFrame) -> DataFrame:
-    """The frame checkpointed in ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return frame.checkpoint()
+    """The frame written once in ``spark.checkpoint.dir`` and read back. Where that is unset, in a temporary folder on a single machine; an error on a cluster."""
+    spark = frame.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        at = f"file://{tempfile.mkdtemp(prefix='skyframe-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
