@@ -1,17 +1,19 @@
-"""Main text of web pages: page structure and a suffix array over each host's boilerplate.
+"""Main text of web pages: page structure and a suffix array over each host's pages.
 
 A page is cut into blocks, each with the zone of its innermost marked element:
 ``main`` (article, main and their like), ``chrome`` (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) or ``open``.  The words
+sidebars, notices, adverts, forms, reader comments), ``doubt`` (within main, with
+a name that may mean chrome, as in "related-work") or ``open``.  The words
 outside the main zone are the page's token stream.  The streams of a host are
 concatenated, with a break between pages, and their suffixes are sorted by
 their first ``RUN`` words by prefix doubling; neighbours in that order that
-agree in all of them and lie on distinct pages are repeats.  Pages without a
-main zone whose open blocks have ``COPIES`` % of their shingles in common are
-one page here, so copies don't take each other's text.  A page's text is its
-main zone; a page without one keeps of its open blocks those words that no
-repeat covers, so what a host repeats from page to page goes and unique runs
-stay.  Text inside a main zone is never removed for being repeated.
+agree in all of them and lie on distinct pages are repeats.  Pages that are
+asked about and have ``COPIES`` % of their shingles in common are one page
+here, so copies don't take each other's text; a page without a host has no
+repeats.  A page's text is its main zone, or its open blocks if it has none; of
+blocks in doubt and of open ones those words stay that no repeat covers, so what
+a host repeats from page to page goes and unique runs stay.  Text that is
+plainly in the main zone is never removed for being repeated.
 
 A host is dealt out in shards of about ``SHARD`` words.  Shards of one host
 hand on the grams they hold with the first and last page of each, and a gram is
@@ -36,15 +38,15 @@ from ._common import gram_hashes, stored, text_batches, word_hashes
 from .near_dedup import near_duplicates
 
 RUN = 8
-SHARD = 400_000
-#: Per cent of the five-word shingles of two pages' open blocks that are the same in copies.
+SHARD = 1 << 16
+#: Per cent of the five-word shingles of two pages' texts that are the same in copies.
 COPIES = 80
 
 # Element and class names of HTML.
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|textarea|title|iframe"
-_SKIPPED = set("template noscript svg math object canvas video audio select button".split())
+_SKIPPED = set("template noscript svg annotation annotation-xml object canvas video audio select button".split())
 #: Of these, one may stand within another.
 _NESTED = {"template", "object"}
 _CHROME_TAGS = set("nav footer aside form dialog menu head".split())
@@ -52,6 +54,11 @@ _CHROME_ROLES = set("navigation banner contentinfo complementary search form ale
 _CHROME_WORDS = set("ad ads adv advert advertisement advertising advertorial banner sponsor sponsored promo promotion sidebar aside cookie cookies consent gdpr notice notices alert comment comments commentlist discussion disqus replies respond share sharing social related recommended newsletter subscribe subscription signup popup modal overlay pagination pager breadcrumb breadcrumbs".split())
 _OUTER_WORDS = set("nav navbar navigation menu topbar toolbar header masthead footer bottom copyright widget search login logo".split())
 
+#: Words that leave a name of chrome one, as in "related-posts"; any other makes it doubtful within main.
+_FILLER_WORDS = set("area articles bar block bottom box button buttons container content div form group inner left links list outer panel post posts right section slot stories top unit widget wrap wrapper".split())
+#: Elements of running text; their names never decide within main.
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption table tr caption".split())
+
 _MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _SKIPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SKIPPED))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -63,7 +70,7 @@ def _zone(tag: str, attributes: str, around: str) -> str | None:
     """The zone that an element opens; None if it doesn't open one."""
     if around == "chrome":
         return None
-    if tag in _CHROME_TAGS or (tag == "header" and around != "main"):
+    if tag in _CHROME_TAGS or (tag == "header" and around not in ("main", "doubt")):
         return "chrome"
     zone = "main" if tag in ("article", "main") else None
     if attributes:
@@ -71,14 +78,18 @@ def _zone(tag: str, attributes: str, around: str) -> str | None:
         role = given.get("role", "").lower()
         if role in _CHROME_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             return "chrome"
-        words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get("class", "") + " " + given.get("id", "")).lower()))
+        names = [set(_WORD.findall(x.lower())) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", given.get("class", "") + " " + given.get("id", "")).split()]
+        words = set().union(*names)
         if tag != "body" and words & _CHROME_WORDS:
-            return "chrome"
-        if tag != "body" and around != "main" and zone is None and words & _OUTER_WORDS:
+            if around not in ("main", "doubt"):
+                return "chrome"
+            sure = any(x & _CHROME_WORDS and x <= _CHROME_WORDS | _FILLER_WORDS for x in names)
+            return "chrome" if sure and tag not in _TEXT_TAGS else "doubt"
+        if tag != "body" and around not in ("main", "doubt") and zone is None and words & _OUTER_WORDS:
             return "chrome"
         if role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody":
             zone = "main"
-    return zone
+    return None if zone == "main" and around == "doubt" else zone
 
 
 def _tag_places(page: str) -> dict[tuple[str, str], list[int]]:
@@ -148,7 +159,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                     break
             continue
         if tag in _SKIPPED:
-            if m[4].endswith("/") and tag in ("svg", "math"):
+            if m[4].endswith("/") and tag == "svg":
                 continue
             places = _tag_places(page) if places is None else places
             stack.append((tag, zone, skipped))
@@ -183,25 +194,25 @@ def host_of(url: str | None) -> str:
 
 
 def _parsed(batches):
+    """Pages with the blocks their text is made of, whether each is asked about, and their token streams, in which these come first."""
     for batch in batches:
         for start, pages in text_batches(batch, "html"):
-            texts, has_main, opens, streams = [], [], [], []
+            parts, asked, streams = [], [], []
             for page in pages:
                 found = blocks(page)
-                main = [t for z, t in found if z == "main"]
-                texts.append("\n".join(main))
-                has_main.append(bool(main))
-                opens.append([] if main else [t for z, t in found if z == "open"])
-                # Open blocks come first, so a run's place tells its block.
-                streams.append("\n".join([t for z, t in found if z == "open"] + [t for z, t in found if z == "chrome"]))
+                main = any(z == "main" for z, _ in found)
+                own = [(z, t) for z, t in found if z in (("main", "doubt") if main else ("open", "doubt"))]
+                parts.append([t for _, t in own])
+                asked.append([z != "main" for z, _ in own])
+                streams.append("\n".join([t for z, t in own if z != "main"] + [t for z, t in found if z == "chrome" or (main and z == "open")]))
             words, bounds = word_hashes(streams)
             hosts = [host_of(u) for u in batch.column("url").slice(start, len(pages)).to_pylist()]
             out = [batch.column(c).slice(start, len(pages)) for c in ("page_id", "url", "row")]
-            out += [pa.array(hosts), pa.array(texts), pa.array(has_main), pa.array(opens, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "row", "host", "main", "has_main", "opens", "words"])
+            out += [pa.array(hosts), pa.array(parts, pa.list_(pa.string())), pa.array(asked, pa.list_(pa.bool_())), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "row", "host", "parts", "asked", "words"])
 
 
-_PARSED = "page_id long, url string, row long, host string, main string, has_main boolean, opens array<string>, words array<long>"
+_PARSED = "page_id long, url string, row long, host string, parts array<string>, asked array<boolean>, words array<long>"
 
 
 def suffix_order(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +267,7 @@ def _shards(batches):
 
 
 def _places(batches):
-    """(row, host, place, gram) of the open words of pages without a main zone."""
+    """(row, host, place, gram) of pages' token streams."""
     for batch in batches:
         for row, host, words in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "words")), strict=True):
             grams = gram_hashes(np.array(words, np.int64).view(np.uint64), RUN).view(np.int64)
@@ -267,13 +278,16 @@ def _places(batches):
 def _unique_runs(batches):
     for batch in batches:
         texts = []
-        for opens, places in zip(batch.column("opens").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            words = [t.split(" ") for t in opens]  # as word_hashes splits them: a block's white space is single spaces
-            covered = np.zeros(sum(map(len, words)) + RUN, bool)
+        for parts, asked, places in zip(*(batch.column(c).to_pylist() for c in ("parts", "asked", "places")), strict=True):
+            words = [t.split(" ") for t in parts]  # as word_hashes splits them: a block's white space is single spaces
+            covered = np.zeros(sum(len(w) for w, a in zip(words, asked, strict=True) if a) + RUN, bool)
             for p in places or []:
                 covered[p : p + RUN] = True
             at, kept = 0, []
-            for own in words:
+            for t, own, ask in zip(parts, words, asked, strict=True):
+                if not ask:
+                    kept.append(t)
+                    continue
                 kept.append(" ".join(compress(own, ~covered[at : at + len(own)])))
                 at += len(own)
             texts.append("\n".join(filter(None, kept)))
@@ -285,24 +299,25 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space within a block is one space,
     blocks are joined by one line feed.  A null or empty page gives an empty
-    text.  Pages with a null or odd url share the host ''.  Repeated rows each
-    have their text.  An empty table gives no rows.
+    text.  Pages with a null or odd url have no host, so nothing is repeated on
+    them.  Repeated rows each have their text.  An empty table gives no rows.
     """
     rows = pages.select("page_id", "url", "html").withColumn("row", F.monotonically_increasing_id())
     parsed = stored(rows.mapInArrow(_parsed, _PARSED), "pages")
-    undecided = parsed.where("not has_main")
-    copies = near_duplicates(undecided.select(F.col("row").alias("doc_id"), F.array_join("opens", "\n").alias("text")), COPIES)
+    undecided = parsed.where(F.array_contains("asked", True) & (F.col("host") != ""))
+    copies = near_duplicates(undecided.select(F.col("row").alias("doc_id"), F.array_join("parts", "\n").alias("text")), COPIES)
     copies = copies.select(F.col("doc_id").alias("row"), F.col("component_id").alias("page")).where("row <> page")
-    hosts = parsed.groupBy("host").agg(F.sum(F.size("words").cast("long")).alias("n"))
+    streams = parsed.where((F.size("words") >= RUN) & (F.col("host") != ""))
+    hosts = streams.groupBy("host").agg(F.sum(F.size("words").cast("long")).alias("n"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("n") / SHARD)).cast("long")
-    streams = parsed.where(F.size("words") >= RUN).select("host", "row", "words").join(hosts.select("host", shards.alias("shards")), "host")
+    streams = streams.select("host", "row", "words").join(hosts.select("host", shards.alias("shards")), "host")
     streams = streams.join(copies, "row", "left").withColumn("page", F.coalesce("page", "row"))
     streams = streams.withColumn("shard", F.pmod(F.xxhash64("row"), "shards")).repartition("host", "shard").sortWithinPartitions("host", "shard")
     grams = streams.mapInArrow(_shards, "host string, gram long, first long, last long")
     repeats = stored(grams.groupBy("host", "gram").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("host", "gram"), "repeats")
     places = undecided.select("row", "host", "words").mapInArrow(_places, "row long, host string, place long, gram long")
     places = places.join(repeats, ["host", "gram"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-    unique = undecided.select("row", "opens").join(places, "row", "left").mapInArrow(_unique_runs, "row long, unique string")
-    decided = parsed.where("has_main").select("page_id", "url", F.col("main").alias("text"))
+    unique = undecided.select("row", "parts", "asked").join(places, "row", "left").mapInArrow(_unique_runs, "row long, unique string")
+    decided = parsed.where(~F.array_contains("asked", True) | (F.col("host") == "")).select("page_id", "url", F.array_join("parts", "\n").alias("text"))
     rest = undecided.select("page_id", "url", "row").join(unique, "row").select("page_id", "url", F.col("unique").alias("text"))
     return decided.unionAll(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -301,6 +301,42 @@ def test_copies_of_a_page_keep_their_text_and_repeats_go_as_runs(spark):
     assert got == want + [(i, f"{chrome}\n{own[3]}\n{halves[0]}") for i in (6, 7)]
 
 
+def test_names_of_chrome_within_an_article():
+    page = "<article><p class='share'>The share price rose</p><div class='related-work'><p>Work</p></div><p>a <math><mi>x</mi></math> b</p><div class='share-buttons'>Share</div><div class='ad'>Buy</div><section id='commentsSection'><p>Nice</p></section></article>"
+    assert blocks(page) == [("doubt", "The share price rose"), ("doubt", "Work"), ("main", "a x b"), ("chrome", "Share"), ("chrome", "Buy"), ("chrome", "Nice")]
+
+
+def test_the_suffix_array_decides_what_is_in_doubt(spark):
+    often = "Please support our work by reading more of what we wrote"
+    page = lambda i: f"<article><h1>Title {i}</h1><p>{words(30)}</p><p class='promo'>{often}</p><div class='related-work'><p>{words(25)} {often} end{i}</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    rows += [(10, "http://alone.example/", rows[0][2]), (11, None, rows[1][2]), (12, None, rows[2][2]), (13, rows[3][1], rows[3][2])]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = {i: "\n".join(t for _, t in blocks(h)) for i, _, h in rows}
+    for i in (0, 1, 2, 3, 4, 5, 13):
+        assert got[i] == whole[i].replace("\n" + often, "").replace(" " + often, "")
+    for i in (10, 11, 12):
+        assert got[i] == whole[i]
+    assert main_texts(spark.createDataFrame([], "page_id long, url string, html string, host string")).count() == 0
+
+
+def test_repeats_of_the_suffix_array_match_brute_force():
+    import pandas as pd
+
+    from skyframe.llm.html_extract import RUN, _repeats
+
+    for _ in range(20):
+        pages = [np.array([R.randrange(3) for _ in range(R.randrange(40))], np.uint64) for _ in range(5)]
+        held = {}
+        for i, p in enumerate(pages):
+            for k in range(len(p) - RUN + 1):
+                held.setdefault(tuple(p[k : k + RUN].tolist()), set()).add(i)
+        want = sorted((min(x), max(x)) for x in held.values() if len(x) > 1)
+        shard = pd.DataFrame({"words": [p.view(np.int64) for p in pages], "page": range(5)})
+        got = sorted((a, b) for _, first, last in _repeats(shard, False) for a, b in zip(first.tolist(), last.tolist(), strict=True))
+        assert got == want
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hé"), (1, 2, "bob", "yo"), (1, None, None, None), (2, 0, "system", "x"), (None, 0, "ann", "n"), (1, 1, "ann", "hé")]
     out = perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
