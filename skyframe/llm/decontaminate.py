@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import gram_hashes, mix, shingle_set, text_batches, word_hashes
+from ._common import gram_hashes, mix, new_path, shingle_set, stored, text_batches, word_hashes
 
 BASE = 16
 HASHES = 48
@@ -174,18 +174,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     nothing.  Repeated rows give repeated matches; a null doc_id is kept as
     null.  Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], SCHEMA)
-    for k, part in enumerate(_parts(benchmark)):
+    spark, path = docs.sparkSession, None
+    for part in _parts(benchmark):  # one at a time is held
+        path = path or new_path(docs.sparkSession, "contaminated")
         items = spark.sparkContext.broadcast(_Items(*part))
-        found = docs.select("doc_id", "text").mapInArrow(_contained(items, percent), SCHEMA)
-        out = found if not k else out.unionAll(found)
-    return out
+        docs.select("doc_id", "text").mapInArrow(_contained(items, percent), SCHEMA).write.mode("append").parquet(path)
+        items.destroy()
+    return spark.read.schema(SCHEMA).parquet(path) if path else spark.createDataFrame([], SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose text holds an item, whatever their id: a pass over the texts for each part of the benchmark, without a shuffle."""
     context = docs.sparkSession.sparkContext
+    items = None
     for part in _parts(benchmark):
-        docs = docs.mapInArrow(_clean(context.broadcast(_Items(*part)), percent), docs.schema)
+        if items:  # the part before is written and let go
+            docs = stored(docs, "clean")
+            items.destroy()
+        items = context.broadcast(_Items(*part))
+        docs = docs.mapInArrow(_clean(items, percent), docs.schema)
     return docs

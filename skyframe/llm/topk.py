@@ -13,7 +13,8 @@ integers.  So the result is exact.
 
 Queries go to the executors in parts of at most ``PART`` vectors; each part is
 one pass over the index, in which every task sees its own blocks only and
-returns k rows per query and block.
+returns k rows per query and block.  A part's ranks are written before the next
+one is read, so one part at a time is held.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import new_path, stored
 
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 SLICES = 5
 PART = 4096
 SCALE = 1024
@@ -167,15 +168,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     ``is_query``: condition on vec_id.  Candidates are all rows with another
     vec_id and as many components.  Rows that ``quantised`` leaves out take no
-    part; rows that repeat a vec_id are candidates each, and one query.
+    part; rows that repeat a vec_id are candidates each, and one query, with the
+    least of their vectors.
     Scores must fit 64 bits.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     index = stored(quantised(vectors), "vectors")
     blocks = index.repartition(max(1, -(-index.count() // BLOCK)))
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for n, part in enumerate(_parts(index.where(is_query).dropDuplicates(["vec_id"]))):
-        found = blocks.mapInArrow(_searched(spark.sparkContext.broadcast(part), k), out.schema)
-        out = found if not n else out.unionAll(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    path, schema = new_path(spark, "ranks"), "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for part in _parts(index.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))):
+        held = spark.sparkContext.broadcast(part)
+        found = blocks.mapInArrow(_searched(held, k), "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
+        held.destroy()
+    return spark.read.schema(schema).parquet(path)

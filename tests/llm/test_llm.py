@@ -263,6 +263,32 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_top_k_in_parts_with_repeated_ids(spark, monkeypatch):
+    from skyframe.llm import topk
+
+    monkeypatch.setattr(topk, "PART", 2)
+    rows = [(i, [float(i % 7), 1.0], "x") for i in range(40)] + [(10, [0.5, 0.5], "y"), (20, [9.0, 9.0], "y")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, q string")
+    got = sorted(tuple(r) for r in top_k(vectors, F.col("vec_id") % 10 == 0, 3).collect())
+    want = []
+    for i in range(0, 40, 10):
+        q = min([int(1024 * x) for x in v] for j, v, _ in rows if j == i)
+        scored = sorted((-sum(int(1024 * x) * y for x, y in zip(v, q, strict=True)), j) for j, v, _ in rows if j != i)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:3])]
+    assert got == want
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    from skyframe.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PART", 40)
+    items = [words(30) for _ in range(5)]
+    docs = spark.createDataFrame([(i, f"{words(9)} {t} {words(9)}", "c") for i, t in enumerate([*items, words(60)])], "doc_id long, text string, item_id string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, table).collect()) == [(i, i) for i in range(5)]
+    assert [r.doc_id for r in without_contaminated(docs, table).collect()] == [5]
+
+
 def test_html_blocks():
     page = """<head><title>T</title></head><body><nav><p>Menu</nav><header>Top</header><div class="cookie-notice">Ok?</div>
     <article><header><h1>A &amp;amp; B</h1></header><p>One<br>two &lt;x&gt; <b>three<p>Four<aside>Side</aside><form>f</form>
