@@ -159,18 +159,19 @@ def dipole_moments(spark, sf_dir):
 def rotate_points_g2e(spark, sf_dir):
     v = F.struct((F.sqrt(1 - F.col("z") * F.col("z")) * F.cos("phi")).alias("x"), (F.sqrt(1 - F.col("z") * F.col("z")) * F.sin("phi")).alias("y"), F.col("z"))
     rows = positions(spark, sf_dir).select("event_id", Rotator(coord="GE").vector(v).alias("v")).select("event_id", "v.*")
-    return rows.select("event_id", *[F.round(c, 8).alias(c) for c in "xyz"])
+    return rows.select("event_id", *[(F.round(c, 7) + 0.0).alias(c) for c in "xyz"])
 
 
 def _alm(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 528")
-    x = e.select(F.col("value"), F.floor((F.sqrt(F.col("event_id") * 8.0 + 1) - 1) / 2).cast("int").alias("l"), F.col("event_id"))
-    x = x.withColumn("m", (F.col("event_id") - F.col("l") * (F.col("l") + 1) / 2).cast("int"))
+    """Coefficients up to degree 31: all events, dealt out by their id over the 528 places of the triangle, and summed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.pmod("event_id", F.lit(528)).alias("k"), "value")
+    x = e.groupBy("k").agg(F.round(F.sum("value"), 2).alias("value")).withColumn("l", F.floor((F.sqrt(F.col("k") * 8.0 + 1) - 1) / 2).cast("int"))
+    x = x.withColumn("m", (F.col("k") - F.col("l") * (F.col("l") + 1) / 2).cast("int"))
     return x.select("l", "m", F.col("value").alias("re"), F.when(F.col("m") == 0, 0.0).otherwise(F.col("value") * 0.5).alias("im"))
 
 
 def alm2cl(spark, sf_dir):
-    return harmonic.alm2cl(_alm(spark, sf_dir)).select("l", F.round("cl", 5).alias("cl"))
+    return harmonic.alm2cl(_alm(spark, sf_dir)).select("l", F.round("cl", 3).alias("cl"))
 
 
 def almxfl_gauss(spark, sf_dir):
@@ -200,19 +201,29 @@ def dist2holes(spark, sf_dir):
 
 
 def rotated_spectrum(spark, sf_dir):
-    """A turn leaves a spectrum as it is. No spectrum of values with two decimals is a tie at the fifth."""
-    return harmonic.alm2cl(spin.rotate_alm(_alm(spark, sf_dir), 0.4, 1.1, -0.7)).select("l", F.round("cl", 5).alias("cl"))
+    """A turn leaves a spectrum as it is."""
+    return harmonic.alm2cl(spin.rotate_alm(_alm(spark, sf_dir), 0.4, 1.1, -0.7)).select("l", F.round("cl", 3).alias("cl"))
+
+
+def rotate_alm_over(spark, sf_dir):
+    """A turn of half a circle about y between two about z."""
+    turned = spin.rotate_alm(_alm(spark, sf_dir), 0.4, math.pi, -0.7)
+    return turned.select("l", "m", *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def alm2map(spark, sf_dir):
+    return harmonic.alm2map(_alm(spark, sf_dir), 8).select("ipix", F.round("value", 4).alias("value"))
 
 
 def alm2map_der1(spark, sf_dir):
-    slope = spin.alm2map_der1(_alm(spark, sf_dir).where("l <= 1"), 8)
-    return slope.select("ipix", *[(F.round(c, 6) + 0.0).alias(c) for c in ("value", "d_theta", "d_phi")])
+    slope = spin.alm2map_der1(_alm(spark, sf_dir), 8)
+    return slope.select("ipix", *[(F.round(c, 3) + 0.0).alias(c) for c in ("value", "d_theta", "d_phi")])
 
 
 def alm2map_spin2(spark, sf_dir):
     none = [F.lit(0.0).alias(c) for c in ("c_re", "c_im")]
-    pair = _alm(spark, sf_dir).where("l = 2 and m = 2").select("l", "m", F.col("re").alias("g_re"), F.col("im").alias("g_im"), *none)
-    return spin.alm2map_spin(pair, 8, 2).select("ipix", *[(F.round(c, 6) + 0.0).alias(c) for c in "qu"])
+    pair = _alm(spark, sf_dir).select("l", "m", F.col("re").alias("g_re"), F.col("im").alias("g_im"), *none)
+    return spin.alm2map_spin(pair.where("l >= 2"), 8, 2).select("ipix", *[(F.round(c, 4) + 0.0).alias(c) for c in "qu"])
 
 
 def map2alm_spin2(spark, sf_dir):
@@ -224,7 +235,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes, rotated_spectrum, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -238,14 +249,30 @@ def _in_disc(n: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    m = Rotator(coord="GE").matrix.tolist()
-    vec = ("sqrt(1 - z * z) * cos(phi)", "sqrt(1 - z * z) * sin(phi)", "z")
-    turned = ", ".join(f"round({' + '.join(f'({v}) * {a!r}::DOUBLE' for v, a in zip(vec, row, strict=True))}, 8) AS {c}" for c, row in zip("xyz", m, strict=True))
+    pole, node, tilt = (math.radians(x) for x in (27.12825, 122.93192, 23.4392911))
+    # Galactic to equatorial by the spherical triangle with the poles, then about the axis to the equinox.
+    sky = f"SELECT event_id, z, sqrt(1 - z * z) AS s, phi, {node!r}::DOUBLE - phi AS h FROM ({_EV})"
+    sky = f"SELECT event_id, z * {math.sin(pole)!r}::DOUBLE + s * {math.cos(pole)!r}::DOUBLE * cos(h) AS sd, atan2(s * sin(h), z * {math.cos(pole)!r}::DOUBLE - s * {math.sin(pole)!r}::DOUBLE * cos(h)) + {math.radians(192.85948)!r}::DOUBLE AS ra FROM ({sky})"
+    turned = f"SELECT event_id, sqrt(1 - sd * sd) * cos(ra) AS a, sqrt(1 - sd * sd) * sin(ra) AS b, sd AS c FROM ({sky})"
+    turned = f"SELECT event_id, round(a, 7) + 0.0::DOUBLE AS x, round(b * {math.cos(tilt)!r}::DOUBLE + c * {math.sin(tilt)!r}::DOUBLE, 7) + 0.0::DOUBLE AS y, round(c * {math.cos(tilt)!r}::DOUBLE - b * {math.sin(tilt)!r}::DOUBLE, 7) + 0.0::DOUBLE AS z FROM ({turned})"
     centres = f"SELECT ipix, 1.0::DOUBLE AS o, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(8)})"
     names = "oxyz"
     label = {"o": "1", "x": "x", "y": "y", "z": "z"}
     moments = ", ".join([f"round(sum({a} * {b}), 4) + 0.0::DOUBLE AS s_{label[a]}{label[b]}" for i, a in enumerate(names) for b in names[i:]] + [f"round(sum({a} * value), 4) + 0.0::DOUBLE AS r_{label[a]}" for a in names])
-    alm = "SELECT l, m, value AS re, CASE WHEN m = 0 THEN 0.0 ELSE value * 0.5 END AS im FROM (SELECT value, l, (event_id - l * (l + 1) // 2)::INT AS m FROM (SELECT *, floor((sqrt(event_id * 8.0::DOUBLE + 1) - 1) / 2)::INT AS l FROM events WHERE event_id < 528))"
+    alm = "SELECT l, m, value AS re, CASE WHEN m = 0 THEN 0.0 ELSE value * 0.5 END AS im FROM (SELECT value, l, (k - l * (l + 1) // 2)::INT AS m FROM (SELECT *, floor((sqrt(k * 8.0::DOUBLE + 1) - 1) / 2)::INT AS l FROM (SELECT event_id % 528 AS k, round(sum(value), 2) AS value FROM events GROUP BY 1)))"
+    # Normalised Legendre functions p, and q of the degree before, on the rings by the three-term recursion.
+    legendre = f"""WITH RECURSIVE rings AS (SELECT DISTINCT z, s FROM ({_centres(8)})),
+      tops(m, z, s, v) AS (SELECT 0, z, s, {math.sqrt(1 / (4 * math.pi))!r}::DOUBLE FROM rings UNION ALL SELECT m + 1, z, s, -v * s * sqrt((2 * m + 3) / (2 * m + 2)::DOUBLE) FROM tops WHERE m < 31),
+      leg(l, m, z, s, p, q) AS (SELECT m, m, z, s, v, 0.0::DOUBLE FROM tops UNION ALL
+        SELECT l + 1, m, z, s, sqrt((4 * (l + 1) * (l + 1) - 1) / ((l + 1) * (l + 1) - m * m)::DOUBLE) * (z * p - sqrt((l * l - m * m) / (4 * l * l - 1)::DOUBLE) * q), p FROM leg WHERE l < 31),
+      a AS MATERIALIZED ({alm}),
+      w AS MATERIALIZED (SELECT *, CASE WHEN m = 0 THEN 1 ELSE 2 END AS two, CASE WHEN l = 0 THEN 0 ELSE sqrt((2 * l + 1) * (l * l - m * m) / (2 * l - 1)::DOUBLE) END * q AS f,
+        CASE WHEN l < 2 THEN 0 ELSE 2 / sqrt(((l + 2) * (l + 1) * l * (l - 1))::DOUBLE) END AS n FROM leg JOIN a USING (l, m)),
+      c AS MATERIALIZED (SELECT m, z, sum(two * p * re) AS re, sum(two * p * im) AS im, sum(two * (l * z * p - f) / s * re) AS tre, sum(two * (l * z * p - f) / s * im) AS tim, any_value(s) AS s,
+        sum(two * n * (f * z / (s * s) - ((l - m * m) / (s * s) + l * (l - 1) / 2::DOUBLE) * p) * re) AS pre, sum(two * n * (f * z / (s * s) - ((l - m * m) / (s * s) + l * (l - 1) / 2::DOUBLE) * p) * im) AS pim,
+        sum(two * n * m / (s * s) * (f - (l - 1) * z * p) * re) AS ore, sum(two * n * m / (s * s) * (f - (l - 1) * z * p) * im) AS oim FROM w GROUP BY m, z)"""
+    over = lambda *shown: f"{legendre} SELECT ipix, {', '.join(shown)} FROM ({_centres(8)}) o JOIN c ON c.z = o.z GROUP BY ipix"
+    real = lambda c: f"sum(c.{c}re * cos(m * phi) - c.{c}im * sin(m * phi))"
     beam = lambda w: f"exp(l * (l + 1) * {-0.5 * (w / math.sqrt(8 * math.log(2))) ** 2!r}::DOUBLE)"
     s2 = (0.1 / math.sqrt(8 * math.log(2))) ** 2
     parent = f"SELECT nest // 16 AS parent, avg(value) AS value, count(*) AS n FROM (SELECT nest, avg(value) AS value FROM ({_nest(16, _EV)}) GROUP BY 1) GROUP BY 1"
@@ -257,18 +284,14 @@ def oracle_sql() -> dict[str, str]:
     plane = "SELECT asin(y) AS t, x, y FROM (SELECT ((range % 60 + 0.5::DOUBLE) / 60 * 2 - 1) * -2 AS x, ((range // 60 + 0.5::DOUBLE) / 30 * 2 - 1) AS y FROM range(1800)) WHERE x * x / 4 + y * y <= 1"
     plane = f"SELECT (t + y * sqrt(1 - y * y)) * {2 / math.pi!r}::DOUBLE AS z, ((x * {math.pi / 2!r}::DOUBLE / sqrt(1 - y * y)) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM ({plane})"
     emb = f"SELECT vec_id, z / r AS z, (atan2(y, x) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM (SELECT vec_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE len(embedding) >= 3))"
-    y10, y11, y22 = (repr(math.sqrt(a / math.pi)) + "::DOUBLE" for a in (3 / 4, 3 / 8, 5 / 64))
-    one = f"SELECT max(re) FILTER (WHERE l = 0) AS a00, max(re) FILTER (WHERE l = 1 AND m = 0) AS a10, max(re) FILTER (WHERE l = 1 AND m = 1) AS re, max(im) FILTER (WHERE l = 1 AND m = 1) AS im FROM ({alm})"
-    wave = "(re * cos(phi) - im * sin(phi))"
     spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
     blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
     return {
-        "rotated_spectrum": f"SELECT l, round(cl, 5) AS cl FROM ({spectrum})",
-        "alm2map_der1": f"""SELECT ipix, round(a00 * {math.sqrt(1 / (4 * math.pi))!r}::DOUBLE + a10 * {y10} * z - 2 * {y11} * s * {wave}, 6) + 0.0::DOUBLE AS value,
-            round(-a10 * {y10} * s - 2 * {y11} * z * {wave}, 6) + 0.0::DOUBLE AS d_theta, round(2 * {y11} * (re * sin(phi) + im * cos(phi)), 6) + 0.0::DOUBLE AS d_phi
-            FROM ({_centres(8)}), ({one})""",
-        "alm2map_spin2": f"""SELECT ipix, round(-{y22} * ((1 - z) ** 2 + (1 + z) ** 2) * (re * cos(2 * phi) - im * sin(2 * phi)), 6) + 0.0::DOUBLE AS q,
-            round(-{y22} * ((1 - z) ** 2 - (1 + z) ** 2) * (re * sin(2 * phi) + im * cos(2 * phi)), 6) + 0.0::DOUBLE AS u FROM ({_centres(8)}), (SELECT re, im FROM ({alm}) WHERE l = 2 AND m = 2)""",
+        "rotated_spectrum": f"SELECT l, round(cl, 3) AS cl FROM ({spectrum})",
+        "rotate_alm_over": f"SELECT l, m, round((1 - 2 * (l % 2)) * (re * cos(1.1 * m) + im * sin(1.1 * m)), 4) + 0.0::DOUBLE AS re, round((1 - 2 * (l % 2)) * (re * sin(1.1 * m) - im * cos(1.1 * m)), 4) + 0.0::DOUBLE AS im FROM ({alm})",
+        "alm2map": over(f"round({real('')}, 4) AS value"),
+        "alm2map_der1": over(f"round({real('')}, 3) + 0.0::DOUBLE AS value", f"round({real('t')}, 3) + 0.0::DOUBLE AS d_theta", "round(sum(-m * (re * sin(m * phi) + im * cos(m * phi)) / c.s), 3) + 0.0::DOUBLE AS d_phi"),
+        "alm2map_spin2": over(f"round(-{real('p')}, 4) + 0.0::DOUBLE AS q", "round(-sum(ore * sin(m * phi) + oim * cos(m * phi)), 4) + 0.0::DOUBLE AS u"),
         "blm_gauss": " UNION ALL ".join([blm(0, 0, 0, 4 * math.pi, 1, 0), blm(2, 1, 2, 32 * math.pi, 1, 0), blm(2, 2, 2, 32 * math.pi, 0, 1)]),
         "pixelise_events": f"SELECT ipix, hits, round(value, 6) AS mean FROM ({_MAP8})",
         "pixelise_events_nest": f"SELECT nest AS ipix, count(*) AS hits FROM ({_nest(8, _EV)}) GROUP BY 1",
@@ -285,8 +308,8 @@ def oracle_sql() -> dict[str, str]:
         "polygon_members": f"SELECT ipix FROM ({_centres(16)}) WHERE {sides}",
         "fit_monopole": f"SELECT round(avg(value), 6) AS monopole FROM ({_MAP8})",
         "dipole_moments": f"SELECT {moments} FROM ({_MAP8}) JOIN ({centres}) USING (ipix)",
-        "rotate_points_g2e": f"SELECT event_id, {turned} FROM ({_EV})",
-        "alm2cl": f"SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 5) AS cl FROM ({alm}) GROUP BY l",
+        "rotate_points_g2e": turned,
+        "alm2cl": f"SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 3) AS cl FROM ({alm}) GROUP BY l",
         "almxfl_gauss": f"SELECT l, m, round(re * f, 6) AS re, round(im * f, 6) AS im FROM (SELECT *, CASE WHEN l <= 20 THEN {beam(0.2)} ELSE 0 END AS f FROM ({alm}))",
         "gauss_beam": f"SELECT l, round(t, 9) AS t, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS e, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS b, round(t * {math.exp(s2)!r}::DOUBLE, 9) AS te FROM (SELECT l, {beam(0.1)} AS t FROM (SELECT range::INT AS l FROM range(65)))",
         "projmap_mollweide": f"SELECT ipix, count(*) AS cells FROM ({_ring(8, plane)}) GROUP BY 1",
