@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import new_path, stored
 
-BLOCK = 1 << 14
+BLOCK = 1 << 15
 SLICES = 5
 PART = 4096
 SCALE = 1024
