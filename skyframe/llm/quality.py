@@ -4,8 +4,8 @@ Every text becomes a dozen shares and means (``FEATURES``).  The model is a
 look-up table per feature and one per chosen pair of features: boosting visits
 the features in turn, each round fitting one shallow tree (a few cuts of the
 feature's bins) to the residual, and adds its leaves to that feature's table.
-Pairs are ranked by how much of the residual a four-way split of their bins
-explains, and boosted on a coarser grid.  A score is the sum of table entries
+Pairs are ranked by how much of the residual a tree of four leaves over their
+bins explains, and boosted by such trees on a coarser grid.  A score is the sum of table entries
 at a text's bins, so scoring is a few vectorised additions in the same pass
 that reads the text.
 
@@ -105,26 +105,36 @@ class Additive:
                 self.tables[j] += step
                 margin += step[bins[j]]
         coarse = [np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.pair_cuts)]
-        rest = y - 1 / (1 + np.exp(-margin))
-        gains = []
-        for a in range(k):
-            for b in range(a):
-                cell = coarse[a] * PAIR_BINS + coarse[b]
-                total, count = np.bincount(cell, rest, PAIR_BINS**2), np.bincount(cell, minlength=PAIR_BINS**2)
-                gains.append((float((total**2 / (count + 20)).sum()), a, b))
+        pairs = {(a, b): coarse[a] * PAIR_BINS + coarse[b] for a in range(k) for b in range(a)}
+        gains = [(self._quarters(cell, margin, y)[0], a, b) for (a, b), cell in pairs.items()]
         self.pairs = [(a, b) for _, a, b in sorted(gains, reverse=True)[:PAIRS]]
         self.pair_tables = [np.zeros(PAIR_BINS**2) for _ in self.pairs]
         for _ in range(PAIR_ROUNDS):
-            for p, (a, b) in enumerate(self.pairs):
-                cell = coarse[a] * PAIR_BINS + coarse[b]
-                step = self._newton(cell, margin, y, PAIR_BINS**2)
-                self.pair_tables[p] += step
-                margin += step[cell]
+            for table, pair in zip(self.pair_tables, self.pairs, strict=True):
+                step = self._quarters(pairs[pair], margin, y)[1]
+                table += step
+                margin += step[pairs[pair]]
 
     @staticmethod
-    def _newton(cell, margin, y, size):
+    def _quarters(cell, margin, y):
+        """Gain and step of a tree of four leaves over a pair's grid: a cut of one feature, then of the other on each side."""
         p = 1 / (1 + np.exp(-margin))
-        return RATE * np.bincount(cell, y - p, size) / (np.bincount(cell, p * (1 - p), size) + 2.0)
+        g, h = (np.bincount(cell, v, PAIR_BINS**2).reshape(PAIR_BINS, PAIR_BINS) for v in (y - p, p * (1 - p)))
+        best, found = 0.0, np.zeros((PAIR_BINS, PAIR_BINS))
+        for turned in (False, True):
+            gs, hs = (g.T, h.T) if turned else (g, h)
+            for i in range(1, PAIR_BINS):
+                gain, step = 0.0, np.empty((PAIR_BINS, PAIR_BINS))
+                for side in (slice(i), slice(i, None)):
+                    low_g, low_h = np.cumsum(gs[side].sum(axis=0)), np.cumsum(hs[side].sum(axis=0))
+                    low, high = low_g[:-1] / (low_h[:-1] + 2.0), (low_g[-1] - low_g[:-1]) / (low_h[-1] - low_h[:-1] + 2.0)
+                    worth = low * low_g[:-1] + high * (low_g[-1] - low_g[:-1])
+                    j = int(worth.argmax())
+                    gain += float(worth[j])
+                    step[side, : j + 1], step[side, j + 1 :] = low[j], high[j]
+                if gain > best:
+                    best, found = gain, step.T if turned else step
+        return best, RATE * found.ravel()
 
     @staticmethod
     def _leaves(bins, margin, y, size):
