@@ -84,6 +84,20 @@ def ang2vec(theta, phi) -> Column:
     return F.struct((s * F.cos(col(phi))).alias("x"), (s * F.sin(col(phi))).alias("y"), F.cos(col(theta)).alias("z"))
 
 
+def lonlat2vec(lon, lat) -> Column:
+    return ang2vec(lonlat2theta(lat), lonlat2phi(lon))
+
+
+def vec2lonlat(x, y, z) -> Column:
+    """(lon, lat) struct in degrees, lon in [0, 360)."""
+    return record(lon=F.degrees(vec2phi(x, y)), lat=theta2lat(vec2theta(x, y, z)))
+
+
+def unit(v: Column) -> Column:
+    """A vector struct at length 1; null components for the null vector."""
+    return let(v, lambda u: let(F.sqrt(u["x"] * u["x"] + u["y"] * u["y"] + u["z"] * u["z"]), lambda r: record(**{c: F.when(r > 0, u[c] / r) for c in "xyz"})))
+
+
 def vec2theta(x, y, z) -> Column:
     x, y, z = map(col, (x, y, z))
     return F.atan2(F.sqrt(x * x + y * y), z)
@@ -129,6 +143,20 @@ def is_npix(npix) -> Column:
     return npix2nside(npix).isNotNull()
 
 
+def order2npix(order) -> Column:
+    return nside2npix(order2nside(order))
+
+
+def npix2order(npix) -> Column:
+    """Null unless npix is 12 * 4 ** order."""
+    return nside2order(npix2nside(npix))
+
+
+def theta_ok(theta) -> Column:
+    """Whether a colatitude lies in 0..pi, but for what rounding adds."""
+    return (col(theta) >= 0) & (col(theta) <= math.pi + 1e-5)
+
+
 def min_valid_nside(npix) -> Column:
     return order2nside(F.greatest(F.lit(0), F.ceil(F.log2(col(npix) / 12.0) * 0.5)))
 

@@ -66,5 +66,59 @@ def project_map(sky: DataFrame, nside: int, plane: str = "mollweide", xsize: int
     return joined.select("i", "j", F.when(F.col("ipix").isNull(), F.lit(float("-inf"))).otherwise(F.col("value")).alias("value"))
 
 
+# --- from a vector to the plane ----------------------------------------------
+def _mollweide_angle(z: Column) -> Column:
+    """t with 2 t + sin(2 t) = pi z, by Newton steps; near the poles it starts from the series there."""
+    near = F.lit(math.pi / 2) - F.pow(F.greatest(F.lit(0.0), 1 - F.abs(z)) * (3 * math.pi / 4), F.lit(1 / 3))
+    start = F.when(F.abs(z) > 0.5, F.signum(z) * near).otherwise(z * (math.pi / 4))
+    step = lambda t, _: t - F.when(F.cos(t) > 1e-6, (t * 2 + F.sin(t * 2) - z * math.pi) / (F.cos(t) * F.cos(t) * 4)).otherwise(0.0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+
+
+def _xy(x: Column, y: Column) -> Column:
+    return record(x=x, y=y)
+
+
+def mollweide_xy(v: Column) -> Column:
+    return let(_mollweide_angle(v["z"]), lambda t: _xy(F.atan2(v["y"], v["x"]) * (2 / math.pi) * F.cos(t), F.sin(t)))
+
+
+def gnomonic_xy(v: Column) -> Column:
+    """Null behind the plane."""
+    return F.when(v["x"] > 0, _xy(v["y"] / v["x"], v["z"] / v["x"]))
+
+
+def cartesian_xy(v: Column) -> Column:
+    return _xy(F.degrees(F.atan2(v["y"], v["x"])), F.degrees(F.atan2(v["z"], F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))))
+
+
+def orthographic_xy(v: Column) -> Column:
+    """Null on the far half."""
+    return F.when(v["x"] >= 0, _xy(v["y"], v["z"]))
+
+
+def azimuthal_xy(v: Column, equal_area: bool = False) -> Column:
+    s = F.sqrt(v["y"] * v["y"] + v["z"] * v["z"])
+    c = F.atan2(s, v["x"])
+    r = F.sin(c / 2) * 2 if equal_area else c
+    return let(F.when(s > 0, r / s).otherwise(F.lit(1.0)), lambda k: _xy(v["y"] * k, v["z"] * k))
+
+
+TO_PLANE = {"mollweide": mollweide_xy, "orthographic": orthographic_xy, "azimuthal": azimuthal_xy, "lambert": lambda v: azimuthal_xy(v, True), "cartesian": cartesian_xy, "gnomonic": gnomonic_xy}
+
+
+def image_cell(v: Column, plane: str = "mollweide", xsize: int = 800, ysize: int = 400, rotator=None, flip: bool = True) -> Column:
+    """(i, j) of the image cell in which a direction (unit vector struct) is seen, as ``image_pixels`` counts; null outside the image."""
+    _, w, h = PLANES[plane]
+    seen = let(rotator.vector(v) if rotator else v, lambda u: TO_PLANE[plane](u))
+    cell = let(seen, lambda p: record(j=F.floor((p["x"] / (-w if flip else w) + 1) / 2 * xsize).cast("int"), i=F.floor((p["y"] / h + 1) / 2 * ysize).cast("int")))
+    return let(cell, lambda c: F.when((c["i"] >= 0) & (c["i"] < ysize) & (c["j"] >= 0) & (c["j"] < xsize), record(i=c["i"], j=c["j"])))
+
+
 def symlog(x: Column) -> Column:
     return F.log10((x + F.sqrt(x * x + 4)) * 0.5)
+
+
+def symexp(x: Column) -> Column:
+    """The inverse of ``symlog``."""
+    return F.pow(F.lit(10.0), x) - F.pow(F.lit(10.0), -x)

@@ -57,14 +57,18 @@ def fill_small_holes(mask: DataFrame, nside: int, nest: bool = False, min_size:
     return out.select("ipix", (F.col("masked") & F.col("filled").isNull()).alias("masked"))
 
 
-def dist2holes(mask: DataFrame, nside: int, nest: bool = False, max_distance: float = math.pi) -> DataFrame:
+def dist2holes(mask: DataFrame, nside: int, nest: bool = False, max_distance: float = math.pi, min_size: int | None = None, min_area_arcmin2: float | None = None) -> DataFrame:
     """(ipix, distance): from each free pixel to the nearest masked one; 0 on masked ones, at most ``max_distance``.
 
+    Holes smaller than a size or an area are free pixels (``fill_small_holes``).
+
     The nearest hole's id travels outwards from the holes' borders, ring by
     ring of neighbours, and every pixel keeps the nearest that came: a pixel
     is joined with its neighbours only, never with all holes.
     """
     vec = lambda c: P.pix2vec(nside, c, nest)
+    if min_size is not None or min_area_arcmin2 is not None:
+        mask = settled(fill_small_holes(mask, nside, nest, min_size, min_area_arcmin2))
     if not mask.where("masked").limit(1).count():
         return mask.select("ipix", F.lit(float(max_distance)).alias("distance"))
     pairs = settled(neighbour_pairs(mask, nside, nest))
