@@ -59,4 +59,21 @@ n AS (SELECT doc_id, source, s0, row_number() OVER (PARTITION BY s0 ORDER BY h,
 SELECT doc_id, source, k // per AS mix_block, (k // per) // units * total + slot AS mix_slot, (k % per)::BIGINT AS mix_rank
 FROM n JOIN u USING (s0) JOIN p ON p.s0 = n.s0 AND p.turn = (k // (SELECT per FROM b)) % units, l, b"""
 
-ORACLES = {"op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}
+OP11 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN m USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT f.*, filter_order, step::INT AS step, filter_order[step] AS filter,
+  length(translate(filter_order[:step - 1], fails, '')) < step - 1 AS earlier, contains(fails, filter_order[step]) AS here FROM f, o, range(1, 6) r(step)),
+g AS (SELECT part, filter_order, step, filter, count(*) FILTER (WHERE NOT earlier AND NOT here) AS kept, count(*) FILTER (WHERE NOT earlier AND here) AS removed,
+  count(*) FILTER (WHERE earlier AND here) AS redundant, count(*) FILTER (WHERE fails = filter) AS unique_fails,
+  count(*) FILTER (WHERE NOT earlier AND here AND good) AS good_lost, count(*) FILTER (WHERE NOT earlier AND here AND toxic) AS toxic_lost FROM s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM g"""
+
+ORACLES = {"op11_filter_audit": OP11, "op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}

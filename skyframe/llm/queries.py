@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._common import stored
 from .chat import perspectives
 from .decontaminate import contaminated
+from .filter_audit import filter_audit
 from .html_extract import main_texts
 from .mixing import mixed
 from .near_dedup import near_duplicates
@@ -64,6 +65,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +82,6 @@ QUERIES = {
         op8_decontamination,
         op9_quality_classifier,
         op10_chat_formatting,
+        op11_filter_audit,
     )
 }
