@@ -76,4 +76,31 @@ g AS (SELECT part, filter_order, step, filter, count(*) FILTER (WHERE NOT earlie
   count(*) FILTER (WHERE NOT earlier AND here AND good) AS good_lost, count(*) FILTER (WHERE NOT earlier AND here AND toxic) AS toxic_lost FROM s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM g"""
 
-ORACLES = {"op11_filter_audit": OP11, "op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """Plain Lloyd rounds over all pairs of a part and an entry; integers below 2^53 are exact as doubles."""
+    sql = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, q) - 1 AS n, len(q) // 4 AS w FROM v),
+x AS MATERIALIZED (SELECT n, part, q[part * w + 1 : part * w + w] AS x FROM n, range(4) r(part)),
+b0 AS MATERIALIZED (SELECT part, n AS e, x AS c FROM x WHERE n < 256)"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT n, part, any_value(x) AS x, min(256 * (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) + e)::BIGINT AS best FROM x JOIN b{r} USING (part) GROUP BY 1, 2)"""
+        if r < rounds:
+            sql += f""",
+s{r} AS (SELECT part, best % 256 AS e, i, floor(sum(x[i]) / count(*)) AS m FROM a{r}, range(1, 1 + (SELECT max(w) FROM n)) t(i) GROUP BY 1, 2, 3),
+b{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS c FROM s{r} GROUP BY 1, 2) m USING (part, e))"""
+    return (
+        sql
+        + f""",
+d AS (SELECT n, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256 FROM d JOIN n USING (n)"""
+    )
+
+
+OP13 = _lloyd()
+
+ORACLES = {"op13_vector_codes": OP13, "op11_filter_audit": OP11, "op4_bit_sliced_top_k": OP4, "op5_source_mixing": OP5, "op7_minhash_near_dedup": OP7, "op8_decontamination": OP8, "op10_chat_formatting": OP10}

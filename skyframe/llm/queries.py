@@ -17,6 +17,7 @@ from .substring_dedup import shared_passages
 from .token_counts import context_limits, length_histogram
 from .token_output import tokens_written
 from .topk import top_k
+from .vector_codes import compressed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES = {
         op9_quality_classifier,
         op10_chat_formatting,
         op11_filter_audit,
+        op13_vector_codes,
     )
 }
