@@ -12,6 +12,7 @@ from .filter_audit import filter_audit
 from .html_extract import main_texts
 from .mixing import mixed
 from .near_dedup import near_duplicates
+from .private_data import personal_spans, span_digests
 from .quality import quality_scores
 from .substring_dedup import shared_passages
 from .token_counts import context_limits, length_histogram
@@ -70,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(personal_spans(table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(table(spark, sf_dir, "embeddings"))
 
@@ -88,6 +93,7 @@ QUERIES = {
         op9_quality_classifier,
         op10_chat_formatting,
         op11_filter_audit,
+        op12_private_data,
         op13_vector_codes,
     )
 }
