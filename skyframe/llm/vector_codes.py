@@ -293,7 +293,8 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
         return empty.select("vec_id", "code", "error", F.col("error").alias("label_error"), F.lit("").alias("codebooks_sha256"))
     dim = len(first[0].q)
     rows = rows.where(F.size("q") == dim)
-    start = np.array([r.q for r in rows.orderBy(*by_id).limit(entries).select("q").collect()], np.int64).reshape(-1, dim)
+    start = [r.q for r in rows.orderBy(*by_id).limit(entries).select("q").collect()]
+    start = np.array(start, np.int64).reshape(len(start), dim)
     start = np.pad(start, ((0, 0), (0, -dim % parts)))
     books, padded = np.split(start, parts, axis=1), start.shape[1]
     sums, counts = np.zeros((parts, len(start), padded // parts), object), np.zeros((parts, len(start)), object)
