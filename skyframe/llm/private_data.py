@@ -9,10 +9,10 @@ hold something,
     PMI(e; t) = log2(N * D(t in a context of e) / (D(e) * D(t)))
 
 is what term t tells of entity e, and IC(e) = log2(N / D(e)) all there is to
-tell.  Naming only an entity's general form g(e), a mail's domain or a number's
-first digits, tells IC(g(e)).  A term discloses e where it tells more than g(e)
-does, and at least ``SHARE`` of IC(e); at ``ALL`` of it or more it is removed,
-else generalised to its kind.  At least ``SUPPORT`` contexts with different
+tell.  What stands for an entity in a sanitised text is its kind g(e), which
+tells IC(g(e)).  A term discloses e where it tells as much as g(e) does, and at
+least ``SHARE`` of IC(e); at ``ALL`` of it or more it is removed, else
+generalised to its own kind.  At least ``SUPPORT`` contexts with different
 words are needed, as any rare word tells all of what it meets once.  Such terms
 are found wherever they stand in a context of their entity.
 
@@ -106,16 +106,13 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found + ([("phone", *s) for s in _phones(text)] if "+" in text else [])
 
 
-def value_of(kind: str, text: str) -> tuple[str, str]:
-    """What is protected, and its general form."""
+def value_of(kind: str, text: str) -> str:
+    """What is protected: the one form of all ways to write it."""
     if kind == "email":
-        own = text.lower()
-        return own, own.rpartition("@")[2]
+        return text.lower()
     if kind == "ip":
-        own = ".".join(x.lstrip("0") or "0" for x in text.split("."))
-        return own, ".".join(own.split(".")[:2])
-    own = _digits(text)
-    return own, own[:6] if kind == "card" else own[:-7]
+        return ".".join(x.lstrip("0") or "0" for x in text.split("."))
+    return _digits(text)
 
 
 def _hash(*parts: str) -> int:
@@ -124,7 +121,7 @@ def _hash(*parts: str) -> int:
 
 # --- first scan ------------------------------------------------------------
 def contexts(text: str, window: int = WINDOW) -> tuple[list, list]:
-    """The entities of a text, and for each (value, general form, terms around it as (term, start, end))."""
+    """The entities of a text, and for each (value, kind, terms around it as (term, start, end))."""
     spans = entities(text)
     if not spans:
         return [], []
@@ -142,18 +139,16 @@ def contexts(text: str, window: int = WINDOW) -> tuple[list, list]:
     for kind, start, end in spans:
         before, after = np.searchsorted(starts, (start, end)).tolist()
         around = free[max(0, before - window) : after + window]
-        value, general = value_of(kind, text[start:end])
-        out.append((_hash(kind, value), _hash(kind, "general", general), [(_hash(text[s:e].lower()), s, e) for s, e in around]))
+        out.append((_hash(kind, value_of(kind, text[start:end])), kind, [(_hash(text[s:e].lower()), s, e) for s, e in around]))
     return spans, out
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_PAIR = pa.struct([("entity", pa.int64()), ("general", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+_PAIR = pa.struct([("entity", pa.int64()), ("kind", pa.string()), ("term", pa.int64()), ("context", pa.int64())])
 _PLACE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_LONGS = pa.list_(pa.int64())
 _FOUND = (
-    "doc_id long, text_key binary, base array<struct<kind: string, start: int, end: int>>, entities array<long>, generals array<long>, terms array<long>, "
-    "pairs array<struct<entity: long, general: long, term: long, context: long>>, places array<struct<entity: long, term: long, start: int, end: int>>"
+    "doc_id long, text_key binary, base array<struct<kind: string, start: int, end: int>>, entities array<long>, kinds array<string>, terms array<long>, "
+    "pairs array<struct<entity: long, kind: string, term: long, context: long>>, places array<struct<entity: long, term: long, start: int, end: int>>"
 )
 
 
@@ -171,23 +166,23 @@ def _found(window: int):
                 for t in texts:
                     base, around = contexts(t or "", window)
                     pairs: dict[tuple, int] = {}
-                    for e, g, terms in around:
+                    for e, kind, terms in around:
                         own = _hash(*sorted({str(t) for t, _, _ in terms}))
                         for term, _, _ in terms:
-                            pairs[e, g, term] = min(own, pairs.get((e, g, term), own))
+                            pairs[e, kind, term] = min(own, pairs.get((e, kind, term), own))
                     places = sorted({(e, term, s, end) for e, _, terms in around for term, s, end in terms})
-                    rows.append((base, {e for e, _, _ in around}, {g for _, g, _ in around}, {t for _, _, t in pairs}, [(*k, v) for k, v in pairs.items()], places))
-                base, ents, generals, terms, pairs, places = zip(*rows, strict=True)
+                    rows.append((base, {e for e, _, _ in around}, {k for _, k, _ in around}, {t for _, _, t in pairs}, [(*k, v) for k, v in pairs.items()], places))
+                base, held, kinds, terms, pairs, places = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, len(texts)),
                         pa.array([text_key(t) for t in texts], pa.binary()),
                         _structs(base, _SPAN),
-                        *(pa.array([sorted(x) for x in column], _LONGS) for column in (ents, generals, terms)),
+                        *(pa.array([sorted(x) for x in column], pa.list_(own)) for column, own in ((held, pa.int64()), (kinds, pa.string()), (terms, pa.int64()))),
                         _structs(pairs, _PAIR),
                         _structs(places, _PLACE),
                     ],
-                    names=["doc_id", "text_key", "base", "entities", "generals", "terms", "pairs", "places"],
+                    names=["doc_id", "text_key", "base", "entities", "kinds", "terms", "pairs", "places"],
                 )
 
     return found
@@ -257,9 +252,9 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 # --- disclosure ------------------------------------------------------------
-def _tells(n: Column, both: Column, entity: Column, term: Column, general: Column, share: float) -> Column:
+def _tells(n: Column, both: Column, entity: Column, term: Column, kind: Column, share: float) -> Column:
     pmi, all_there_is = F.log2(n * both / (entity * term)), F.log2(n / entity)
-    return (entity < n) & (pmi > F.log2(n / general)) & (pmi >= share * all_there_is)
+    return (entity < n) & (n * both / (entity * term) >= n / kind) & (pmi >= share * all_there_is)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, share: float = SHARE, removed: float = ALL, support: int = SUPPORT) -> DataFrame:
@@ -268,14 +263,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, share: float = SHARE, re
     ``found``: the stored ``mentions`` of ``docs``.
     """
     n = F.lit(float(found.count()))
-    pairs = found.select(F.inline("pairs")).groupBy("entity", "general", "term", "context").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "general", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    pairs = found.select(F.inline("pairs")).groupBy("entity", "kind", "term", "context").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "kind", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
 
     def held(column: str, name: str) -> DataFrame:
         return found.select(F.explode(column).alias(name)).groupBy(name).agg(F.count("*").alias(f"n_{name}"))
 
-    pairs = pairs.join(held("entities", "entity"), "entity").join(held("generals", "general"), "general")
-    counts = [F.col(f"n_{x}").cast("double") for x in ("pair", "entity", "term", "general")]
+    pairs = pairs.join(held("entities", "entity"), "entity").join(held("kinds", "kind"), "kind")
+    counts = [F.col(f"n_{x}").cast("double") for x in ("pair", "entity", "term", "kind")]
     least = held("terms", "term")  # fewer documents than hold the term, so what it tells is less than this
     pairs = pairs.join(least, "term").where(_tells(n, *counts, share)).drop("n_term")
     pairs = stored(pairs, "pairs")
@@ -333,18 +328,22 @@ def sanitise(text: str, base: list, terms: list) -> str:
 
 
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` with sanitised texts, other columns as they are; null texts stay null. ``limits`` as for ``personal_spans``."""
-    key = "_text_key"
-    spans = personal_spans(docs, **limits).where("size(base) > 0").select(F.col("text_key").alias(key), "base", "terms")
-    spans = spans.groupBy(key).agg(F.any_value("base").alias("_base"), F.any_value("terms").alias("_terms"))  # both follow from the text
-    rows = docs.withColumn(key, F.unhex(F.md5(F.col("text")))).join(spans, key, "left")
+    """``docs`` with sanitised texts, other columns as they are; null texts stay null. ``limits`` as for ``personal_spans``.
+
+    Texts with entities are joined to their spans by their digest, each once however often it is copied.
+    """
+    spans = personal_spans(docs, **limits).where("size(base) > 0").groupBy("text_key")
+    spans = spans.agg(F.any_value("base").alias("base"), F.any_value("terms").alias("terms"))  # both follow from the text
     names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.unhex(F.md5("text")).alias("text_key")).join(spans, "text_key", "left").select("row", "base", "terms")
 
     def cleaned(batches):
         for batch in batches:
-            texts, base, terms = (batch.column(c).to_pylist() for c in ("text", "_base", "_terms"))
-            new = [t if not b else sanitise(t, [tuple(x.values()) for x in b], [tuple(x.values()) for x in o or []]) for t, b, o in zip(texts, base, terms, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+            columns = dict(zip(names, batch.column("row").flatten(), strict=True))
+            texts, base, terms = columns["text"].to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist()
+            new = [t if not b else sanitise(t, [tuple(x.values()) for x in b], [tuple(x.values()) for x in o]) for t, b, o in zip(texts, base, terms, strict=True)]
+            columns["text"] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     return rows.mapInArrow(cleaned, docs.schema)
 
