@@ -3,7 +3,10 @@
 Everything per coefficient is a column expression.  The two transforms are two
 grouped stages each: Fourier sums along rings (grouped in blocks of rings) and
 Legendre sums along meridians (grouped in blocks of m), with one shuffle of
-rings x orders rows between them.
+rings x orders rows between them.  Legendre functions roll: a task holds two
+degrees of one order over a tile of rings, whatever the resolution, and sums go
+on as degrees come.  An iteration of ``map2alm`` meets the model's Fourier sums
+with the map's rings in one grouped stage, so no model map is made or joined.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from ._lineage import settled
 from .maps import mask_bad
 
 RING_BLOCK, ORDER_BLOCK = 32, 8
+#: Rings over which a recursion runs at once.
+RING_TILE = 4096
+SUMS = "ring int, m int, re double, im double"
 ALM = "l int, m int, re double, im double"
 #: Effective width in radians at nside 64 (160 arcmin); it goes with the pixel size.
 _WIDTH_64 = math.radians(160 / 60)
@@ -116,110 +122,265 @@ def _rings(nside: int):
     return z, s, 4 * near, shift * np.pi / (2 * near)
 
 
-def legendre(m: int, lmax: int, z: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """(lmax - m + 1, rings): normalised functions of order m by the three-term recursion, started in logarithms."""
+def legendre_rows(m: int, lmax: int, z: np.ndarray, s: np.ndarray):
+    """(l, row) for l = m..lmax: normalised functions of order m by the three-term recursion, started in logarithms; two rows are held.
+
+    A row may be written to once the next one is asked for.
+    """
     k = np.arange(1, m + 1)
     with np.errstate(divide="ignore"):
         start = 0.5 * (np.log((2 * m + 1) / (4 * np.pi)) + np.log((2 * k - 1) / (2 * k)).sum()) + m * np.log(s)
-    out = np.zeros((lmax - m + 1, len(z)))
-    scale = np.zeros(len(z))  # values are out * exp(scale) while they would be too small
-    low = start < -600
-    scale[low] = start[low]
-    out[0] = (-1) ** m * np.exp(start - scale)
-    for l in range(m + 1, lmax + 1):  # noqa: E741
-        a = math.sqrt((4 * l * l - 1) / (l * l - m * m))
-        b = math.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1)) if l > m + 1 else 0.0
-        out[l - m] = a * (z * out[l - m - 1] - b * (out[l - m - 2] if l > m + 1 else 0))
-        big = (scale < 0) & (np.abs(out[l - m]) > 1e100)
-        if big.any():
-            out[: l - m - 1, big] = 0
-            out[l - m - 1 : l - m + 1, big] *= 1e-100
-            scale[big] += 100 * math.log(10)
-            done = big & (scale > -600)
-            out[l - m - 1 : l - m + 1, done] *= np.exp(scale[done])
-            scale[done] = 0
-    out[:, scale < 0] = 0
-    return out
 
+    def following(n: int, now: np.ndarray, before: np.ndarray) -> np.ndarray:
+        a = math.sqrt((4 * n * n - 1) / (n * n - m * m))
+        b = math.sqrt(((n - 1) ** 2 - m * m) / (4 * (n - 1) ** 2 - 1)) if n > m + 1 else 0.0
+        return a * (z * now - b * before)
+
+    return _rolled(m, lmax, (-1) ** m, start, following)
+
+
+def _rolled(low: int, lmax: int, sign: int, start: np.ndarray, following):
+    """Rows low..lmax of a recursion whose first row is sign * exp(start); what is too small for a double counts as 0 until it has grown."""
+    scale = np.where(start < -600, start, 0.0)  # values are now * exp(scale)
+    now, before = sign * np.exp(start - scale), np.zeros(len(start))
+    small = scale < 0
+    waiting = bool(small.any())
+    for l in range(low, lmax + 1):  # noqa: E741
+        yield l, np.where(small, 0.0, now) if waiting else now
+        if l == lmax:
+            return
+        before, now = now, following(l + 1, now, before)
+        if waiting:
+            big = small & (np.abs(now) > 1e100)
+            if big.any():
+                now[big] *= 1e-100
+                before[big] *= 1e-100
+                scale[big] += 100 * math.log(10)
+                done = big & (scale > -600)
+                now[done] *= np.exp(scale[done])
+                before[done] *= np.exp(scale[done])
+                scale[done] = 0
+                small = scale < 0
+                waiting = bool(small.any())
 
-def map2alm_once(sky: DataFrame, nside: int, lmax: int, mmax: int) -> DataFrame:
-    z, s, size, first = _rings(nside)
 
-    def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
+def legendre(m: int, lmax: int, z: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(lmax - m + 1, rings): the rows of ``legendre_rows`` as one table."""
+    return np.array([row.copy() for _, row in legendre_rows(m, lmax, z, s)])
+
+
+def analysed_order(m: int, lmax: int, nside: int, f: np.ndarray) -> np.ndarray:
+    """Sums over all rings of Fourier sums ``f`` with the functions of order m, for l = m..lmax.
+
+    North and south share a row: it is even or odd by turns.
+    """
+    z, s, _, _ = _rings(nside)
+    half, out = 2 * nside, np.zeros((lmax - m + 1, 2))
+    south = np.append(f[half:][::-1], 0)
+    both = [np.stack([x.real, x.imag], axis=1) for x in (f[:half] + south, f[:half] - south)]
+    for at in range(0, half, RING_TILE):
+        tile = slice(at, at + RING_TILE)
+        if not f[tile].any() and not south[tile].any():
+            continue
+        sides = [np.ascontiguousarray(x[tile]) for x in both]
+        for l, row in legendre_rows(m, lmax, z[:half][tile], s[:half][tile]):  # noqa: E741
+            out[l - m] += row @ sides[(l - m) % 2]
+    return out[:, 0] + 1j * out[:, 1]
+
+
+def synthesised_order(m: int, a: np.ndarray, nside: int) -> np.ndarray:
+    """What coefficients a (l = m, m + 1, ...) of order m sum to on each ring."""
+    z, s, _, _ = _rings(nside)
+    half = 2 * nside
+    sides = np.zeros((2, 2, half))  # even and odd, real and imaginary
+    for at in range(0, half, RING_TILE):
+        tile = slice(at, at + RING_TILE)
+        own = np.zeros((2, 2, len(z[:half][tile])))
+        for l, row in legendre_rows(m, m + len(a) - 1, z[:half][tile], s[:half][tile]):  # noqa: E741
+            c = a[l - m]
+            if c:
+                side = own[(l - m) % 2]
+                side[0] += c.real * row
+                side[1] += c.imag * row
+        sides[:, :, tile] = own
+    even, odd = sides[:, 0] + 1j * sides[:, 1]
+    return np.concatenate([even + odd, (even - odd)[:-1][::-1]])
+
+
+def _fourier(values: np.ndarray, m: np.ndarray, first: float) -> np.ndarray:
+    """Sums of a ring's values for orders m; ``first`` is the azimuth of its first pixel."""
+    return np.fft.fft(values)[m % len(values)] * np.exp(-1j * m * first)
+
+
+def _ring_values(m: np.ndarray, b: np.ndarray, n: int, first: float) -> np.ndarray:
+    """A ring's n complex values of sums b for orders m."""
+    folded = np.zeros(n, complex)
+    np.add.at(folded, m % n, b * np.exp(1j * m * first))
+    return np.fft.ifft(folded) * n
+
+
+def _complex(rows: pd.DataFrame) -> np.ndarray:
+    return rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+
+
+def _block(column: str, size: int):
+    return F.floor(F.abs(column) / size).alias("block")
+
+
+def good_or_zero(value):
+    return F.when(P.col(value).isNull() | F.isnan(value) | mask_bad(value), 0.0).otherwise(P.col(value))
+
+
+def by_ring(sky: DataFrame, nside: int, columns: list[str], gal_cut: float = 0.0, rings: DataFrame | None = None, pixels: DataFrame | None = None) -> DataFrame:
+    """(ring, place, columns, weight) of a RING map; bad pixels and those within ``gal_cut`` degrees of the equator count as 0.
+
+    weight: 1 + w of (ring, w), north and south alike, times that of (ipix, weight); 1 where there is none.
+    """
+    values = sky.select("ipix", *[good_or_zero(c).alias(c) for c in columns], P.pix2ring(nside, "ipix").alias("ring"))
+    weight = F.lit(1.0)
+    if pixels is not None:
+        values = values.join(pixels.select("ipix", F.col("weight").alias("of_pixel")), "ipix", "left")
+        weight = weight * F.coalesce("of_pixel", F.lit(1.0))
+    if rings is not None:
+        values = values.withColumn("north", F.least("ring", F.lit(4 * nside) - F.col("ring")))
+        values = values.join(rings.select(F.col("ring").cast("long").alias("north"), F.col("w").alias("of_ring")), "north", "left")
+        weight = weight * (1 + F.coalesce("of_ring", F.lit(0.0)))
+    info = P.ringinfo(nside, "ring")
+    values = values.select("*", weight.alias("weight"), info.alias("info"))
+    cut = F.abs(F.col("info.costheta")) < math.sin(math.radians(gal_cut)) if gal_cut else F.lit(False)
+    kept = [F.when(cut, 0.0).otherwise(F.col(c)).alias(c) for c in columns]
+    return values.select(F.col("ring").cast("int").alias("ring"), (F.col("ipix") - F.col("info.startpix")).cast("int").alias("place"), *kept, "weight")
+
+
+def _along_rings(rows: DataFrame, nside: int, mmax: int) -> DataFrame:
+    """Weighted Fourier sums (ring, m, re, im) of ``by_ring`` rows."""
+    _, _, size, first = _rings(nside)
+    m = np.arange(mmax + 1)
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ring, own in rows.groupby("ring"):
-            n = int(size[ring - 1])
-            values = np.zeros(n)
-            values[own["place"].to_numpy()] = own["value"].to_numpy()
-            m = np.arange(mmax + 1)
-            f = np.fft.fft(values)[m % n] * np.exp(-1j * m * first[ring - 1])
+            values = np.zeros(int(size[ring - 1]))
+            values[own["place"].to_numpy()] = own["value"].to_numpy() * own["weight"].to_numpy()
+            f = _fourier(values, m, first[ring - 1])
             out.append(pd.DataFrame({"ring": ring, "m": m, "re": f.real, "im": f.imag}))
         return pd.concat(out)
 
-    def along_meridians(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.groupBy(_block("ring", RING_BLOCK)).applyInPandas(summed, SUMS)
+
+
+def _residual_along_rings(sums: DataFrame, rows: DataFrame, nside: int, mmax: int) -> DataFrame:
+    """Weighted Fourier sums of what the model (its own sums) leaves of the map; absent pixels count as 0."""
+    _, _, size, first = _rings(nside)
+    m = np.arange(mmax + 1)
+
+    def summed(model: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out, held = [pd.DataFrame({"ring": [], "m": [], "re": [], "im": []})], dict(list(rows.groupby("ring")))
+        for ring, own in model.groupby("ring"):
+            n, order = int(size[ring - 1]), own["m"].to_numpy()
+            rest = -_ring_values(order, _complex(own) * np.where(order == 0, 1, 2), n, first[ring - 1]).real
+            if ring in held:
+                place = held[ring]["place"].to_numpy()
+                rest[place] += held[ring]["value"].to_numpy()
+                rest[place] *= held[ring]["weight"].to_numpy()
+            f = _fourier(rest, m, first[ring - 1])
+            out.append(pd.DataFrame({"ring": ring, "m": m, "re": f.real, "im": f.imag}))
+        return pd.concat(out[1:] or out)
+
+    return sums.groupBy(_block("ring", RING_BLOCK)).cogroup(rows.groupBy(_block("ring", RING_BLOCK))).applyInPandas(summed, SUMS)
+
+
+def _to_degrees(sums: DataFrame, nside: int, lmax: int) -> DataFrame:
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for m, own in rows.groupby("m"):
-            at = own["ring"].to_numpy() - 1
-            a = legendre(int(m), lmax, z[at], s[at]) @ (own["re"].to_numpy() + 1j * own["im"].to_numpy()) * (4 * np.pi / (12 * nside * nside))
+            f = np.zeros(4 * nside - 1, complex)
+            f[own["ring"].to_numpy() - 1] = _complex(own)
+            a = analysed_order(int(m), lmax, nside, f) * (4 * np.pi / (12 * nside * nside))
             out.append(pd.DataFrame({"l": np.arange(m, lmax + 1), "m": m, "re": a.real, "im": a.imag}))
         return pd.concat(out)
 
-    info = P.ringinfo(nside, P.pix2ring(nside, "ipix"))
-    value = F.when(F.col("value").isNull() | F.isnan("value") | mask_bad("value"), 0.0).otherwise(F.col("value"))
-    rows = sky.select(P.pix2ring(nside, "ipix").cast("int").alias("ring"), (F.col("ipix") - info["startpix"]).cast("int").alias("place"), value.alias("value"))
-    sums = rows.groupBy(F.floor(F.col("ring") / RING_BLOCK)).applyInPandas(along_rings, "ring int, m int, re double, im double")
-    return sums.groupBy(F.floor(F.col("m") / ORDER_BLOCK)).applyInPandas(along_meridians, ALM)
+    return sums.groupBy(_block("m", ORDER_BLOCK)).applyInPandas(summed, ALM)
 
 
-def alm2map(alm: DataFrame, nside: int) -> DataFrame:
-    """(ipix, value): the map of a coefficient table, RING order."""
-    z, s, size, first = _rings(nside)
-
-    def along_meridians(rows: pd.DataFrame) -> pd.DataFrame:
+def _to_rings(alm: DataFrame, nside: int) -> DataFrame:
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for m, own in rows.groupby("m"):
-            top = int(own["l"].max())
-            a = np.zeros(top - m + 1, complex)
-            a[own["l"].to_numpy() - m] = own["re"].to_numpy() + 1j * own["im"].to_numpy()
-            b = a @ legendre(int(m), top, z, s)
+            a = np.zeros(int(own["l"].max()) - m + 1, complex)
+            a[own["l"].to_numpy() - m] = _complex(own)
+            b = synthesised_order(int(m), a, nside)
             out.append(pd.DataFrame({"ring": np.arange(1, 4 * nside), "m": m, "re": b.real, "im": b.imag}))
         return pd.concat(out)
 
+    return alm.groupBy(_block("m", ORDER_BLOCK)).applyInPandas(summed, SUMS)
+
+
+def map2alm_once(sky: DataFrame, nside: int, lmax: int, mmax: int) -> DataFrame:
+    return _to_degrees(_along_rings(by_ring(sky, nside, ["value"]), nside, mmax), nside, lmax)
+
+
+def alm2map(alm: DataFrame, nside: int) -> DataFrame:
+    """(ipix, value): the map of a coefficient table, RING order."""
+    _, _, size, first = _rings(nside)
+    starts = np.cumsum(size) - size
+
     def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ring, own in rows.groupby("ring"):
-            n = int(size[ring - 1])
-            m = own["m"].to_numpy()
-            b = (own["re"].to_numpy() + 1j * own["im"].to_numpy()) * np.exp(1j * m * first[ring - 1]) * np.where(m == 0, 1, 2)
-            folded = np.zeros(n, complex)
-            np.add.at(folded, m % n, b)
-            near = min(ring, 4 * nside - ring, nside)
-            start = 2 * ring * (ring - 1) if ring < nside else 12 * nside**2 - 2 * near * (near + 1) if ring > 3 * nside else 2 * nside * (nside - 1) + (ring - nside) * 4 * nside
-            out.append(pd.DataFrame({"ipix": start + np.arange(n), "value": (np.fft.ifft(folded) * n).real}))
+            n, m = int(size[ring - 1]), own["m"].to_numpy()
+            values = _ring_values(m, _complex(own) * np.where(m == 0, 1, 2), n, first[ring - 1]).real
+            out.append(pd.DataFrame({"ipix": starts[ring - 1] + np.arange(n), "value": values}))
         return pd.concat(out)
 
-    sums = alm.groupBy(F.floor(F.col("m") / ORDER_BLOCK)).applyInPandas(along_meridians, "ring int, m int, re double, im double")
-    return sums.groupBy(F.floor(F.col("ring") / RING_BLOCK)).applyInPandas(along_rings, "ipix long, value double")
+    return _to_rings(alm, nside).groupBy(_block("ring", RING_BLOCK)).applyInPandas(along_rings, "ipix long, value double")
+
 
+def map2alm(sky: DataFrame, nside: int, lmax: int | None = None, mmax: int | None = None, iter: int | None = None, gal_cut: float = 0.0, rings: DataFrame | None = None, pixels: DataFrame | None = None) -> DataFrame:
+    """(l, m, re, im) of a RING map; bad and absent pixels, and those within ``gal_cut`` degrees of the equator, count as 0.
 
-def map2alm(sky: DataFrame, nside: int, lmax: int | None = None, mmax: int | None = None, iter: int = 3) -> DataFrame:
-    """(l, m, re, im) of a RING map; bad and absent pixels count as 0. ``iter`` times the residual's coefficients are added."""
+    ``iter`` times the residual's coefficients are added: 3 times, or never
+    with weights of pixels unless asked for.  ``rings`` (ring, w) and ``pixels``
+    (ipix, weight) weigh the quadrature in every one of them; see ``by_ring``.
+    """
     lmax = 3 * nside - 1 if lmax is None else lmax
     mmax = lmax if mmax is None else mmax
-    sky = sky.select("ipix", F.when(F.col("value").isNull() | F.isnan("value") | mask_bad("value"), 0.0).otherwise(F.col("value")).alias("value"))
-    alm = settled(map2alm_once(sky, nside, lmax, mmax))
+    iter = (3 if pixels is None else 0) if iter is None else iter
+    rows = settled(by_ring(sky, nside, ["value"], gal_cut, rings, pixels))
+    alm = settled(_to_degrees(_along_rings(rows, nside, mmax), nside, lmax))
     for _ in range(iter):
-        model = alm2map(alm, nside).withColumnRenamed("value", "model")
-        rest = model.join(sky, "ipix", "left").select("ipix", (F.coalesce("value", F.lit(0.0)) - F.col("model")).alias("value"))
-        more = map2alm_once(rest, nside, lmax, mmax).select("l", "m", F.col("re").alias("re2"), F.col("im").alias("im2"))
-        alm = settled(alm.join(more, ["l", "m"]).select("l", "m", (F.col("re") + F.col("re2")).alias("re"), (F.col("im") + F.col("im2")).alias("im")))
+        more = _to_degrees(_residual_along_rings(_to_rings(alm, nside), rows, nside, mmax), nside, lmax)
+        alm = settled(alm.unionAll(more).groupBy("l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
     return alm
 
 
-def anafast(sky: DataFrame, nside: int, other: DataFrame | None = None, lmax: int | None = None, iter: int = 3) -> DataFrame:
-    """(l, cl): the spectrum of a map, or the cross spectrum of two."""
-    one = map2alm(sky, nside, lmax, iter=iter)
-    return alm2cl(one, None if other is None else map2alm(other, nside, lmax, iter=iter))
+def unfolded_weights(folded: DataFrame, nside: int) -> DataFrame:
+    """(ipix, weight) of all pixels from their folded form (index, w): a pixel's weight is 1 + w of its class.
+
+    Pixels are alike under turns by quarters, mirrors of a quarter and of north
+    and south.  Classes are numbered along each ring's half quarter, ring by
+    ring from the pole to the equator; there are (3 nside + 1)(nside + 1) / 4.
+    """
+    spark = folded.sparkSession
+    ring = np.arange(1, 2 * nside + 1)
+    quarter = np.minimum(ring, nside)
+    shifted = (ring < nside) | ((ring - nside) % 2 == 0)
+    classes = np.where(shifted, (quarter + 1) // 2, quarter // 2 + 1)
+    starts = np.cumsum(classes) - classes
+    table = pd.DataFrame({"north": ring, "quarter": quarter, "shifted": shifted.astype(int), "start": starts}).astype("int64")
+    grid = spark.range(12 * nside * nside).select(F.col("id").alias("ipix"), P.pix2ring(nside, "id").alias("ring"))
+    grid = grid.select("ipix", F.least("ring", F.lit(4 * nside) - F.col("ring")).alias("north"), (F.col("ipix") - P.ringinfo(nside, "ring")["startpix"]).alias("place"))
+    grid = grid.join(F.broadcast(spark.createDataFrame(table)), "north")  # 2 nside rows
+    within = F.col("place") % F.col("quarter")
+    index = F.col("start") + F.least(within, F.col("quarter") - F.col("shifted") - within)
+    grid = grid.select("ipix", index.alias("index"))
+    return grid.join(folded.select(F.col("index").cast("long").alias("index"), "w"), "index").select("ipix", (1 + F.col("w")).alias("weight"))
+
+
+def anafast(sky: DataFrame, nside: int, other: DataFrame | None = None, lmax: int | None = None, iter: int | None = None, **options) -> DataFrame:
+    """(l, cl): the spectrum of a map, or the cross spectrum of two. Options as for ``map2alm``."""
+    one = map2alm(sky, nside, lmax, iter=iter, **options)
+    return alm2cl(one, None if other is None else map2alm(other, nside, lmax, iter=iter, **options))
 
 
 def smoothing(sky: DataFrame, nside: int, fwhm: float, lmax: int | None = None, iter: int = 3) -> DataFrame:
@@ -255,7 +416,7 @@ def window_ratio(new: DataFrame, old: DataFrame) -> DataFrame:
 def weighted(sky: DataFrame, nside: int, pixels: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
     """The map times pixel weights (ipix, weight), and 1 + w of rings (ring, w), north and south alike.
 
-    Absent weights count as 1; transform the result with iter=0.
+    Absent weights count as 1; ``map2alm`` takes the same tables and applies them in its iterations as well.
     """
     if pixels is not None:
         sky = sky.join(pixels.select("ipix", "weight"), "ipix", "left").select("ipix", (F.col("value") * F.coalesce("weight", F.lit(1.0))).alias("value"))
@@ -286,7 +447,7 @@ def map2alm_lsq(sky: DataFrame, nside: int, lmax: int, mmax: int | None = None,
     """
     mmax = lmax if mmax is None else mmax
     transposed = lambda rest: map2alm_once(rest, nside, lmax, mmax).select("l", "m", *[(F.col(c) * (12 * nside * nside / (4 * math.pi))).alias(c) for c in ("re", "im")])
-    rest = settled(sky.select("ipix", F.when(F.col("value").isNull() | F.isnan("value") | mask_bad("value"), 0.0).otherwise(F.col("value")).alias("value")))
+    rest = settled(sky.select("ipix", good_or_zero("value").alias("value")))
     whole = _size(rest)
     way = settled(transposed(rest))
     alm, slope, steps = way.select("l", "m", F.lit(0.0).alias("re"), F.lit(0.0).alias("im")), _size(way), 0

@@ -18,22 +18,18 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 
 from ._lineage import settled
-from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, _rings, alm2map, map2alm
-from .maps import interpolate, mask_bad
+from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, RING_TILE, SUMS, _block, _complex, _fourier, _ring_values, _rings, _rolled, alm2map, by_ring, map2alm
+from .maps import interpolate
 
 PAIR = "l int, m int, g_re double, g_im double, c_re double, c_im double"
-_SUMS = "ring int, m int, re double, im double"
 
 
-def spin_harmonics(s: int, m: int, lmax: int, theta: np.ndarray) -> np.ndarray:
-    """(lmax + 1, rings): sY at azimuth 0, of order m (of either sign), zero below the first degree.
+def spin_rows(s: int, m: int, lmax: int, theta: np.ndarray):
+    """(l, row) from the first degree on: sY at azimuth 0, of order m (of either sign); two rows are held.
 
     Wigner's functions by their recursion over degrees, started in logarithms.
     """
     low = max(abs(m), s)
-    out = np.zeros((lmax + 1, len(theta)))
-    if low > lmax:
-        return out
     if abs(m) < s:
         j, a, sign = s, -m, (-1) ** (s + m)
     else:
@@ -41,34 +37,62 @@ def spin_harmonics(s: int, m: int, lmax: int, theta: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         c, t = np.log(np.cos(theta / 2)), np.log(np.sin(theta / 2))
     start = 0.5 * (math.lgamma(2 * j + 1) - math.lgamma(j + a + 1) - math.lgamma(j - a + 1)) + (j + a) * c + (j - a) * t
-    scale = np.where(start < -600, start, 0.0)  # values are out * exp(scale) while they would be too small
-    out[low] = sign * np.exp(start - scale)
     z, k = np.cos(theta), -s
-    for l in range(low, lmax):  # noqa: E741
-        n = l + 1
+
+    def following(n: int, now: np.ndarray, before: np.ndarray) -> np.ndarray:
+        l = n - 1  # noqa: E741
         first = (2 * l + 1) * n / math.sqrt((n * n - m * m) * (n * n - k * k))
         shift = m * k / (l * n) if l else 0.0
         back = math.sqrt((l * l - m * m) * (l * l - k * k)) / (l * (2 * l + 1)) if l > low else 0.0
-        out[n] = first * ((z - shift) * out[l] - (back * out[l - 1] if back else 0.0))
-        big = (scale < 0) & (np.abs(out[n]) > 1e100)
-        if big.any():
-            out[low:l, big] = 0
-            out[l : n + 1, big] *= 1e-100
-            scale[big] += 100 * math.log(10)
-            done = big & (scale > -600)
-            out[l : n + 1, done] *= np.exp(scale[done])
-            scale[done] = 0
-    out[:, scale < 0] = 0
-    return out * ((-1) ** s * np.sqrt((2 * np.arange(lmax + 1) + 1) / (4 * np.pi)))[:, None]
+        return first * ((z - shift) * now - back * before)
+
+    for l, row in _rolled(low, lmax, sign, start, following):  # noqa: E741
+        yield l, row * ((-1) ** s * math.sqrt((2 * l + 1) / (4 * math.pi)))
+
+
+def spin_harmonics(s: int, m: int, lmax: int, theta: np.ndarray) -> np.ndarray:
+    """(lmax + 1, rings): the rows of ``spin_rows`` as one table, zero below the first degree."""
+    out = np.zeros((lmax + 1, len(theta)))
+    for l, row in spin_rows(s, m, lmax, theta):  # noqa: E741
+        out[l] = row
+    return out
+
+
+def _tiles(theta: np.ndarray):
+    for at in range(0, len(theta), RING_TILE):
+        yield slice(at, at + RING_TILE)
+
+
+def synthesised_spin_order(s: int, m: int, a: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What coefficients a (l = 0, 1, ...) of order m, of either sign, sum to at colatitudes."""
+    out = np.zeros(len(theta), complex)
+    for tile in _tiles(theta):
+        re, im = np.zeros(len(theta[tile])), np.zeros(len(theta[tile]))
+        for l, row in spin_rows(s, m, len(a) - 1, theta[tile]):  # noqa: E741
+            if a[l]:
+                re += a[l].real * row
+                im += a[l].imag * row
+        out[tile] = re + 1j * im
+    return out
+
+
+def analysed_spin_order(s: int, m: int, lmax: int, theta: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sums of f over colatitudes with the functions of order m, of either sign, for l = 0..lmax."""
+    out = np.zeros((lmax + 1, 2))
+    for tile in _tiles(theta):
+        side = np.stack([f[tile].real, f[tile].imag], axis=1)
+        for l, row in spin_rows(s, m, lmax, theta[tile]):  # noqa: E741
+            out[l] += row @ side
+    return out[:, 0] + 1j * out[:, 1]
 
 
 def _frame(**columns) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
-def alm2map_spin(pair: DataFrame, nside: int, spin: int) -> DataFrame:
-    """(ipix, q, u): the two maps of a pair of coefficient tables, RING order."""
-    z, s, size, first = _rings(nside)
+def _pair_to_rings(pair: DataFrame, nside: int, spin: int) -> DataFrame:
+    """Fourier sums (ring, m, re, im) of q + iu, orders of both signs."""
+    z, s, _, _ = _rings(nside)
     theta = np.arctan2(s, z)
 
     def along_meridians(rows: pd.DataFrame) -> pd.DataFrame:
@@ -80,40 +104,16 @@ def alm2map_spin(pair: DataFrame, nside: int, spin: int) -> DataFrame:
             c[at] = own["c_re"].to_numpy() + 1j * own["c_im"].to_numpy()
             sides = [(m, g + 1j * c)] + ([(-m, (-1) ** m * (g.conj() + 1j * c.conj()))] if m else [])
             for order, a in sides:
-                b = -(a @ spin_harmonics(spin, int(order), top, theta))
+                b = -synthesised_spin_order(spin, int(order), a, theta)
                 out.append(_frame(ring=np.arange(1, 4 * nside), m=order, re=b.real, im=b.imag))
         return pd.concat(out)
 
-    def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ring, own in rows.groupby("ring"):
-            n, m = int(size[ring - 1]), own["m"].to_numpy()
-            folded = np.zeros(n, complex)
-            np.add.at(folded, m % n, (own["re"].to_numpy() + 1j * own["im"].to_numpy()) * np.exp(1j * m * first[ring - 1]))
-            f = np.fft.ifft(folded) * n
-            out.append(_frame(ipix=size[: ring - 1].sum() + np.arange(n), q=f.real, u=f.imag))
-        return pd.concat(out)
-
-    sums = pair.groupBy(F.floor(F.col("m") / ORDER_BLOCK)).applyInPandas(along_meridians, _SUMS)
-    return sums.groupBy(F.floor(F.col("ring") / RING_BLOCK)).applyInPandas(along_rings, "ipix long, q double, u double")
+    return pair.groupBy(_block("m", ORDER_BLOCK)).applyInPandas(along_meridians, SUMS)
 
 
-def map2alm_spin(sky: DataFrame, nside: int, spin: int, lmax: int | None = None, mmax: int | None = None) -> DataFrame:
-    """The pair of coefficient tables of maps (ipix, q, u), RING order; bad and absent pixels count as 0."""
-    z, s, size, first = _rings(nside)
+def _pair_to_degrees(sums: DataFrame, nside: int, spin: int, lmax: int) -> DataFrame:
+    z, s, _, _ = _rings(nside)
     theta = np.arctan2(s, z)
-    lmax = 3 * nside - 1 if lmax is None else lmax
-    mmax = lmax if mmax is None else min(mmax, lmax)
-
-    def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
-        out, m = [], np.arange(-mmax, mmax + 1)
-        for ring, own in rows.groupby("ring"):
-            n = int(size[ring - 1])
-            values = np.zeros(n, complex)
-            values[own["place"].to_numpy()] = own["q"].to_numpy() + 1j * own["u"].to_numpy()
-            f = np.fft.fft(values)[m % n] * np.exp(-1j * m * first[ring - 1])
-            out.append(_frame(ring=ring, m=m, re=f.real, im=f.imag))
-        return pd.concat(out)
 
     def along_meridians(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -121,34 +121,127 @@ def map2alm_spin(sky: DataFrame, nside: int, spin: int, lmax: int | None = None,
             a = {}
             for order in {m, -m}:
                 side = own[own["m"] == order]
-                f = side["re"].to_numpy() + 1j * side["im"].to_numpy()
-                a[order] = spin_harmonics(spin, int(order), lmax, theta[side["ring"].to_numpy() - 1]) @ f * (np.pi / (3 * nside * nside))
+                a[order] = analysed_spin_order(spin, int(order), lmax, theta[side["ring"].to_numpy() - 1], _complex(side)) * (np.pi / (3 * nside * nside))
             other = (-1) ** m * a[-m].conj()
             g, c = -(a[m] + other) / 2, 1j * (a[m] - other) / 2
             out.append(_frame(l=np.arange(lmax + 1), m=m, g_re=g.real, g_im=g.imag, c_re=c.real, c_im=c.imag)[m:])
         return pd.concat(out)
 
-    good = [F.when(F.col(c).isNull() | F.isnan(c) | mask_bad(c), 0.0).otherwise(F.col(c)).alias(c) for c in ("q", "u")]
-    rows = sky.select(P.pix2ring(nside, "ipix").cast("int").alias("ring"), (F.col("ipix") - P.ringinfo(nside, P.pix2ring(nside, "ipix"))["startpix"]).cast("int").alias("place"), *good)
-    sums = rows.groupBy(F.floor(F.col("ring") / RING_BLOCK)).applyInPandas(along_rings, _SUMS)
-    return sums.groupBy(F.floor(F.abs("m") / ORDER_BLOCK)).applyInPandas(along_meridians, PAIR)
+    return sums.groupBy(_block("m", ORDER_BLOCK)).applyInPandas(along_meridians, PAIR)
 
 
-def map2alm_pol(sky: DataFrame, nside: int, lmax: int | None = None, iter: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Coefficients of temperature, and the pair (g gradient, c curl) of polarisation, of maps (ipix, i, q, u).
+def _pair_along_rings(rows: DataFrame, nside: int, mmax: int) -> DataFrame:
+    _, _, size, first = _rings(nside)
+    m = np.arange(-mmax, mmax + 1)
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for ring, own in rows.groupby("ring"):
+            values = np.zeros(int(size[ring - 1]), complex)
+            values[own["place"].to_numpy()] = (own["q"].to_numpy() + 1j * own["u"].to_numpy()) * own["weight"].to_numpy()
+            f = _fourier(values, m, first[ring - 1])
+            out.append(_frame(ring=ring, m=m, re=f.real, im=f.imag))
+        return pd.concat(out)
+
+    return rows.groupBy(_block("ring", RING_BLOCK)).applyInPandas(summed, SUMS)
+
+
+def _pair_residual_along_rings(sums: DataFrame, rows: DataFrame, nside: int, mmax: int) -> DataFrame:
+    _, _, size, first = _rings(nside)
+    m = np.arange(-mmax, mmax + 1)
+
+    def summed(model: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out, held = [_frame(ring=[], m=[], re=[], im=[])], dict(list(rows.groupby("ring")))
+        for ring, own in model.groupby("ring"):
+            rest = -_ring_values(own["m"].to_numpy(), _complex(own), int(size[ring - 1]), first[ring - 1])
+            if ring in held:
+                place = held[ring]["place"].to_numpy()
+                rest[place] += held[ring]["q"].to_numpy() + 1j * held[ring]["u"].to_numpy()
+                rest[place] *= held[ring]["weight"].to_numpy()
+            f = _fourier(rest, m, first[ring - 1])
+            out.append(_frame(ring=ring, m=m, re=f.real, im=f.imag))
+        return pd.concat(out[1:] or out)
+
+    return sums.groupBy(_block("ring", RING_BLOCK)).cogroup(rows.groupBy(_block("ring", RING_BLOCK))).applyInPandas(summed, SUMS)
+
+
+def alm2map_spin(pair: DataFrame, nside: int, spin: int) -> DataFrame:
+    """(ipix, q, u): the two maps of a pair of coefficient tables, RING order."""
+    _, _, size, first = _rings(nside)
+    starts = np.cumsum(size) - size
+
+    def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for ring, own in rows.groupby("ring"):
+            n = int(size[ring - 1])
+            f = _ring_values(own["m"].to_numpy(), _complex(own), n, first[ring - 1])
+            out.append(_frame(ipix=starts[ring - 1] + np.arange(n), q=f.real, u=f.imag))
+        return pd.concat(out)
 
-    ``iter`` times the residuals' coefficients are added.
+    return _pair_to_rings(pair, nside, spin).groupBy(_block("ring", RING_BLOCK)).applyInPandas(along_rings, "ipix long, q double, u double")
+
+
+def map2alm_spin(sky: DataFrame, nside: int, spin: int, lmax: int | None = None, mmax: int | None = None, iter: int = 0, **quadrature) -> DataFrame:
+    """The pair of coefficient tables of maps (ipix, q, u), RING order; bad and absent pixels count as 0.
+
+    ``iter`` times the residuals' coefficients are added; cuts and weights as for ``map2alm``.
     """
-    good = [F.when(F.col(c).isNull() | F.isnan(c) | mask_bad(c), 0.0).otherwise(F.col(c)).alias(c) for c in ("q", "u")]
-    qu = sky.select("ipix", *good)
-    pair = settled(map2alm_spin(qu, nside, 2, lmax))
-    names = PAIR.replace(" int", "").replace(" double", "").split(", ")[2:]
+    lmax = 3 * nside - 1 if lmax is None else lmax
+    mmax = lmax if mmax is None else min(mmax, lmax)
+    rows = settled(by_ring(sky, nside, ["q", "u"], **quadrature))
+    pair = _pair_to_degrees(_pair_along_rings(rows, nside, mmax), nside, spin, lmax)
+    if not iter:
+        return pair
+    pair = settled(pair)
     for _ in range(iter):
-        model = alm2map_spin(pair, nside, 2).withColumnsRenamed({"q": "mq", "u": "mu"})
-        rest = model.join(qu, "ipix", "left").select("ipix", *[(F.coalesce(c, F.lit(0.0)) - F.col("m" + c)).alias(c) for c in ("q", "u")])
-        more = map2alm_spin(rest, nside, 2, lmax).withColumnsRenamed({c: c + "2" for c in names})
-        pair = settled(pair.join(more, ["l", "m"]).select("l", "m", *[(F.col(c) + F.col(c + "2")).alias(c) for c in names]))
-    return map2alm(sky.select("ipix", F.col("i").alias("value")), nside, lmax, iter=iter), pair
+        more = _pair_to_degrees(_pair_residual_along_rings(_pair_to_rings(pair, nside, spin), rows, nside, mmax), nside, spin, lmax)
+        pair = settled(pair.unionAll(more).groupBy("l", "m").agg(*[F.sum(c).alias(c) for c in pair.columns[2:]]))
+    return pair
+
+
+def map2alm_pol(sky: DataFrame, nside: int, lmax: int | None = None, iter: int | None = None, mmax: int | None = None, **quadrature) -> tuple[DataFrame, DataFrame]:
+    """Coefficients of temperature, and the pair (g gradient, c curl) of polarisation, of maps (ipix, i, q, u).
+
+    Iterations, cuts and weights as for ``map2alm``.
+    """
+    iter = (3 if quadrature.get("pixels") is None else 0) if iter is None else iter
+    pair = map2alm_spin(sky, nside, 2, lmax, mmax, iter, **quadrature)
+    return map2alm(sky.select("ipix", F.col("i").alias("value")), nside, lmax, mmax, iter, **quadrature), pair
+
+
+#: The order in which spectra are counted off.
+SPECTRA = ("tt", "ee", "bb", "te", "eb", "tb")
+
+
+def spectra(alm: DataFrame, pair: DataFrame, alm2: DataFrame | None = None, pair2: DataFrame | None = None, nspec: int | None = None) -> DataFrame:
+    """(l, tt, ee, bb, te, eb, tb): the spectra of temperature and polarisation, or the cross spectra of two sets; the first ``nspec`` of them.
+
+    One join of both tables on (l, m), then one aggregation by degree. A cross
+    spectrum between two kinds is the mean of both ways.
+    """
+    def all_three(t: DataFrame, p: DataFrame) -> DataFrame:
+        c = {"t_re": "re", "t_im": "im"}
+        t = t.select("l", "m", *[F.col(v).alias(k) for k, v in c.items()])
+        return t.join(p.select("l", "m", *[F.col(f"{a}_{b}").alias(f"{k}_{b}") for k, a in (("e", "g"), ("b", "c")) for b in ("re", "im")]), ["l", "m"], "full")
+
+    one = all_three(alm, pair)
+    names = [c for c in one.columns if c not in ("l", "m")]
+    if alm2 is None:
+        both = one.select("*", *[F.col(c).alias("x" + c) for c in names])
+    else:
+        both = one.join(all_three(alm2, pair2).withColumnsRenamed({c: "x" + c for c in names}), ["l", "m"])
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    product = lambda a, b: value(f"{a}_re") * value(f"x{b}_re") + value(f"{a}_im") * value(f"x{b}_im")
+    twice = F.when(F.col("m") == 0, 1.0).otherwise(2.0) / (2 * F.col("l") + 1)
+    shown = SPECTRA[: len(SPECTRA) if nspec is None else nspec]
+    return both.groupBy("l").agg(*[F.sum(twice * (product(a, b) + product(b, a)) / 2).alias(a + b) for a, b in shown])
+
+
+def anafast_pol(sky: DataFrame, nside: int, other: DataFrame | None = None, lmax: int | None = None, iter: int | None = None, nspec: int | None = None, **quadrature) -> DataFrame:
+    """(l, tt, ee, bb, te, eb, tb) of maps (ipix, i, q, u), or the cross spectra with another set. Options as for ``map2alm``."""
+    first = map2alm_pol(sky, nside, lmax, iter, **quadrature)
+    second = (None, None) if other is None else map2alm_pol(other, nside, lmax, iter, **quadrature)
+    return spectra(*first, *second, nspec=nspec)
 
 
 def alm2map_pol(alm: DataFrame, pair: DataFrame, nside: int) -> DataFrame:
