@@ -188,11 +188,18 @@ def projmap_mollweide(spark, sf_dir):
 
 
 def anafast(spark, sf_dir):
-    return harmonic.anafast(event_map(spark, sf_dir).select("ipix", "value"), 8, lmax=12, iter=1)
+    return harmonic.anafast(event_map(spark, sf_dir).select("ipix", "value"), 8, lmax=12, iter=1).select("l", F.round("cl", 6).alias("cl"))
+
+
+def map2alm_cut(spark, sf_dir):
+    """Coefficients of all events outside 20 degrees of the equator, ring weights within two iterations."""
+    rings = spark.range(1, 17).select(F.col("id").alias("ring"), (F.lit(0.01) / F.col("id")).alias("w"))
+    alm = harmonic.map2alm(event_map(spark, sf_dir).select("ipix", "value"), 8, lmax=9, iter=2, gal_cut=20.0, rings=rings)
+    return alm.select("l", "m", *[(F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")])
 
 
 def smoothing(spark, sf_dir):
-    return harmonic.smoothing(event_map(spark, sf_dir).select("ipix", "value"), 8, 0.3, lmax=16, iter=1)
+    return harmonic.smoothing(event_map(spark, sf_dir).select("ipix", "value"), 8, 0.3, lmax=16, iter=1).select("ipix", F.round("value", 6).alias("value"))
 
 
 def dist2holes(spark, sf_dir):
@@ -235,7 +242,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, smoothing, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -248,6 +255,27 @@ def _in_disc(n: int) -> str:
     return f"SELECT ipix FROM ({_centres(n)}) WHERE s * cos(phi) * {x / size!r} + s * sin(phi) * {y / size!r} + z * {z / size!r} >= {math.cos(r)!r}"
 
 
+def _analysed(lmax: int, iter: int, out: str, value: str = "value", weight: str = "1") -> str:
+    """Direct sums over all pixels of the nside 8 map of events: coefficients a{iter} (l, m, re, im) after so many residuals, then ``out``.
+
+    ``y``: real and imaginary part of the harmonics at pixels; ``value`` and ``weight`` go by ipix, z and ring.
+    """
+    area = f"{4 * math.pi / 768!r}::DOUBLE"
+    sql = f"""WITH RECURSIVE centres AS MATERIALIZED ({_centres(8)}), rings AS (SELECT DISTINCT z, s FROM centres),
+      tops(m, z, s, v) AS (SELECT 0, z, s, {math.sqrt(1 / (4 * math.pi))!r}::DOUBLE FROM rings UNION ALL SELECT m + 1, z, s, -v * s * sqrt((2 * m + 3) / (2 * m + 2)::DOUBLE) FROM tops WHERE m < {lmax}),
+      leg(l, m, z, p, q) AS (SELECT m, m, z, v, 0.0::DOUBLE FROM tops UNION ALL
+        SELECT l + 1, m, z, sqrt((4 * (l + 1) * (l + 1) - 1) / ((l + 1) * (l + 1) - m * m)::DOUBLE) * (z * p - sqrt((l * l - m * m) / (4 * l * l - 1)::DOUBLE) * q), p FROM leg WHERE l < {lmax}),
+      near AS (SELECT z, row_number() OVER (ORDER BY z DESC) AS ring FROM rings),
+      pix AS (SELECT ipix, z, phi, coalesce({value}, 0) AS v, {weight} AS w FROM centres JOIN near USING (z) LEFT JOIN ({_MAP8}) USING (ipix)),
+      y AS MATERIALIZED (SELECT l, m, ipix, p * cos(m * phi) AS c, p * sin(m * phi) AS d, v, w, CASE WHEN m = 0 THEN 1 ELSE 2 END AS two FROM leg JOIN pix USING (z)),
+      a0 AS MATERIALIZED (SELECT l, m, sum(v * w * c) * {area} AS re, -sum(v * w * d) * {area} AS im FROM y GROUP BY 1, 2)"""
+    for k in range(iter):
+        sql += f""",
+      m{k} AS MATERIALIZED (SELECT ipix, sum(two * (re * c - im * d)) AS model FROM y JOIN a{k} USING (l, m) GROUP BY 1),
+      a{k + 1} AS MATERIALIZED (SELECT l, m, any_value(a{k}.re) + sum((v - model) * w * c) * {area} AS re, any_value(a{k}.im) - sum((v - model) * w * d) * {area} AS im FROM y JOIN m{k} USING (ipix) JOIN a{k} USING (l, m) GROUP BY 1, 2)"""
+    return f"{sql} {out}"
+
+
 def oracle_sql() -> dict[str, str]:
     pole, node, tilt = (math.radians(x) for x in (27.12825, 122.93192, 23.4392911))
     # Galactic to equatorial by the spherical triangle with the poles, then about the axis to the equinox.
@@ -286,7 +314,11 @@ def oracle_sql() -> dict[str, str]:
     emb = f"SELECT vec_id, z / r AS z, (atan2(y, x) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM (SELECT vec_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE len(embedding) >= 3))"
     spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
     blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
+    smooth = f"SELECT ipix, round(sum(two * (re * c - im * d) * {beam(0.3)}), 6) AS value FROM y JOIN a1 USING (l, m) JOIN ({_MAP8}) USING (ipix) GROUP BY 1"
     return {
+        "anafast": _analysed(12, 1, "SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 6) AS cl FROM a1 GROUP BY 1"),
+        "map2alm_cut": _analysed(9, 2, "SELECT l, m, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM a2", f"CASE WHEN abs(z) >= {math.sin(math.radians(20))!r} THEN value END", "1 + 0.01::DOUBLE / least(ring, 32 - ring)"),
+        "smoothing": _analysed(16, 1, smooth),
         "rotated_spectrum": f"SELECT l, round(cl, 3) AS cl FROM ({spectrum})",
         "rotate_alm_over": f"SELECT l, m, round((1 - 2 * (l % 2)) * (re * cos(1.1 * m) + im * sin(1.1 * m)), 4) + 0.0::DOUBLE AS re, round((1 - 2 * (l % 2)) * (re * sin(1.1 * m) - im * cos(1.1 * m)), 4) + 0.0::DOUBLE AS im FROM ({alm})",
         "alm2map": over(f"round({real('')}, 4) AS value"),
