@@ -15,6 +15,8 @@ from skyframe.functions import pixel as P
 from skyframe.functions.projection import image_pixels
 from skyframe.functions.rotation import Rotator
 from skyframe.operators import graph, harmonic, maps, regions, spin
+from skyframe.operators._lineage import shared_path
+from skyframe.sources import fits
 
 TURN, RISE = 0.6180339887498949, 0.7548776662466927
 
@@ -202,6 +204,13 @@ def smoothing(spark, sf_dir):
     return harmonic.smoothing(event_map(spark, sf_dir).select("ipix", "value"), 8, 0.3, lmax=16, iter=1).select("ipix", F.round("value", 6).alias("value"))
 
 
+def fits_roundtrip(spark, sf_dir):
+    """The map of all events through a file: written in RING order with two fields, read in NEST order."""
+    path = shared_path(spark, "events") + ".fits"
+    fits.write_map(event_map(spark, sf_dir, 16).select("ipix", "value", "hits"), path, 16, partial=True, names=["MEAN", "HITS"])
+    return fits.read_map(spark, path, ("MEAN", "HITS"), nest=True).select("ipix", F.round("MEAN", 6).alias("mean"), F.col("HITS").alias("hits"))
+
+
 def dist2holes(spark, sf_dir):
     mask = spark.range(768).select(F.col("id").alias("ipix"), (F.col("id") % 97 == 5).alias("masked"))
     return graph.dist2holes(mask, 8).select("ipix", F.round("distance", 6).alias("distance"))
@@ -242,7 +251,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -318,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "anafast": _analysed(12, 1, "SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 6) AS cl FROM a1 GROUP BY 1"),
         "map2alm_cut": _analysed(9, 2, "SELECT l, m, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM a2", f"CASE WHEN abs(z) >= {math.sin(math.radians(20))!r} THEN value END", "1 + 0.01::DOUBLE / least(ring, 32 - ring)"),
+        "fits_roundtrip": f"SELECT nest AS ipix, round(avg(value), 6) AS mean, count(*) AS hits FROM ({_nest(16, _EV)}) GROUP BY 1",
         "smoothing": _analysed(16, 1, smooth),
         "rotated_spectrum": f"SELECT l, round(cl, 3) AS cl FROM ({spectrum})",
         "rotate_alm_over": f"SELECT l, m, round((1 - 2 * (l % 2)) * (re * cos(1.1 * m) + im * sin(1.1 * m)), 4) + 0.0::DOUBLE AS re, round((1 - 2 * (l % 2)) * (re * sin(1.1 * m) - im * cos(1.1 * m)), 4) + 0.0::DOUBLE AS im FROM ({alm})",
