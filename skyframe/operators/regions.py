@@ -5,17 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 
-
-def _max_pixrad(nside: int) -> float:
-    z = 1 - (1 - 1 / nside) ** 2 / 3
-    a = np.array([math.sqrt(5) / 3 * math.cos(math.pi / 4 / nside), math.sqrt(5) / 3 * math.sin(math.pi / 4 / nside), 2 / 3])
-    b = np.array([math.sqrt(1 - z * z), 0, z])
-    return math.atan2(np.linalg.norm(np.cross(a, b)), a @ b)
+from . import coverage
+from .coverage import max_pixrad
 
 
 def _rings(spark: SparkSession, nside: int) -> DataFrame:
@@ -51,16 +47,33 @@ def pixels_of(ranges: DataFrame) -> DataFrame:
 
 
 def ranges_of(pixels: DataFrame) -> DataFrame:
-    """(first, last) of each run of neighbouring ids."""
-    # An island's key is its id less its rank; ranks need one order over a region's pixels.
-    run = pixels.select("ipix", (F.col("ipix") - F.row_number().over(Window.orderBy("ipix"))).alias("run"))
-    return run.groupBy("run").agg(F.min("ipix").alias("first"), F.max("ipix").alias("last")).drop("run")
+    """(first, last) of each run of neighbouring ids: joined in blocks of a million ids, then at the blocks' edges."""
+    return coverage.joined(pixels.select(F.col("ipix").alias("first"), F.col("ipix").alias("last")), [], 20)
+
+
+def _vector(v) -> Column:
+    return P.record(**{c: F.lit(float(x)) for c, x in zip("xyz", v, strict=True)})
+
+
+def _power_of_two(n: int) -> bool:
+    return n > 0 and n & (n - 1) == 0
+
+
+def _covered_pixels(shaped, nside: int, inclusive: bool, fact: int, nest: bool) -> DataFrame:
+    out = pixels_of(coverage.covered_ranges(shaped, [], nside, inclusive, fact))
+    return out if nest else out.select(P.nest2ring(nside, "ipix").alias("ipix"))
 
 
 def query_disc(spark: SparkSession, nside: int, vec, radius: float, inclusive: bool = False, fact: int = 4, nest: bool = False) -> DataFrame:
-    """(ipix): pixels with their centre in a disc; inclusive: all that overlap it and maybe a few more, by way of a grid ``fact`` times as fine."""
+    """(ipix): pixels with their centre in a disc; inclusive: all that overlap it and maybe a few more, by way of a grid ``fact`` times as fine.
+
+    Inclusive discs descend the tree of cells where sizes are powers of two; other sizes have all fine pixels made.
+    """
+    if inclusive and _power_of_two(nside) and _power_of_two(fact):
+        shaped = coverage.one_region(spark, coverage.discs, vec=_vector(vec), radius=F.lit(float(radius)))
+        return _covered_pixels(shaped, nside, True, fact, nest)
     if inclusive:
-        fine = pixels_of(disc_ranges(spark, nside * fact, vec, radius + _max_pixrad(nside * fact)))
+        fine = pixels_of(disc_ranges(spark, nside * fact, vec, radius + max_pixrad(nside * fact)))
         parent = P.vec2pix(nside, F.col("v.x"), F.col("v.y"), F.col("v.z"))
         out = fine.select(P.pix2vec(nside * fact, "ipix").alias("v")).select(parent.alias("ipix")).distinct()
     else:
@@ -71,7 +84,7 @@ def query_disc(spark: SparkSession, nside: int, vec, radius: float, inclusive: b
 def query_strip(spark: SparkSession, nside: int, theta1: float, theta2: float, inclusive: bool = False, nest: bool = False) -> DataFrame:
     """(ipix): pixels with centres between two colatitudes; if the first is the larger, those of both polar caps."""
     if inclusive:
-        grow = _max_pixrad(nside)
+        grow = max_pixrad(nside)
         theta1, theta2 = (max(0.0, theta1 - grow), min(math.pi, theta2 + grow)) if theta1 < theta2 else (theta1 - grow, theta2 + grow)
     theta = F.atan2("sintheta", "costheta")
     within = (theta >= theta1) & (theta <= theta2) if theta1 < theta2 else (theta >= theta1) | (theta <= theta2)
@@ -79,8 +92,11 @@ def query_strip(spark: SparkSession, nside: int, theta1: float, theta2: float, i
     return out.select(P.ring2nest(nside, "ipix").alias("ipix")) if nest else out
 
 
-def query_polygon(spark: SparkSession, nside: int, vertices, inclusive: bool = False, nest: bool = False) -> DataFrame:
-    """(ipix): pixels with centres in a convex polygon; candidates come from a disc around it."""
+def query_polygon(spark: SparkSession, nside: int, vertices, inclusive: bool = False, fact: int = 4, nest: bool = False) -> DataFrame:
+    """(ipix): pixels with centres in a convex polygon, by descent of the tree of cells; inclusive as for discs.
+
+    Sizes that are no powers of two take candidates from a disc around it.
+    """
     v = np.asarray(vertices, float)
     v /= np.linalg.norm(v, axis=1)[:, None]
     if len(v) < 3:
@@ -90,9 +106,12 @@ def query_polygon(spark: SparkSession, nside: int, vertices, inclusive: bool = F
     sides = np.sign([normals[i] @ v[(i + 2) % len(v)] for i in range(len(v))])
     if abs(sides.sum()) != len(v):
         raise ValueError("the polygon isn't convex")
+    if _power_of_two(nside) and (_power_of_two(fact) or not inclusive):
+        shaped = coverage.one_region(spark, coverage.polygons, vertices=F.array(*[_vector(p) for p in v]))
+        return _covered_pixels(shaped, nside, inclusive, fact, nest)
     normals *= sides[0]
     centre = v.sum(axis=0) / np.linalg.norm(v.sum(axis=0))
-    grow = _max_pixrad(nside) if inclusive else 0.0
+    grow = max_pixrad(nside) if inclusive else 0.0
     radius = max(math.acos(np.clip(centre @ p, -1, 1)) for p in v) + grow
     out = query_disc(spark, nside, centre, radius)
     vec = out.select("ipix", P.pix2vec(nside, "ipix").alias("c"))
