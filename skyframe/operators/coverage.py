@@ -57,15 +57,24 @@ def discs(regions: DataFrame, vec: Column, radius: Column) -> tuple[DataFrame, D
 
 
 def polygons(regions: DataFrame, vertices: Column) -> tuple[DataFrame, Depth]:
-    """Of rows with an array of three directions at least, in either sense; an error if one isn't convex."""
-    v, n = F.transform(vertices, _unit), F.size(vertices)
-    rows = regions.withColumn("_v", v)
-    after = lambda i, k: F.element_at("_v", ((i + k) % n + 1).cast("int"))
-    rows = rows.withColumn("_n", F.transform(F.sequence(F.lit(0), n - 1), lambda i: _unit(_cross(after(i, 0), after(i, 1)))))
-    rows = rows.withColumn("_s", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.signum(_dot(F.element_at("_n", (i + 1).cast("int")), after(i, 2)))))
-    convex = (n >= 3) & (F.abs(F.aggregate("_s", F.lit(0.0), lambda a, s: a + s)) == n)
-    sides = F.transform("_n", lambda m: P.record(**{c: m[c] * F.element_at("_s", 1) for c in "xyz"}))
-    rows = rows.withColumn("_shape", F.when(convex, sides).otherwise(F.raise_error(F.lit("a polygon has three vertices at least and is convex")))).drop("_v", "_n", "_s")
+    """Of rows with an array of three directions at least, in either sense; an error if one isn't convex. Null and empty arrays have no shape."""
+    def at(array: Column, i: Column) -> Column:
+        return F.element_at(array, (F.pmod(i, F.size(array)) + 1).cast("int"))
+
+    def each(array: Column, use) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(array) - 1), use)
+
+    def sides(v: Column) -> Column:
+        return P.let(each(v, lambda i: _unit(_cross(at(v, i), at(v, i + 1)))), lambda n: oriented(v, n))
+
+    def oriented(v: Column, n: Column) -> Column:
+        """Normals that point inwards, if every vertex lies on one side of the side before it."""
+        inner = each(v, lambda i: F.signum(_dot(at(n, i), at(v, i + 2))))
+        turned = lambda s: F.transform(n, lambda m: P.record(**{c: m[c] * s for c in "xyz"}))
+        wrong = F.raise_error(F.lit("a polygon has three vertices at least and is convex"))
+        return P.let(inner, lambda s: F.when((F.size(v) >= 3) & (F.array_min(s) == F.array_max(s)) & (s[0] != 0), turned(s[0])).otherwise(wrong))
+
+    rows = regions.withColumn("_shape", F.when(F.size(vertices) > 0, P.let(F.transform(vertices, _unit), sides)))
 
     def depth(v: Column, shape: Column) -> Column:
         return F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.array_min(F.transform(shape, lambda m: _dot(m, v))))))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 from skyframe.functions.projection import image_pixels
 from skyframe.functions.rotation import Rotator
-from skyframe.operators import graph, harmonic, maps, regions, spin
+from skyframe.operators import coverage, graph, harmonic, maps, regions, spin
 from skyframe.operators._lineage import shared_path
 from skyframe.sources import fits
 
@@ -135,6 +135,31 @@ def polygon_members(spark, sf_dir):
     return regions.query_polygon(spark, 16, [(1, 0.01, 0.02), (0.02, 1, 0.01), (0.01, 0.02, 1)])
 
 
+def _directions(spark, sf_dir):
+    """Every vector's first three triples as directions a, b and c, and a size."""
+    e = F.col("embedding")
+    triple = lambda k: P.record(**{c: e[k + i].cast("double") for i, c in enumerate("xyz")})
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size(e) >= 10)
+    return rows.select("vec_id", *[triple(3 * k).alias(c) for k, c in enumerate("abc")], F.abs(e[9]).cast("double").alias("size"))
+
+
+def disc_coverage(spark, sf_dir):
+    """NEST ranges of a disc for each vector, all pixels that overlap it."""
+    shaped = coverage.discs(_directions(spark, sf_dir), F.col("a"), F.col("size"))
+    return coverage.covered_ranges(shaped, ["vec_id"], 16, inclusive=True, fact=2)
+
+
+def polygon_coverage(spark, sf_dir):
+    """NEST ranges of a triangle for each vector."""
+    return coverage.covered_ranges(coverage.polygons(_directions(spark, sf_dir), F.array("a", "b", "c")), ["vec_id"], 16)
+
+
+def strip_coverage(spark, sf_dir):
+    """NEST ranges of the strip between two directions' colatitudes for each vector, or of both caps."""
+    theta = [P.vec2theta(F.col(f"{c}.x"), F.col(f"{c}.y"), F.col(f"{c}.z")) for c in "ab"]
+    return coverage.covered_ranges(coverage.strips(_directions(spark, sf_dir), *theta), ["vec_id"], 16)
+
+
 def hotspots(spark, sf_dir):
     return graph.hotspots(event_map(spark, sf_dir), 8).select("ipix", "is_min", "is_max")
 
@@ -251,7 +276,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -324,7 +349,19 @@ def oracle_sql() -> dict[str, str]:
     spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
     blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
     smooth = f"SELECT ipix, round(sum(two * (re * c - im * d) * {beam(0.3)}), 6) AS value FROM y JOIN a1 USING (l, m) JOIN ({_MAP8}) USING (ipix) GROUP BY 1"
+    vectors = "SELECT vec_id, abs(embedding[10])::DOUBLE AS size, " + ", ".join(f"embedding[{3 * k + i + 1}]::DOUBLE AS {c}{x}" for k, c in enumerate("uvw") for i, x in enumerate("xyz")) + " FROM embeddings WHERE len(embedding) >= 10"
+    points = lambda n: f"SELECT nest, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_nest(n, f'SELECT ipix, z, phi, s FROM ({_centres(n)})')})"
+    runs = lambda found: f"SELECT vec_id, min(nest) AS first, max(nest) AS last FROM (SELECT vec_id, nest, nest - row_number() OVER (PARTITION BY vec_id ORDER BY nest) AS run FROM ({found})) GROUP BY vec_id, run"
+    disc = f"SELECT DISTINCT vec_id, nest // 4 AS nest FROM ({vectors}), ({points(32)}) WHERE acos((ux * x + uy * y + uz * z) / sqrt(ux * ux + uy * uy + uz * uz)) <= size + {coverage.max_pixrad(32)!r}::DOUBLE"
+    normal = lambda p, q: ", ".join(f"{p}{b} * {q}{c} - {p}{c} * {q}{b} AS {p}{q}{a}" for a, b, c in ("xyz", "yzx", "zxy"))
+    sided = " AND ".join(f"sense * ({n}x * x + {n}y * y + {n}z * z) >= 0" for n in ("uv", "vw", "wu"))
+    triangle = f"SELECT vec_id, nest FROM (SELECT *, sign(uvx * wx + uvy * wy + uvz * wz) AS sense FROM (SELECT *, {normal('u', 'v')}, {normal('v', 'w')}, {normal('w', 'u')} FROM ({vectors}))), ({points(16)}) WHERE {sided}"
+    thetas = f"SELECT vec_id, atan2(sqrt(ux * ux + uy * uy), uz) AS a, atan2(sqrt(vx * vx + vy * vy), vz) AS b FROM ({vectors})"
+    between = f"SELECT vec_id, nest FROM ({thetas}), (SELECT nest, acos(z) AS t FROM ({points(16)})) WHERE CASE WHEN a < b THEN t >= a AND t <= b ELSE t >= a OR t <= b END"
     return {
+        "disc_coverage": runs(disc),
+        "polygon_coverage": runs(triangle),
+        "strip_coverage": runs(between),
         "anafast": _analysed(12, 1, "SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 6) AS cl FROM a1 GROUP BY 1"),
         "map2alm_cut": _analysed(9, 2, "SELECT l, m, round(re, 6) + 0.0::DOUBLE AS re, round(im, 6) + 0.0::DOUBLE AS im FROM a2", f"CASE WHEN abs(z) >= {math.sin(math.radians(20))!r} THEN value END", "1 + 0.01::DOUBLE / least(ring, 32 - ring)"),
         "fits_roundtrip": f"SELECT nest AS ipix, round(avg(value), 6) AS mean, count(*) AS hits FROM ({_nest(16, _EV)}) GROUP BY 1",
