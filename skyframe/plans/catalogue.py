@@ -236,9 +236,19 @@ def fits_roundtrip(spark, sf_dir):
     return fits.read_map(spark, path, ("MEAN", "HITS"), nest=True).select("ipix", F.round("MEAN", 6).alias("mean"), F.col("HITS").alias("hits"))
 
 
+def _event_mask(spark, sf_dir, nside: int, share: int):
+    """Pixels with fewer events than one in ``share`` of the fullest are masked, and those without any."""
+    hits = event_map(spark, sf_dir, nside).select("ipix", "hits")
+    grid = spark.range(12 * nside * nside).select(F.col("id").alias("ipix")).join(hits, "ipix", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    return grid.select("ipix", (F.col("hits") * share <= hits.agg(F.max("hits")).first()[0]).alias("masked"))
+
+
 def dist2holes(spark, sf_dir):
-    mask = spark.range(768).select(F.col("id").alias("ipix"), (F.col("id") % 97 == 5).alias("masked"))
-    return graph.dist2holes(mask, 8).select("ipix", F.round("distance", 6).alias("distance"))
+    return graph.dist2holes(_event_mask(spark, sf_dir, 16, 3), 16).select("ipix", F.round("distance", 6).alias("distance"))
+
+
+def fill_small_holes(spark, sf_dir):
+    return graph.fill_small_holes(_event_mask(spark, sf_dir, 16, 2), 16, min_size=4)
 
 
 def rotated_spectrum(spark, sf_dir):
@@ -276,7 +286,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -349,6 +359,13 @@ def oracle_sql() -> dict[str, str]:
     spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
     blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
     smooth = f"SELECT ipix, round(sum(two * (re * c - im * d) * {beam(0.3)}), 6) AS value FROM y JOIN a1 USING (l, m) JOIN ({_MAP8}) USING (ipix) GROUP BY 1"
+    mask = lambda n, share: f"SELECT ipix, coalesce(hits, 0) * {share} <= max(hits) OVER () AS masked FROM (SELECT range AS ipix FROM range({12 * n * n})) LEFT JOIN (SELECT ipix, count(*) AS hits FROM ({_ring(n, _EV)}) GROUP BY 1) USING (ipix)"
+    # A pixel's corners as directions: pixels that share one are neighbours.
+    jr, turn = f"(CASE WHEN face < 4 THEN 2 WHEN face < 8 THEN 3 ELSE 4 END - (x + i + y + j) / 16.0::DOUBLE)", "(CASE WHEN face BETWEEN 4 AND 7 THEN 2 * (face - 4) ELSE 2 * (face % 4) + 1 END)"
+    nr = f"(CASE WHEN {jr} < 1 THEN {jr} WHEN {jr} > 3 THEN 4 - {jr} ELSE 1 END)"
+    cz = f"(CASE WHEN {jr} < 1 THEN 1 - {jr} * {jr} / 3 WHEN {jr} > 3 THEN (4 - {jr}) * (4 - {jr}) / 3 - 1 ELSE (2 - {jr}) * 2 / 3 END)"
+    cphi = f"(CASE WHEN {nr} > 0 THEN {math.pi / 4!r}::DOUBLE * ({turn} * {nr} + (x + i - y - j) / 16.0::DOUBLE) / {nr} ELSE 0 END)"
+    corner = f"round(sqrt(greatest(0, (1 - {cz}) * (1 + {cz}))) * cos({cphi}), 6) + 0.0 AS cx, round(sqrt(greatest(0, (1 - {cz}) * (1 + {cz}))) * sin({cphi}), 6) + 0.0 AS cy, round({cz}, 6) + 0.0 AS cz"
     vectors = "SELECT vec_id, abs(embedding[10])::DOUBLE AS size, " + ", ".join(f"embedding[{3 * k + i + 1}]::DOUBLE AS {c}{x}" for k, c in enumerate("uvw") for i, x in enumerate("xyz")) + " FROM embeddings WHERE len(embedding) >= 10"
     points = lambda n: f"SELECT nest, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_nest(n, f'SELECT ipix, z, phi, s FROM ({_centres(n)})')})"
     runs = lambda found: f"SELECT vec_id, min(nest) AS first, max(nest) AS last FROM (SELECT vec_id, nest, nest - row_number() OVER (PARTITION BY vec_id ORDER BY nest) AS run FROM ({found})) GROUP BY vec_id, run"
@@ -392,6 +409,11 @@ def oracle_sql() -> dict[str, str]:
         "almxfl_gauss": f"SELECT l, m, round(re * f, 6) AS re, round(im * f, 6) AS im FROM (SELECT *, CASE WHEN l <= 20 THEN {beam(0.2)} ELSE 0 END AS f FROM ({alm}))",
         "gauss_beam": f"SELECT l, round(t, 9) AS t, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS e, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS b, round(t * {math.exp(s2)!r}::DOUBLE, 9) AS te FROM (SELECT l, {beam(0.1)} AS t FROM (SELECT range::INT AS l FROM range(65)))",
         "projmap_mollweide": f"SELECT ipix, count(*) AS cells FROM ({_ring(8, plane)}) GROUP BY 1",
-        "dist2holes": f"""WITH c AS (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(8)}))
-            SELECT a.ipix, round(min(2 * asin(least(1, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / 2))), 6) AS distance FROM c a, c b WHERE b.ipix % 97 = 5 GROUP BY 1""",
+        "dist2holes": f"""WITH c AS MATERIALIZED (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(16)})), m AS MATERIALIZED ({mask(16, 3)})
+            SELECT a.ipix, round(min(2 * asin(least(1, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / 2))), 6) AS distance FROM c a, c b JOIN m ON m.ipix = b.ipix WHERE m.masked GROUP BY 1""",
+        "fill_small_holes": f"""WITH RECURSIVE m AS MATERIALIZED ({mask(16, 2)}), p AS MATERIALIZED (SELECT m.ipix, z, phi, s FROM m JOIN ({_centres(16)}) USING (ipix) WHERE masked),
+            f AS MATERIALIZED (SELECT ipix, face, x, y FROM ({_xyf(16, "SELECT * FROM p")})), corners AS MATERIALIZED (SELECT ipix, {corner} FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j)),
+            near AS MATERIALIZED (SELECT DISTINCT a.ipix AS a, b.ipix AS b FROM corners a JOIN corners b USING (cx, cy, cz)),
+            reach(a, b) AS (SELECT ipix, ipix FROM p UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
+            SELECT m.ipix, masked AND n >= 4 AS masked FROM m LEFT JOIN (SELECT a AS ipix, count(*) AS n FROM reach GROUP BY 1) USING (ipix)""",
     }

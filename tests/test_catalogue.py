@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).parent.parent
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n != "dist2holes"])
+@pytest.mark.parametrize("name", catalogue.queries())
 def test_query(spark, name):
     got = catalogue.queries()[name](spark, SF)
     names = sorted(got.columns)
