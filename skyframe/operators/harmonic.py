@@ -101,12 +101,20 @@ def smoothalm(alm: DataFrame, fwhm: float, spin: int = 0) -> DataFrame:
     return alm.select("l", "m", (F.col("re") * f).alias("re"), (F.col("im") * f).alias("im"))
 
 
+def normals(seed: int, component: int = 0):
+    """Two columns of standard normal numbers for (l, m), by a digest of seed, component and both: the same however rows are dealt out."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(component)), F.col("l").cast("string"), F.col("m").cast("string")).cast("binary"))
+    one, two = (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / float(1 << 52) for at in (1, 14))
+    far = F.sqrt(F.log(one + 0.5 / (1 << 52)) * -2.0)
+    return far * F.cos(two * (2 * math.pi)), far * F.sin(two * (2 * math.pi))
+
+
 def synalm(cl: DataFrame, mmax: int | None = None, seed: int = 0) -> DataFrame:
-    """Random coefficients with spectrum (l, cl); null and negative cl count as 0."""
+    """Random coefficients with spectrum (l, cl); null and negative cl count as 0. A seed gives the same ones on any cluster."""
     top = F.col("l") if mmax is None else F.least("l", F.lit(mmax))
     rows = cl.select("l", F.sqrt(F.greatest(F.coalesce("cl", F.lit(0.0)), F.lit(0.0))).alias("a"), F.explode(F.sequence(F.lit(0), top.cast("int"))).alias("m"))
-    half = F.when(F.col("m") == 0, 1.0).otherwise(math.sqrt(0.5))
-    return rows.select("l", "m", (F.col("a") * half * F.randn(seed)).alias("re"), (F.col("a") * F.when(F.col("m") == 0, 0.0).otherwise(half) * F.randn(seed + 1)).alias("im"))
+    half, (re, im) = F.when(F.col("m") == 0, 1.0).otherwise(math.sqrt(0.5)), normals(seed)
+    return rows.select("l", "m", (F.col("a") * half * re).alias("re"), (F.col("a") * F.when(F.col("m") == 0, 0.0).otherwise(half) * im).alias("im"))
 
 
 # --- transforms ------------------------------------------------------------
@@ -391,7 +399,7 @@ def smoothing(sky: DataFrame, nside: int, fwhm: float, lmax: int | None = None,
 
 
 def synfast(cl: DataFrame, nside: int, seed: int = 0) -> DataFrame:
-    return alm2map(settled(synalm(cl, seed=seed)), nside)
+    return alm2map(synalm(cl, seed=seed), nside)
 
 
 def harmonic_ud_grade(sky: DataFrame, nside: int, nside_out: int, fwhm_out: float | None = None, iter: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 
 from ._lineage import settled
-from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, RING_TILE, SUMS, _block, _complex, _fourier, _ring_values, _rings, _rolled, alm2map, by_ring, map2alm
+from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, RING_TILE, SUMS, _block, _complex, _fourier, _ring_values, _rings, _rolled, alm2map, by_ring, map2alm, normals
 from .maps import interpolate
 
 PAIR = "l int, m int, g_re double, g_im double, c_re double, c_im double"
@@ -267,31 +267,103 @@ def zyz_of(matrix) -> tuple[float, float, float]:
     return math.atan2(r[2, 1], -r[2, 0]), theta, math.atan2(r[1, 2], r[0, 2])
 
 
+#: Orders on each side of a tile of Wigner functions.
+ORDER_TILE = 256
+
+
+def _wigner_starts(k: np.ndarray, m: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first degree, sign, logarithm) of the first of Wigner's functions of orders k (rows) and m (columns)."""
+    k, m = np.broadcast_arrays(k[:, None], m[None, :])
+    low = np.maximum(np.abs(k), np.abs(m))
+    by_row = np.abs(k) == low  # the order that has the degree's greatest magnitude; the other one is a
+    a, top = np.where(by_row, m, k), np.where(by_row, k, m)
+    up = top >= 0
+    cos_power, sin_power = np.where(up, low + a, low - a), np.where(up, low - a, low + a)
+    sign = np.where((by_row & up) | (~by_row & ~up), np.where((low + a) % 2, -1.0, 1.0), 1.0)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * int(low.max(initial=0)) + 1)))])
+    start = 0.5 * (log_factorial[2 * low] - log_factorial[low + a] - log_factorial[low - a])
+    for base, power in ((math.cos(theta / 2), cos_power), (math.sin(theta / 2), sin_power)):
+        log = math.log(abs(base)) if abs(base) > 1e-300 else -np.inf
+        start = start + np.multiply(power, log, out=np.zeros(power.shape), where=power > 0)
+        sign = sign * np.where(power % 2, math.copysign(1, base), 1.0)
+    return low, sign, start
+
+
+def turned_tile(a: np.ndarray, k: np.ndarray, m: np.ndarray, theta: float) -> np.ndarray:
+    """(degrees, k): what coefficients ``a`` (degrees from 0, m) of orders m, of either sign, give to orders k in a turn about y.
+
+    Wigner's functions of the tile go from degree to degree by their recursion,
+    started in logarithms; two degrees of the tile are held.
+    """
+    low, sign, start = _wigner_starts(k, m, theta)
+    z, out = math.cos(theta), np.zeros((len(a), len(k)), complex)
+    never = np.isneginf(start)
+    scale = np.where((start < -600) & ~never, start, 0.0)  # values are now * exp(scale)
+    begin = np.where(never, 0.0, sign * np.exp(np.where(never, 0.0, start - scale)))
+    now, before, small = np.zeros(low.shape), np.zeros(low.shape), scale < 0
+    waiting = bool(small.any())
+    km, kk, mm = k[:, None] * m[None, :].astype(float), (k * k)[:, None].astype(float), (m * m)[None, :].astype(float)
+    for l in range(int(low.min()), len(a)):  # noqa: E741
+        if l > 0:
+            n = l - 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                following = (z - (km / (n * l) if n else 0.0)) * now
+                if n:
+                    following -= np.sqrt(np.maximum(0.0, (n * n - kk) * (n * n - mm))) / (n * (2 * n + 1)) * before
+                following *= (2 * n + 1) * l / np.sqrt((l * l - kk) * (l * l - mm))
+            before, now = now, np.where(low < l, following, 0.0)
+        fresh = low == l
+        now[fresh] = begin[fresh]
+        if waiting:
+            big = small & (np.abs(now) > 1e100)
+            if big.any():
+                now[big] *= 1e-100
+                before[big] *= 1e-100
+                scale[big] += 100 * math.log(10)
+                done = big & (scale > -600)
+                now[done] *= np.exp(scale[done])
+                before[done] *= np.exp(scale[done])
+                scale[done] = 0
+                small = scale < 0
+                waiting = bool(small.any())
+        used = np.where(small, 0.0, now) if waiting else now
+        out[l].real, out[l].imag = used @ a[l].real, used @ a[l].imag
+    return out
+
+
 def rotate_alm(alm: DataFrame, psi: float = 0.0, theta: float = 0.0, phi: float = 0.0, matrix=None) -> DataFrame:
     """Coefficients of the actively rotated field, angles in radians about z, y, z; all orders 0..l come out.
 
-    A degree is a group: its turn about y is diagonal in the eigenvectors of
-    the x generator, whose eigenvalues are the whole numbers -l..l.  A task
-    holds (2l + 1)^2 numbers, 130 MB at l = 2,000.
+    A group is a tile: the coefficients of ``ORDER_TILE`` orders, and what they
+    give to as many others; parts are summed by (l, m). A task holds two degrees
+    of the tile's Wigner functions and the tile's coefficients, some 150 MB at
+    l = 6,143; coefficients are sent once for each tile of other orders.
     """
     if matrix is not None:
         psi, theta, phi = zyz_of(matrix)
+    top = alm.agg(F.max("l")).first()[0]
+    if top is None:
+        return alm.select("l", "m", "re", "im")
 
     def turned(rows: pd.DataFrame) -> pd.DataFrame:
-        l = int(rows["l"].iloc[0])  # noqa: E741
-        half = np.zeros(l + 1, complex)
-        half[rows["m"].to_numpy()] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-        half[0] = half[0].real
-        m = np.arange(-l, l + 1)
-        a = np.concatenate([((-1.0) ** np.arange(1, l + 1) * half[1:].conj())[::-1], half])
-        side = 0.5 * np.sqrt(l * (l + 1.0) - m[:-1] * (m[:-1] + 1.0))
-        _, q = np.linalg.eigh(np.diag(side, 1) + np.diag(side, -1))
-        a = np.exp(1j * m * (math.pi / 2 - psi)) * a
-        a = q @ (np.exp(-1j * m * theta) * (q.T @ a))
-        a = (np.exp(-1j * m * (phi + math.pi / 2)) * a)[l:]
-        return _frame(l=l, m=m[l:], re=a.real, im=a.imag)
-
-    return alm.groupBy("l").applyInPandas(turned, ALM)
+        first, lmax = int(rows["to"].iloc[0]) * ORDER_TILE, int(rows["l"].max())
+        k = np.arange(first, min(first + ORDER_TILE, lmax + 1))
+        own = np.sort(rows["m"].unique())
+        m = np.concatenate([own, -own[own > 0]])
+        a, l, at = np.zeros((lmax + 1, len(m)), complex), rows["l"].to_numpy(), np.searchsorted(own, rows["m"].to_numpy())  # noqa: E741
+        a[l, at] = _complex(rows)
+        if len(own) and own[0] == 0:
+            a[:, 0].imag = 0
+        positive = own > 0
+        a[:, len(own) :] = np.where(own[positive] % 2, -1.0, 1.0) * a[:, : len(own)][:, positive].conj()
+        a *= np.exp(-1j * m * psi)
+        out = turned_tile(a, k, m, theta) * np.exp(-1j * k * phi)
+        l, j = np.nonzero(k[None, :] <= np.arange(lmax + 1)[:, None])  # noqa: E741
+        return _frame(l=l, m=k[j], re=out[l, j].real, im=out[l, j].imag)
+
+    tiles = F.sequence(F.lit(0), F.floor(F.col("l") / ORDER_TILE).cast("int"))
+    rows = alm.select("l", "m", "re", "im", F.floor(F.col("m") / ORDER_TILE).alias("of"), F.explode(tiles).alias("to"))
+    return rows.groupBy("of", "to").applyInPandas(turned, ALM).groupBy("l", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def rotate_pair(pair: DataFrame, psi: float = 0.0, theta: float = 0.0, phi: float = 0.0, matrix=None) -> DataFrame:
@@ -380,7 +452,7 @@ def synalm_pol(cl: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     cross = F.when(t > 0, c["te"] / t).otherwise(F.lit(0.0))
     rows = cl.select("l", t.alias("t"), cross.alias("x"), F.sqrt(F.greatest(c["ee"] - cross * cross, F.lit(0.0))).alias("e"), F.sqrt(F.greatest(c["bb"], F.lit(0.0))).alias("b"), F.explode(F.sequence(F.lit(0), F.col("l").cast("int"))).alias("m"))
     re, im = F.when(F.col("m") == 0, 1.0).otherwise(math.sqrt(0.5)), F.when(F.col("m") == 0, 0.0).otherwise(math.sqrt(0.5))
-    drawn = settled(rows.select("*", *[(w * F.randn(seed + 2 * k + j)).alias(f"{p}{k}") for k in range(3) for j, (p, w) in enumerate((("re", re), ("im", im)))]))
+    drawn = rows.select("*", *[(w * n).alias(f"{p}{k}") for k in range(3) for p, w, n in zip(("re", "im"), (re, im), normals(seed, k), strict=True)])
     mixed = lambda p: F.col("x") * F.col(p + "0") + F.col("e") * F.col(p + "1")
     pair = drawn.select("l", "m", mixed("re").alias("g_re"), mixed("im").alias("g_im"), (F.col("b") * F.col("re2")).alias("c_re"), (F.col("b") * F.col("im2")).alias("c_im"))
     return drawn.select("l", "m", (F.col("t") * F.col("re0")).alias("re"), (F.col("t") * F.col("im0")).alias("im")), pair

@@ -262,6 +262,21 @@ def rotate_alm_over(spark, sf_dir):
     return turned.select("l", "m", *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im")])
 
 
+def rotate_alm_general(spark, sf_dir):
+    turned = spin.rotate_alm(_alm(spark, sf_dir).where("l <= 8"), 0.4, 1.1, -0.7)
+    return turned.select("l", "m", *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def synalm(spark, sf_dir):
+    """Random coefficients with the spectrum of all events' coefficients."""
+    drawn = harmonic.synalm(harmonic.alm2cl(_alm(spark, sf_dir)), seed=7)
+    return drawn.select("l", "m", *[(F.round(c, 5) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def synfast(spark, sf_dir):
+    return harmonic.synfast(harmonic.alm2cl(_alm(spark, sf_dir)), 8, seed=7).select("ipix", F.round("value", 4).alias("value"))
+
+
 def alm2map(spark, sf_dir):
     return harmonic.alm2map(_alm(spark, sf_dir), 8).select("ipix", F.round("value", 4).alias("value"))
 
@@ -286,7 +301,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -375,7 +390,22 @@ def oracle_sql() -> dict[str, str]:
     triangle = f"SELECT vec_id, nest FROM (SELECT *, sign(uvx * wx + uvy * wy + uvz * wz) AS sense FROM (SELECT *, {normal('u', 'v')}, {normal('v', 'w')}, {normal('w', 'u')} FROM ({vectors}))), ({points(16)}) WHERE {sided}"
     thetas = f"SELECT vec_id, atan2(sqrt(ux * ux + uy * uy), uz) AS a, atan2(sqrt(vx * vx + vy * vy), vz) AS b FROM ({vectors})"
     between = f"SELECT vec_id, nest FROM ({thetas}), (SELECT nest, acos(z) AS t FROM ({points(16)})) WHERE CASE WHEN a < b THEN t >= a AND t <= b ELSE t >= a OR t <= b END"
+    # Wigner's functions by their sum over factorials.
+    wigner = f"""SELECT l, k, m, sum(CASE WHEN (k - m + j) % 2 = 0 THEN 1 ELSE -1 END * sqrt(factorial(l + k) * factorial(l - k) * factorial(l + m) * factorial(l - m)) / (factorial(l + m - j)::DOUBLE * factorial(j) * factorial(k - m + j) * factorial(l - k - j))
+      * {math.cos(0.55)!r}::DOUBLE ** (2 * l + m - k - 2 * j) * {math.sin(0.55)!r}::DOUBLE ** (k - m + 2 * j)) AS d
+      FROM (SELECT l.range::INT AS l, k.range::INT AS k, m.range::INT AS m, j.range::INT AS j FROM range(9) l, range(9) k, range(-8, 9) m, range(17) j)
+      WHERE k <= l AND abs(m) <= l AND l + m >= j AND k - m + j >= 0 AND l - k >= j GROUP BY 1, 2, 3"""
+    both = f"SELECT l, m, re * cos(0.4 * m) + im * sin(0.4 * m) AS re, im * cos(0.4 * m) - re * sin(0.4 * m) AS im FROM ({alm}) WHERE l <= 8"
+    both = f"WITH h AS ({both}) SELECT * FROM h UNION ALL SELECT l, -m, CASE WHEN m % 2 = 0 THEN 1 ELSE -1 END * re, CASE WHEN m % 2 = 0 THEN -1 ELSE 1 END * im FROM h WHERE m > 0"
+    tilted = f"SELECT l, k AS m, sum(d * re) AS re, sum(d * im) AS im FROM ({wigner}) JOIN ({both}) USING (l, m) GROUP BY 1, 2"
+    digest = "md5('7:0:' || l || ':' || m)"
+    far, turn_ = (f"('0x' || substr({digest}, {at}, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE" for at in (1, 14))
+    drawn = f"SELECT l, m, sqrt(greatest(cl, 0)) * CASE WHEN m = 0 THEN 1 ELSE {math.sqrt(0.5)!r}::DOUBLE END * sqrt(-2 * ln({far} + {0.5 / (1 << 52)!r}::DOUBLE)) AS a, {2 * math.pi!r}::DOUBLE * ({turn_}) AS t FROM ({spectrum}), range(32) r(m) WHERE m <= l"
+    drawn = f"SELECT l, m::INT AS m, a * cos(t) AS re, CASE WHEN m = 0 THEN 0 ELSE a * sin(t) END AS im FROM ({drawn})"
     return {
+        "rotate_alm_general": f"SELECT l, m, round(re * cos(0.7 * m) - im * sin(0.7 * m), 4) + 0.0::DOUBLE AS re, round(re * sin(0.7 * m) + im * cos(0.7 * m), 4) + 0.0::DOUBLE AS im FROM ({tilted})",
+        "synalm": f"SELECT l, m, round(re, 5) + 0.0::DOUBLE AS re, round(im, 5) + 0.0::DOUBLE AS im FROM ({drawn})",
+        "synfast": over(f"round({real('')}, 4) AS value").replace(f"a AS MATERIALIZED ({alm})", f"a AS MATERIALIZED ({drawn})"),
         "disc_coverage": runs(disc),
         "polygon_coverage": runs(triangle),
         "strip_coverage": runs(between),
