@@ -55,11 +55,15 @@ _CHROME_WORDS = set("ad ads adv advert advertisement advertising advertorial ban
 _OUTER_WORDS = set("nav navbar navigation menu topbar toolbar header masthead footer bottom copyright widget search login logo".split())
 
 #: Words that leave a name of chrome one, as in "related-posts"; any other makes it doubtful within main.
-_FILLER_WORDS = set("area articles bar block bottom box button buttons container content div form group inner left links list outer panel post posts right section slot stories top unit widget wrap wrapper".split())
+_FILLER_WORDS = set("area articles bar block body bottom box button buttons container content count div entry form group inner item items left links list message meta outer page panel post posts reader readers right section site slot stories thread top unit user users widget wrap wrapper".split())
+#: Names that are never a paragraph's own part of an article.
+_PAID_WORDS = set("ad ads adv advert advertisement advertising sponsor sponsored promo promotion cookie cookies".split())
 #: Elements of running text; their names never decide within main.
 _TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption table tr caption".split())
 
-_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: A tag's attributes; a stray < ends them. Nothing is gone back on, so that marks without an end cost one pass.
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>|<[!?][^<>]*+>", re.S | re.I)
 _SKIPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SKIPPED))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -83,8 +87,10 @@ def _zone(tag: str, attributes: str, around: str) -> str | None:
         if tag != "body" and words & _CHROME_WORDS:
             if around not in ("main", "doubt"):
                 return "chrome"
+            names = [{w for w in x if not w.isdigit()} for x in names]
             sure = any(x & _CHROME_WORDS and x <= _CHROME_WORDS | _FILLER_WORDS for x in names)
-            return "chrome" if sure and tag not in _TEXT_TAGS else "doubt"
+            paid = any(x & _PAID_WORDS and x <= _PAID_WORDS | _FILLER_WORDS for x in names)
+            return "chrome" if paid or (sure and tag not in _TEXT_TAGS) else "doubt"
         if tag != "body" and around not in ("main", "doubt") and zone is None and words & _OUTER_WORDS:
             return "chrome"
         if role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody":
@@ -116,6 +122,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str, str]] = []  # tag, the zone around it, what is skipped around it
+    places_of: dict[str, list[int]] = {}  # of a tag, or of all blocks ("/block") or skipped elements (""), in the stack
     pieces: list[str] = []
     zone, at = "open", 0
     skipped = ""  # "ended" or "cut off" within a skipped element with or without an end tag
@@ -128,6 +135,23 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 out.append((zone, text))
             pieces.clear()
 
+    def kinds(tag: str):
+        return (tag, "") if tag in _SKIPPED else (tag, "/block") if tag in _BLOCK else (tag,)
+
+    def put(tag: str):
+        for kind in kinds(tag):
+            places_of.setdefault(kind, []).append(len(stack))
+        stack.append((tag, zone, skipped))
+
+    def last(kind: str) -> int:
+        found = places_of.get(kind)
+        return found[-1] if found else -1
+
+    def cut(i: int):
+        while len(stack) > i:
+            for kind in kinds(stack.pop()[0]):
+                places_of[kind].pop()
+
     page = page or ""
     for m in _MARK.finditer(page):
         if m.start() > at and not skipped:
@@ -142,39 +166,34 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             continue
         if tag in _BLOCK and not m[2] and skipped == "cut off":
             while skipped == "cut off":
-                skipped = stack.pop()[2]
+                skipped = stack[-1][2]
+                cut(len(stack) - 1)
         if tag in _BLOCK and not skipped:
             close()
         if tag in _VOID:
             continue
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1] != zone or (tag in _BLOCK and not stack[i][2]):
-                        close()
-                    _, zone, skipped = stack[i]
-                    del stack[i:]
-                    break
-                if skipped == "ended" and tag in ("p", "li") and stack[i][0] in _SKIPPED:
-                    break
+            i = last(tag)
+            if i >= 0 and not (skipped == "ended" and tag in ("p", "li") and last("") > i):
+                if stack[i][1] != zone or (tag in _BLOCK and not stack[i][2]):
+                    close()
+                _, zone, skipped = stack[i]
+                cut(i)
             continue
         if tag in _SKIPPED:
             if m[4].endswith("/") and tag == "svg":
                 continue
             places = _tag_places(page) if places is None else places
-            stack.append((tag, zone, skipped))
+            put(tag)
             if skipped != "ended":
                 skipped = "ended" if _ended(places, tag, m.end()) else "cut off"
             continue
         if tag in ("p", "li") or tag == "body":  # these end an open one of their kind
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag or (tag == "body" and stack[i][0] == "head"):
-                    _, zone, skipped = stack[i]
-                    del stack[i:]
-                    break
-                if (stack[i][0] in _BLOCK or stack[i][0] in _SKIPPED) and tag != "body":
-                    break
-        stack.append((tag, zone, skipped))
+            i = max(last(tag), last("head")) if tag == "body" else last(tag)
+            if i >= 0 and (tag == "body" or not last("/block") > i and not last("") > i):
+                _, zone, skipped = stack[i]
+                cut(i)
+        put(tag)
         own = None if skipped else _zone(tag, m[4].strip(" /"), zone)
         if own and own != zone:
             close()

@@ -7,8 +7,9 @@ t * w - 1 and t * w + 1 blocks.  Weights are whole numbers (of a billionth, if
 given), and release times and deadlines are whole-number arithmetic on them, so
 shares are not rounded and nothing drifts.  The schedule is worked out by a fold
 over its slots in SQL, up to the last block of any source or until it repeats,
-after as many slots as the weights' sum.  A block holds ``BLOCK_DOCS`` documents,
-or as many more as keep the schedule within ``SLOTS`` slots.
+after as many slots as the weights' sum.  A block holds as many documents as the
+caller says; where that is left open, ``BLOCK_DOCS``, or as many more as keep the
+schedule within ``SLOTS`` slots.
 A source that has run out leaves its slots empty; no document is dropped or
 repeated.
 
@@ -38,30 +39,33 @@ DIGITS = 3
 def source_units(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(source, n, units): each source's documents and weight, a whole number.
 
-    ``weights``: target weights by source; a source without one, or with one
-    below a thousandth of all, has a thousandth.  Default: the square root of the
-    source's number of documents.  A null source is a source of its own, written ''.
+    ``weights``: target weights by source, kept to the billionth of 1, the least
+    weight; a source without one, or with none above 0, has a thousandth of all,
+    as no document is dropped.  Default: the square root of the source's number
+    of documents.  A null source is a source of its own, written ''.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         return sizes.select("source", "n", F.floor(F.sqrt(F.col("n").cast("double")) * 1000).cast("long").alias("units"))
-    whole = {k: round(v * ONE) for k, v in weights.items()}
+    whole = {k: max(1, round(v * ONE)) for k, v in weights.items() if v > 0}
     common = math.gcd(*whole.values()) or 1
     whole = {k: v // common for k, v in whole.items()}
     given = F.create_map(*[x for k, v in whole.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if whole else F.create_map().cast("map<string,bigint>")
     least = max(1, -(-sum(whole.values()) // 1000))
-    return sizes.select("source", "n", F.greatest(F.coalesce(given[F.col("source")], F.lit(0)), F.lit(least)).cast("long").alias("units"))
+    return sizes.select("source", "n", F.coalesce(given[F.col("source")], F.lit(least)).cast("long").alias("units"))
 
 
-def schedule(units: DataFrame, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
+def schedule(units: DataFrame, block_docs: int | None = None, slots: int = SLOTS) -> DataFrame:
     """(source, units, total, block_docs, turn, slot): at which slots each source has its turns, by earliest deadline first.
 
     Ties go to the smaller source name.  One row holds the list of sources; the
-    fold takes at most slots x sources steps, whatever the number of documents.
+    fold takes at most slots x sources steps, whatever the number of documents,
+    where ``block_docs`` is left open; a given one is kept, and the fold goes on
+    to the last block or the end of the weights' period.
     """
     one = units.agg(F.array_sort(F.collect_list(F.struct("source", "n", "units"))).alias("s"), F.sum("units").alias("total")).where("total is not null")
     one = one.withColumn("ends", F.expr("array_max(transform(s, x -> ceil(x.n * cast(total as decimal(20,0)) / x.units)))").cast("decimal(38,0)"))
-    one = one.withColumn("block_docs", F.greatest(F.lit(block_docs), F.ceil(F.col("ends") / slots)).cast("long"))
+    one = one.withColumn("block_docs", (F.greatest(F.lit(BLOCK_DOCS), F.ceil(F.col("ends") / slots)) if block_docs is None else F.lit(block_docs)).cast("long"))
     last = "array_max(transform(s, x -> cast(ceil(cast((x.n + block_docs - 1) div block_docs as decimal(20,0)) * total / x.units) as bigint)))"
     one = one.withColumn("slots", F.least("total", F.expr(last)))
     # The inner fold keeps the blocks each source has had and the picks of a stretch; due is the earliest deadline of what is released.
@@ -82,7 +86,7 @@ def schedule(units: DataFrame, block_docs: int = BLOCK_DOCS, slots: int = SLOTS)
     return rows.withColumn("turn", turn.cast("long"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int | None = None, slots: int = SLOTS) -> DataFrame:
     """``docs`` with mix_source, mix_block (of the source), mix_slot (of the mixture) and mix_rank (within the block).
 
     Order by mix_slot, mix_rank to read the mixture.  Within a source,

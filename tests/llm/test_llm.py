@@ -231,7 +231,7 @@ def test_mixing(spark, odd, empty):
 def test_mixing_stays_within_a_block_of_the_true_weights(spark, weights, slots):
     docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.expr("case when id % 10 < 5 then 'a' when id % 10 < 8 then 'b' else 'c' end").alias("source"))
     docs = docs.where(F.col("source").isin(list(weights))) if weights else docs
-    out = mixed(docs, weights, block_docs=2, slots=slots).select("mix_source", "mix_slot").distinct().collect()
+    out = mixed(docs, weights, block_docs=2 if slots > 100 else None, slots=slots).select("mix_source", "mix_slot").distinct().collect()
     assert max(r.mix_slot for r in out) < slots
     share = weights or {k: int(n**0.5 * 1000) for k, n in (("a", 6000), ("b", 3600), ("c", 2400))}
     total = sum(share.values())
@@ -242,6 +242,19 @@ def test_mixing_stays_within_a_block_of_the_true_weights(spark, weights, slots):
         assert all(abs(had[c] - share[c] / total * (slot + 1)) < 1 for c in share)
 
 
+def test_mixing_keeps_small_weights_and_the_given_block(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1500 == 7, "b").otherwise("a").alias("source"))
+    out = mixed(docs, {"a": 0.9998, "b": 0.0002}, block_docs=1).select("mix_source", "mix_slot", "mix_rank").collect()
+    assert len(out) == 200_000 and {r.mix_rank for r in out} == {0}
+    order = {r.mix_slot: r.mix_source for r in out}
+    last = max(s for s, x in order.items() if x == "a")
+    had = 0
+    for slot in range(last + 1):
+        had += order.get(slot) == "b"
+        assert abs(had - 0.0002 * (slot + 1)) < 1
+    assert had == 39 or had == 40
+
+
 def test_mixing_takes_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a")] * 500 + [(1, "a")] * 300 + [(i, None) for i in range(200)], "doc_id long, source string")
     out = mixed(docs, {"a": 0.8}, block_docs=8).collect()
