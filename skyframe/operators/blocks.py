@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions import pixel as P
+
 #: A block has 4 ** ORDER pixels at most.
 ORDER = 6
 
@@ -89,3 +91,47 @@ def labelled(pixels: DataFrame, nside: int) -> DataFrame:
         return pd.DataFrame({"ipix": pix, "label": pix[parent[:-1]], "edge": edge})
 
     return pixels.select("ipix").groupBy(in_block(nside)).applyInPandas(least, "ipix long, label long, edge boolean")
+
+
+def with_halo(sky: DataFrame, nside: int, columns: list[str]) -> DataFrame:
+    """(block, ipix, columns, own): NEST pixels' rows dealt to their blocks, and a row for each neighbour in another block.
+
+    A row that isn't a block's own has the neighbour's id there, so a task
+    needs no geometry beyond its own square. Only a block's edge is copied.
+    """
+    bits = block_order(nside)
+    side = 1 << bits
+    place = P.nest2xyf(side, F.col("ipix") % (side * side))
+    rows = sky.select("ipix", *columns, place["x"].alias("_x"), place["y"].alias("_y"))
+    edge = F.col("_x").isin(0, side - 1) | F.col("_y").isin(0, side - 1)
+    block = lambda c: F.shiftright(c, 2 * bits)
+    itself = F.array(P.record(at=F.col("ipix"), own=F.lit(True)))
+    others = F.filter(P.neighbours(nside, "ipix", True), lambda n: (n >= 0) & (block(n) != block(F.col("ipix"))))
+    dealt = F.when(edge, F.concat(itself, F.transform(others, lambda n: P.record(at=n, own=F.lit(False))))).otherwise(itself)
+    rows = rows.select(*columns, F.explode(dealt).alias("to"))
+    return rows.select(block(F.col("to.at")).alias("block"), F.col("to.at").alias("ipix"), *columns, "to.own")
+
+
+def extremes(good: DataFrame, nside: int) -> DataFrame:
+    """(ipix, value, is_min, is_max) of NEST pixels beyond all their neighbours, whose values count as ``other``: one shuffle of the map's rows and the blocks' edges."""
+    bits = block_order(nside)
+
+    def beyond(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["own"]]
+        pix, value = own["ipix"].to_numpy(), own["value"].to_numpy()
+        x, y = place_in_block(pix, bits)
+        image = np.full((1 << bits, 1 << bits), np.nan)
+        image[x, y] = own["other"].to_numpy()
+        around = np.stack([_shifted(image, dx, dy, np.nan)[x, y] for dx, dy in _AROUND])
+        low, high = np.where(np.isnan(around), np.inf, around).min(axis=0), np.where(np.isnan(around), -np.inf, around).max(axis=0)
+        halo = rows[~rows["own"]]
+        order = np.argsort(pix)
+        at = np.searchsorted(pix, halo["ipix"].to_numpy(), sorter=order)
+        at = order[np.minimum(at, len(pix) - 1)] if len(pix) else at
+        here = pix[at] == halo["ipix"].to_numpy() if len(pix) else np.zeros(len(halo), bool)
+        np.minimum.at(low, at[here], halo["other"].to_numpy()[here])
+        np.maximum.at(high, at[here], halo["other"].to_numpy()[here])
+        out = pd.DataFrame({"ipix": pix, "value": value, "is_min": value < low, "is_max": value > high})
+        return out[out["is_min"] | out["is_max"]]
+
+    return with_halo(good, nside, ["value", "other"]).groupBy("block").applyInPandas(beyond, "ipix long, value double, is_min boolean, is_max boolean")

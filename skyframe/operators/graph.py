@@ -22,8 +22,16 @@ def neighbour_pairs(sky: DataFrame, nside: int, nest: bool = False) -> DataFrame
 
 
 def hotspots(sky: DataFrame, nside: int, nest: bool = False) -> DataFrame:
-    """(ipix, value, is_min, is_max): good pixels strictly beyond all good neighbours, whose values count as 32-bit floats; one without any is both."""
-    good = sky.where(mask_good("value") & F.col("value").isNotNull()).select("ipix", "value")
+    """(ipix, value, is_min, is_max): good pixels strictly beyond all good neighbours, whose values count as 32-bit floats; one without any is both.
+
+    Maps whose size is a power of two are dealt out in blocks with their
+    borders' values, one shuffle of the map; others are joined to their neighbours.
+    """
+    good = sky.where(mask_good("value") & F.col("value").isNotNull()).select("ipix", F.col("value").cast("double").alias("value"))
+    if not nside & (nside - 1):
+        dealt = good.select((F.col("ipix") if nest else P.ring2nest(nside, "ipix")).alias("ipix"), "value", F.col("value").cast("float").cast("double").alias("other"))
+        found = blocks.extremes(dealt, nside)
+        return found if nest else found.withColumn("ipix", P.nest2ring(nside, "ipix"))
     around = good.select(F.col("ipix").alias("near"), F.col("value").cast("float").cast("double").alias("other"))
     ends = neighbour_pairs(good, nside, nest).join(around, "near").groupBy("ipix").agg(F.min("other").alias("low"), F.max("other").alias("high"))
     out = good.join(ends, "ipix", "left")

@@ -66,11 +66,12 @@ def ud_grade(sky: DataFrame, nside: int, nside_out: int, nest: bool = False, pes
 
 
 def interpolate(points: DataFrame, sky: DataFrame, nside: int, key: str, theta, phi, nest: bool = False) -> DataFrame:
-    """(key, value): bilinear interpolation at points; null where a pixel with weight is absent."""
-    near = points.select(key, F.explode(P.interp_weights(nside, theta, phi, nest)).alias("w")).select(key, F.col("w.pix").alias("ipix"), "w.weight")
+    """(key, value): bilinear interpolation at points, a row for each, keys repeated or not; null where a pixel with weight is absent."""
+    near = points.select(key, F.monotonically_increasing_id().alias("_point"), P.interp_weights(nside, theta, phi, nest).alias("w"))
+    near = near.select(key, "_point", F.inline("w")).select(key, "_point", F.col("pix").alias("ipix"), "weight")
     joined = near.join(sky.select("ipix", "value"), "ipix", "left")
     complete = F.count(F.when(F.col("value").isNotNull() | (F.col("weight") == 0), 1)) == 4
-    return joined.groupBy(key).agg(F.when(complete, F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0)))).alias("value"))
+    return joined.groupBy("_point", key).agg(F.when(complete, F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0)))).alias("value")).drop("_point")
 
 
 def _fitted(sky: DataFrame, nside: int, nest: bool, cut: float) -> DataFrame:

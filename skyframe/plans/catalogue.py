@@ -118,8 +118,20 @@ def mask_good_stats(spark, sf_dir):
 _DISC = ((0.3, -0.4, 0.8), 0.7)
 
 
+def _mean_direction(spark, sf_dir, label=None):
+    """The mean of vectors' first three components to six digits: of all, or of a label."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") >= 3)
+    rows = rows if label is None else rows.where(F.col("label") == label)
+    return tuple(rows.select(*[F.round(F.avg(F.col("embedding")[k].cast("double")), 6) for k in range(3)]).first())
+
+
+def _width(spark, sf_dir):
+    """A width of about a tenth, of the mean value of all events."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.round(F.avg("value"), 2)).first()[0] / 500
+
+
 def disc_members(spark, sf_dir):
-    return regions.query_disc(spark, 16, *_DISC)
+    return regions.query_disc(spark, 16, _mean_direction(spark, sf_dir), 0.7)
 
 
 def events_in_disc(spark, sf_dir):
@@ -128,11 +140,12 @@ def events_in_disc(spark, sf_dir):
 
 
 def strip_ranges_nest(spark, sf_dir):
-    return regions.ranges_of(regions.query_strip(spark, 8, 0.51, 1.03, nest=True))
+    start = _width(spark, sf_dir) * 5
+    return regions.ranges_of(regions.query_strip(spark, 8, start, start + 0.52, nest=True))
 
 
 def polygon_members(spark, sf_dir):
-    return regions.query_polygon(spark, 16, [(1, 0.01, 0.02), (0.02, 1, 0.01), (0.01, 0.02, 1)])
+    return regions.query_polygon(spark, 16, [_mean_direction(spark, sf_dir, k) for k in range(3)])
 
 
 def _directions(spark, sf_dir):
@@ -165,13 +178,15 @@ def hotspots(spark, sf_dir):
 
 
 def neighbours_ring(spark, sf_dir):
-    return spark.range(768).select(F.col("id").alias("ipix"), F.posexplode(P.neighbours(8, "id")).alias("direction", "near"))
+    """The neighbours of every pixel that holds events."""
+    found = event_map(spark, sf_dir).select("ipix", F.explode(P.neighbours(8, "ipix")).alias("near"))
+    return found.where("near >= 0")
 
 
 def interp_points(spark, sf_dir):
+    """The map of all events at every event's place."""
     points = positions(spark, sf_dir).select("event_id", F.acos("z").alias("theta"), "phi")
-    smooth = spark.range(768).select(F.col("id").alias("ipix"), P.pix2zphi(8, "id")["z"].alias("value"))
-    return maps.interpolate(points, smooth, 8, "event_id", "theta", "phi").select("event_id", F.round("value", 6).alias("value"))
+    return maps.interpolate(points, event_map(spark, sf_dir, 4), 4, "event_id", "theta", "phi").select("event_id", F.round("value", 5).alias("value"))
 
 
 def fit_monopole(spark, sf_dir):
@@ -207,11 +222,13 @@ def almxfl_gauss(spark, sf_dir):
 
 
 def gauss_beam(spark, sf_dir):
-    return harmonic.gauss_beam(spark, 0.1, 64, pol=True).select("l", *[F.round(c, 9).alias(c) for c in ("t", "e", "b", "te")])
+    return harmonic.gauss_beam(spark, _width(spark, sf_dir), 64, pol=True).select("l", *[F.round(c, 9).alias(c) for c in ("t", "e", "b", "te")])
 
 
 def projmap_mollweide(spark, sf_dir):
-    return image_pixels(spark, 8, "mollweide", 60, 30).where("ipix is not null").groupBy("ipix").agg(F.count("*").alias("cells"))
+    """The map of all events as an image: the cells in which each pixel is seen, and their values' sum."""
+    image = image_pixels(spark, 8, "mollweide", 60, 30).join(event_map(spark, sf_dir), "ipix")
+    return image.groupBy("ipix").agg(F.count("*").alias("cells"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def anafast(spark, sf_dir):
@@ -298,7 +315,7 @@ def map2alm_spin2(spark, sf_dir):
 
 
 def blm_gauss(spark, sf_dir):
-    return spin.blm_gauss(spark, 0.1, 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+    return spin.blm_gauss(spark, _width(spark, sf_dir), 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
 _QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
@@ -361,26 +378,40 @@ def oracle_sql() -> dict[str, str]:
     over = lambda *shown: f"{legendre} SELECT ipix, {', '.join(shown)} FROM ({_centres(8)}) o JOIN c ON c.z = o.z GROUP BY ipix"
     real = lambda c: f"sum(c.{c}re * cos(m * phi) - c.{c}im * sin(m * phi))"
     beam = lambda w: f"exp(l * (l + 1) * {-0.5 * (w / math.sqrt(8 * math.log(2))) ** 2!r}::DOUBLE)"
-    s2 = (0.1 / math.sqrt(8 * math.log(2))) ** 2
     parent = f"SELECT nest // 16 AS parent, avg(value) AS value, count(*) AS n FROM (SELECT nest, avg(value) AS value FROM ({_nest(16, _EV)}) GROUP BY 1) GROUP BY 1"
     table4 = f"SELECT ipix, nest FROM ({_nest(4, f'SELECT ipix, z, phi FROM ({_centres(4)})')})"
-    strip = f"SELECT nest FROM ({_nest(8, f'SELECT z, phi FROM ({_centres(8)}) WHERE acos(z) BETWEEN 0.51 AND 1.03')})"
-    poly = [(1, 0.01, 0.02), (0.02, 1, 0.01), (0.01, 0.02, 1)]
-    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
-    sides = " AND ".join(f"s * cos(phi) * {c[0]!r} + s * sin(phi) * {c[1]!r} + z * {c[2]!r} >= 0" for c in (cross(poly[i], poly[(i + 1) % 3]) for i in range(3)))
+    mean3 = lambda name, where: "SELECT " + ", ".join(f"round(avg(embedding[{k + 1}]::DOUBLE), 6) AS {name}{c}" for k, c in enumerate("xyz")) + f" FROM embeddings WHERE len(embedding) >= 3 {where}"
+    width = "SELECT round(avg(value), 2) / 500 AS fwhm FROM events"
+    strip = f"SELECT nest FROM ({_nest(8, f'SELECT z, phi FROM ({_centres(8)}), ({width}) WHERE acos(z) BETWEEN fwhm * 5 AND fwhm * 5 + 0.52')})"
     plane = "SELECT asin(y) AS t, x, y FROM (SELECT ((range % 60 + 0.5::DOUBLE) / 60 * 2 - 1) * -2 AS x, ((range // 60 + 0.5::DOUBLE) / 30 * 2 - 1) AS y FROM range(1800)) WHERE x * x / 4 + y * y <= 1"
     plane = f"SELECT (t + y * sqrt(1 - y * y)) * {2 / math.pi!r}::DOUBLE AS z, ((x * {math.pi / 2!r}::DOUBLE / sqrt(1 - y * y)) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM ({plane})"
     emb = f"SELECT vec_id, z / r AS z, (atan2(y, x) + {2 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE AS phi FROM (SELECT vec_id, x, y, z, sqrt(x * x + y * y + z * z) AS r FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE len(embedding) >= 3))"
     spectrum = f"SELECT l, sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1) AS cl FROM ({alm}) GROUP BY l"
-    blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {beam(0.1)}, 9) AS im FROM (SELECT range::INT AS l FROM range({low}, 65))"
+    fall = f"exp(l * (l + 1) * -0.5 * fwhm * fwhm / {8 * math.log(2)!r}::DOUBLE)"
+    blm = lambda low, comp, m, size, re, im: f"SELECT {comp} AS comp, l, {m} AS m, round({re} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {fall}, 9) AS re, round({im} * sqrt((2 * l + 1) / {size!r}::DOUBLE) * {fall}, 9) AS im FROM (SELECT range::INT AS l, fwhm FROM range({low}, 65), ({width}))"
     smooth = f"SELECT ipix, round(sum(two * (re * c - im * d) * {beam(0.3)}), 6) AS value FROM y JOIN a1 USING (l, m) JOIN ({_MAP8}) USING (ipix) GROUP BY 1"
     mask = lambda n, share: f"SELECT ipix, coalesce(hits, 0) * {share} <= max(hits) OVER () AS masked FROM (SELECT range AS ipix FROM range({12 * n * n})) LEFT JOIN (SELECT ipix, count(*) AS hits FROM ({_ring(n, _EV)}) GROUP BY 1) USING (ipix)"
-    # A pixel's corners as directions: pixels that share one are neighbours.
-    jr, turn = f"(CASE WHEN face < 4 THEN 2 WHEN face < 8 THEN 3 ELSE 4 END - (x + i + y + j) / 16.0::DOUBLE)", "(CASE WHEN face BETWEEN 4 AND 7 THEN 2 * (face - 4) ELSE 2 * (face % 4) + 1 END)"
+    # A pixel's corners as directions: pixels that share one are neighbours. Sides are in pixels of one n-th of a face.
+    jr, turn = "(CASE WHEN face < 4 THEN 2 WHEN face < 8 THEN 3 ELSE 4 END - (x + i + y + j) / n::DOUBLE)", "(CASE WHEN face BETWEEN 4 AND 7 THEN 2 * (face - 4) ELSE 2 * (face % 4) + 1 END)"
     nr = f"(CASE WHEN {jr} < 1 THEN {jr} WHEN {jr} > 3 THEN 4 - {jr} ELSE 1 END)"
     cz = f"(CASE WHEN {jr} < 1 THEN 1 - {jr} * {jr} / 3 WHEN {jr} > 3 THEN (4 - {jr}) * (4 - {jr}) / 3 - 1 ELSE (2 - {jr}) * 2 / 3 END)"
-    cphi = f"(CASE WHEN {nr} > 0 THEN {math.pi / 4!r}::DOUBLE * ({turn} * {nr} + (x + i - y - j) / 16.0::DOUBLE) / {nr} ELSE 0 END)"
+    cphi = f"(CASE WHEN {nr} > 0 THEN {math.pi / 4!r}::DOUBLE * ({turn} * {nr} + (x + i - y - j) / n::DOUBLE) / {nr} ELSE 0 END)"
     corner = f"round(sqrt(greatest(0, (1 - {cz}) * (1 + {cz}))) * cos({cphi}), 6) + 0.0 AS cx, round(sqrt(greatest(0, (1 - {cz}) * (1 + {cz}))) * sin({cphi}), 6) + 0.0 AS cy, round({cz}, 6) + 0.0 AS cz"
+    touching = lambda n, pixels: f"WITH f AS MATERIALIZED (SELECT ipix, face, x, y, {n} AS n FROM ({_xyf(n, pixels)})), corners AS MATERIALIZED (SELECT ipix, {corner} FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j)) SELECT DISTINCT a.ipix AS a, b.ipix AS b FROM corners a JOIN corners b USING (cx, cy, cz)"
+    # Interpolation at nside 4: the rings about a colatitude, on each the two pixels about an azimuth; beyond the last rings the four pixels at the pole share what is left.
+    between4 = f"""WITH r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY z DESC) AS ring, min(ipix) AS start, count(*) AS len, acos(z) AS theta, CASE WHEN min(phi) > 1e-9 THEN 0.5 ELSE 0 END::DOUBLE AS shift FROM ({_centres(4)}) GROUP BY z),
+      m AS MATERIALIZED (SELECT ipix, avg(value) AS value FROM ({_ring(4, _EV)}) GROUP BY 1),
+      e AS (SELECT event_id, phi, acos(z) AS t, CASE WHEN abs(z) <= {2 / 3!r}::DOUBLE THEN floor(4 * (2 - z * 1.5)) WHEN z > 0 THEN floor(4 * sqrt(3 * (1 - abs(z)))) ELSE 15 - floor(4 * sqrt(3 * (1 - abs(z)))) END::BIGINT AS above FROM ({_EV})),
+      a AS (SELECT e.*, ra.theta AS ta, rb.theta AS tb, phi / ({2 * math.pi!r}::DOUBLE / ra.len) - ra.shift AS ax, phi / ({2 * math.pi!r}::DOUBLE / rb.len) - rb.shift AS bx, ra.start AS sa, ra.len AS la, rb.start AS sb, rb.len AS lb
+        FROM e JOIN r ra ON ra.ring = greatest(1, above) JOIN r rb ON rb.ring = least(15, above + 1)),
+      k AS (SELECT *, sa + (floor(ax)::BIGINT % la + la) % la AS ap, sa + ((floor(ax)::BIGINT + 1) % la + la) % la AS aq, ax - floor(ax) AS aw, sb + (floor(bx)::BIGINT % lb + lb) % lb AS bp, sb + ((floor(bx)::BIGINT + 1) % lb + lb) % lb AS bq, bx - floor(bx) AS bw FROM a),
+      w AS (SELECT event_id, ap AS ipix, CASE WHEN above < 1 THEN 0 WHEN above >= 15 THEN (1 - aw) * ({math.pi!r} - t) / ({math.pi!r} - ta) ELSE (1 - aw) * (tb - t) / (tb - ta) END AS w FROM k
+        UNION ALL SELECT event_id, aq, CASE WHEN above < 1 THEN 0 WHEN above >= 15 THEN aw * ({math.pi!r} - t) / ({math.pi!r} - ta) ELSE aw * (tb - t) / (tb - ta) END FROM k
+        UNION ALL SELECT event_id, bp, CASE WHEN above < 1 THEN (1 - bw) * t / tb WHEN above >= 15 THEN 0 ELSE (1 - bw) * (t - ta) / (tb - ta) END FROM k
+        UNION ALL SELECT event_id, bq, CASE WHEN above < 1 THEN bw * t / tb WHEN above >= 15 THEN 0 ELSE bw * (t - ta) / (tb - ta) END FROM k
+        UNION ALL SELECT event_id, i, CASE WHEN above < 1 THEN (1 - t / tb) / 4 ELSE 0 END FROM k, range(4) p(i)
+        UNION ALL SELECT event_id, 188 + i, CASE WHEN above >= 15 THEN (1 - ({math.pi!r} - t) / ({math.pi!r} - ta)) / 4 ELSE 0 END FROM k, range(4) p(i))
+      SELECT event_id, CASE WHEN count(*) FILTER (WHERE w <> 0 AND value IS NULL) = 0 THEN round(sum(w * coalesce(value, 0)), 5) END AS value FROM w LEFT JOIN m USING (ipix) GROUP BY 1"""
     vectors = "SELECT vec_id, abs(embedding[10])::DOUBLE AS size, " + ", ".join(f"embedding[{3 * k + i + 1}]::DOUBLE AS {c}{x}" for k, c in enumerate("uvw") for i, x in enumerate("xyz")) + " FROM embeddings WHERE len(embedding) >= 10"
     points = lambda n: f"SELECT nest, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_nest(n, f'SELECT ipix, z, phi, s FROM ({_centres(n)})')})"
     runs = lambda found: f"SELECT vec_id, min(nest) AS first, max(nest) AS last FROM (SELECT vec_id, nest, nest - row_number() OVER (PARTITION BY vec_id ORDER BY nest) AS run FROM ({found})) GROUP BY vec_id, run"
@@ -428,22 +459,26 @@ def oracle_sql() -> dict[str, str]:
         "degrade_pessimistic": f"SELECT ipix, CASE WHEN n = 16 THEN round(value, 10) END AS value FROM ({parent}) JOIN ({table4}) ON nest = parent",
         "upgrade_map": f"SELECT nest * 4 + part AS ipix, round(value, 6) AS value FROM (SELECT nest, avg(value) AS value FROM ({_nest(4, _EV)}) GROUP BY 1), (SELECT range AS part FROM range(4))",
         "mask_good_stats": f"SELECT count(*) FILTER (WHERE ipix % 7 <> 0) AS good, count(*) FILTER (WHERE ipix % 7 = 0) AS bad, round(avg(value) FILTER (WHERE ipix % 7 <> 0), 6) AS mean FROM ({_MAP8})",
-        "disc_members": _in_disc(16),
+        "disc_members": f"SELECT ipix FROM ({_centres(16)}), ({mean3('u', '')}) WHERE (s * cos(phi) * ux + s * sin(phi) * uy + z * uz) / sqrt(ux * ux + uy * uy + uz * uz) >= {math.cos(0.7)!r}",
         "events_in_disc": f"SELECT event_id, ipix FROM ({_ring(16, _EV)}) WHERE ipix IN ({_in_disc(16)})",
         "strip_ranges_nest": f"SELECT min(nest) AS first, max(nest) AS last FROM (SELECT nest, nest - row_number() OVER (ORDER BY nest) AS run FROM ({strip})) GROUP BY run",
-        "polygon_members": f"SELECT ipix FROM ({_centres(16)}) WHERE {sides}",
+        "polygon_members": f"SELECT ipix FROM (SELECT *, sign(uvx * wx + uvy * wy + uvz * wz) AS sense FROM (SELECT *, {normal('u', 'v')}, {normal('v', 'w')}, {normal('w', 'u')} FROM ({mean3('u', 'AND label = 0')}), ({mean3('v', 'AND label = 1')}), ({mean3('w', 'AND label = 2')}))), (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(16)})) WHERE {sided}",
         "fit_monopole": f"SELECT round(avg(value), 6) AS monopole FROM ({_MAP8})",
         "dipole_moments": f"SELECT {moments} FROM ({_MAP8}) JOIN ({centres}) USING (ipix)",
         "rotate_points_g2e": turned,
         "alm2cl": f"SELECT l, round(sum((re * re + im * im) * CASE WHEN m = 0 THEN 1 ELSE 2 END) / (2 * l + 1), 3) AS cl FROM ({alm}) GROUP BY l",
         "almxfl_gauss": f"SELECT l, m, round(re * f, 6) AS re, round(im * f, 6) AS im FROM (SELECT *, CASE WHEN l <= 20 THEN {beam(0.2)} ELSE 0 END AS f FROM ({alm}))",
-        "gauss_beam": f"SELECT l, round(t, 9) AS t, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS e, round(t * {math.exp(2 * s2)!r}::DOUBLE, 9) AS b, round(t * {math.exp(s2)!r}::DOUBLE, 9) AS te FROM (SELECT l, {beam(0.1)} AS t FROM (SELECT range::INT AS l FROM range(65)))",
-        "projmap_mollweide": f"SELECT ipix, count(*) AS cells FROM ({_ring(8, plane)}) GROUP BY 1",
+        "gauss_beam": f"SELECT l, round(t, 9) AS t, round(t * exp(2 * s2), 9) AS e, round(t * exp(2 * s2), 9) AS b, round(t * exp(s2), 9) AS te FROM (SELECT *, exp(l * (l + 1) * -0.5 * s2) AS t FROM (SELECT range::INT AS l, fwhm * fwhm / {8 * math.log(2)!r}::DOUBLE AS s2 FROM range(65), ({width})))",
+        "projmap_mollweide": f"SELECT ipix, count(*) AS cells, round(sum(value), 6) AS total FROM (SELECT ipix FROM ({_ring(8, plane)})) JOIN ({_MAP8}) USING (ipix) GROUP BY 1",
+        "hotspots": f"""WITH v AS MATERIALIZED ({_MAP8}), near AS MATERIALIZED ({touching(8, "SELECT ipix, z, phi, s FROM (" + _centres(8) + ")")}),
+            e AS (SELECT a AS ipix, min(o.value::FLOAT::DOUBLE) AS low, max(o.value::FLOAT::DOUBLE) AS high FROM near JOIN v o ON o.ipix = b WHERE a <> b GROUP BY 1)
+            SELECT ipix, is_min, is_max FROM (SELECT ipix, coalesce(value < low, true) AS is_min, coalesce(value > high, true) AS is_max FROM v LEFT JOIN e USING (ipix)) WHERE is_min OR is_max""",
+        "neighbours_ring": f"""SELECT a AS ipix, b AS near FROM ({touching(8, "SELECT ipix, z, phi, s FROM (" + _centres(8) + ")")}) WHERE a <> b AND a IN (SELECT ipix FROM ({_MAP8}))""",
+        "interp_points": between4,
         "dist2holes": f"""WITH c AS MATERIALIZED (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(16)})), m AS MATERIALIZED ({mask(16, 3)})
             SELECT a.ipix, round(min(2 * asin(least(1, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / 2))), 6) AS distance FROM c a, c b JOIN m ON m.ipix = b.ipix WHERE m.masked GROUP BY 1""",
         "fill_small_holes": f"""WITH RECURSIVE m AS MATERIALIZED ({mask(16, 2)}), p AS MATERIALIZED (SELECT m.ipix, z, phi, s FROM m JOIN ({_centres(16)}) USING (ipix) WHERE masked),
-            f AS MATERIALIZED (SELECT ipix, face, x, y FROM ({_xyf(16, "SELECT * FROM p")})), corners AS MATERIALIZED (SELECT ipix, {corner} FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j)),
-            near AS MATERIALIZED (SELECT DISTINCT a.ipix AS a, b.ipix AS b FROM corners a JOIN corners b USING (cx, cy, cz)),
+            near AS MATERIALIZED ({touching(16, "SELECT * FROM p")}),
             reach(a, b) AS (SELECT ipix, ipix FROM p UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
             SELECT m.ipix, masked AND n >= 4 AS masked FROM m LEFT JOIN (SELECT a AS ipix, count(*) AS n FROM reach GROUP BY 1) USING (ipix)""",
     }
