@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
 from skyframe.functions.projection import image_pixels
-from skyframe.functions.rotation import Rotator
+from skyframe.functions.rotation import Rotator, euler
 from skyframe.operators import coverage, graph, harmonic, maps, regions, spin
 from skyframe.operators._lineage import shared_path
 from skyframe.sources import fits
@@ -204,6 +204,12 @@ def rotate_points_g2e(spark, sf_dir):
     return rows.select("event_id", *[(F.round(c, 7) + 0.0).alias(c) for c in "xyz"])
 
 
+def euler_frames(spark, sf_dir):
+    """Events' places, taken as equatorial of 1950, in galactic coordinates."""
+    rows = positions(spark, sf_dir).select("event_id", euler(F.degrees("phi"), F.degrees(F.asin("z")), 1, fk4=True).alias("p")).select("event_id", "p.*")
+    return rows.select("event_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lon", "lat")])
+
+
 def _alm(spark, sf_dir):
     """Coefficients up to degree 31: all events, dealt out by their id over the 528 places of the triangle, and summed."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.pmod("event_id", F.lit(528)).alias("k"), "value")
@@ -318,7 +324,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, _width(spark, sf_dir), 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, euler_frames, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -433,7 +439,10 @@ def oracle_sql() -> dict[str, str]:
     far, turn_ = (f"('0x' || substr({digest}, {at}, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE" for at in (1, 14))
     drawn = f"SELECT l, m, sqrt(greatest(cl, 0)) * CASE WHEN m = 0 THEN 1 ELSE {math.sqrt(0.5)!r}::DOUBLE END * sqrt(-2 * ln({far} + {0.5 / (1 << 52)!r}::DOUBLE)) AS a, {2 * math.pi!r}::DOUBLE * ({turn_}) AS t FROM ({spectrum}), range(32) r(m) WHERE m <= l"
     drawn = f"SELECT l, m::INT AS m, a * cos(t) AS re, CASE WHEN m = 0 THEN 0 ELSE a * sin(t) END AS im FROM ({drawn})"
+    # By spherical trigonometry from the nodes of 1950.
+    tilted50 = f"SELECT event_id, 0.46019978478::DOUBLE * z - 0.88781538514::DOUBLE * c * sin(phi - 4.9261918136::DOUBLE) AS sb, atan2(0.46019978478::DOUBLE * c * sin(phi - 4.9261918136::DOUBLE) + 0.88781538514::DOUBLE * z, c * cos(phi - 4.9261918136::DOUBLE)) + 0.57595865315::DOUBLE AS l FROM (SELECT *, sqrt(1 - z * z) AS c FROM ({_EV}))"
     return {
+        "euler_frames": f"SELECT event_id, round(degrees((l + {4 * math.pi!r}::DOUBLE) % {2 * math.pi!r}::DOUBLE), 6) + 0.0::DOUBLE AS lon, round(degrees(asin(sb)), 6) + 0.0::DOUBLE AS lat FROM ({tilted50})",
         "rotate_alm_general": f"SELECT l, m, round(re * cos(0.7 * m) - im * sin(0.7 * m), 4) + 0.0::DOUBLE AS re, round(re * sin(0.7 * m) + im * cos(0.7 * m), 4) + 0.0::DOUBLE AS im FROM ({tilted})",
         "synalm": f"SELECT l, m, round(re, 5) + 0.0::DOUBLE AS re, round(im, 5) + 0.0::DOUBLE AS im FROM ({drawn})",
         "synfast": over(f"round({real('')}, 4) AS value").replace(f"a AS MATERIALIZED ({alm})", f"a AS MATERIALIZED ({drawn})"),
