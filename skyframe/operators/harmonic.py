@@ -95,12 +95,36 @@ def effective_resolution_fwhm(nside: int) -> float:
     return _WIDTH_64 * 64 / nside
 
 
-def smoothalm(alm: DataFrame, fwhm: float, spin: int = 0) -> DataFrame:
+def smoothalm(alm: DataFrame, fwhm: float = 0.0, spin: int = 0, beam_window: DataFrame | None = None) -> DataFrame:
+    """Coefficients times a Gaussian beam's window for a spin, width in radians, or times a window (l, fl) instead."""
+    if beam_window is not None:
+        return almxfl(alm, beam_window)
     s2 = (fwhm / math.sqrt(8 * math.log(2))) ** 2
     f = F.exp((F.col("l") * (F.col("l") + 1) - spin * spin) * (-0.5 * s2))
     return alm.select("l", "m", (F.col("re") * f).alias("re"), (F.col("im") * f).alias("im"))
 
 
+def transfer(spark: SparkSession, lmax: int, over: list[DataFrame], under: list[DataFrame]) -> DataFrame:
+    """(l, fl): the product of windows (l, fl) over that of others, in one ratio; 0 where any is absent or a divisor is 0."""
+    out = spark.range(lmax + 1).select(F.col("id").cast("int").alias("l"), F.lit(1.0).alias("fl"))
+    for k, window in enumerate([*over, *under]):
+        own = out.join(window.select("l", F.col("fl").cast("double").alias("w")), "l", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        out = own.select("l", (F.col("fl") * F.col("w") if k < len(over) else F.when(F.col("w") != 0, F.col("fl") / F.col("w")).otherwise(0.0)).alias("fl"))
+    return out
+
+
+def windows_of(spark: SparkSession, lmax: int, column: str, fwhm: float, beam: DataFrame | None, pixwin: DataFrame | None) -> list[DataFrame]:
+    """The windows (l, fl) of a beam (its table's column, or a Gaussian's) and of pixels, for ``column`` t or e; a pixel window calls the latter p."""
+    out = []
+    if beam is not None:
+        out.append(beam.select("l", F.col(column).alias("fl")))
+    elif fwhm:
+        out.append(gauss_beam(spark, fwhm, lmax, pol=True).select("l", F.col(column).alias("fl")))
+    if pixwin is not None:
+        out.append(pixwin.select("l", F.col("p" if column == "e" else column).alias("fl")))
+    return out
+
+
 def normals(seed: int, component: int = 0):
     """Two columns of standard normal numbers for (l, m), by a digest of seed, component and both: the same however rows are dealt out."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(component)), F.col("l").cast("string"), F.col("m").cast("string")).cast("binary"))
@@ -328,9 +352,11 @@ def map2alm_once(sky: DataFrame, nside: int, lmax: int, mmax: int) -> DataFrame:
     return _to_degrees(_along_rings(by_ring(sky, nside, ["value"]), nside, mmax), nside, lmax)
 
 
-def alm2map(alm: DataFrame, nside: int) -> DataFrame:
-    """(ipix, value): the map of a coefficient table, RING order."""
+def alm2map(alm: DataFrame, nside: int, fwhm: float = 0.0, pixwin: DataFrame | None = None) -> DataFrame:
+    """(ipix, value): the map of a coefficient table, RING order; smoothed by a Gaussian beam and by a pixel window (l, t) if given."""
     _, _, size, first = _rings(nside)
+    alm = smoothalm(alm, fwhm) if fwhm else alm
+    alm = almxfl(alm, pixwin.select("l", F.col("t").alias("fl"))) if pixwin is not None else alm
     starts = np.cumsum(size) - size
 
     def along_rings(rows: pd.DataFrame) -> pd.DataFrame:
@@ -391,28 +417,38 @@ def anafast(sky: DataFrame, nside: int, other: DataFrame | None = None, lmax: in
     return alm2cl(one, None if other is None else map2alm(other, nside, lmax, iter=iter, **options))
 
 
-def smoothing(sky: DataFrame, nside: int, fwhm: float, lmax: int | None = None, iter: int = 3) -> DataFrame:
-    """The map convolved with a Gaussian beam; bad pixels stay bad (null)."""
-    smooth = alm2map(smoothalm(map2alm(sky, nside, lmax, iter=iter), fwhm), nside).withColumnRenamed("value", "smooth")
+def smoothing(sky: DataFrame, nside: int, fwhm: float = 0.0, lmax: int | None = None, iter: int | None = None, beam_window: DataFrame | None = None, nest: bool = False, **quadrature) -> DataFrame:
+    """The map convolved with a Gaussian beam, or with that of a window (l, fl); bad pixels stay bad (null). Options as for ``map2alm``."""
+    ring = sky.select(P.nest2ring(nside, "ipix").alias("ipix"), "value") if nest else sky
+    smooth = alm2map(smoothalm(map2alm(ring, nside, lmax, iter=iter, **quadrature), fwhm, beam_window=beam_window), nside).withColumnRenamed("value", "smooth")
+    smooth = smooth.withColumn("ipix", P.ring2nest(nside, "ipix")) if nest else smooth
     bad = F.col("value").isNull() | mask_bad("value")
     return sky.join(smooth, "ipix").select("ipix", F.when(~bad, F.col("smooth")).alias("value"))
 
 
-def synfast(cl: DataFrame, nside: int, seed: int = 0) -> DataFrame:
-    return alm2map(synalm(cl, seed=seed), nside)
+def synfast(cl: DataFrame, nside: int, seed: int = 0, lmax: int | None = None, mmax: int | None = None, fwhm: float = 0.0, pixwin: DataFrame | None = None) -> DataFrame:
+    """(ipix, value): a random map with spectrum (l, cl) up to a degree and order. ``synalm`` with the same seed gives its coefficients."""
+    cl = cl if lmax is None else cl.where(F.col("l") <= lmax)
+    return alm2map(synalm(cl, mmax, seed), nside, fwhm, pixwin)
 
 
-def harmonic_ud_grade(sky: DataFrame, nside: int, nside_out: int, fwhm_out: float | None = None, iter: int = 3) -> DataFrame:
-    """Change of resolution by way of coefficients, smoothed to the new pixels unless a width is given."""
-    lmax = min(3 * nside_out - 1, 3 * nside - 1)
-    fwhm = effective_resolution_fwhm(nside_out) if fwhm_out is None else fwhm_out
-    return alm2map(smoothalm(map2alm(sky, nside, lmax, iter=iter), fwhm), nside_out)
+def harmonic_ud_grade(sky: DataFrame, nside: int, nside_out: int, fwhm_out: float | None = None, iter: int | None = None, lmax: int | None = None, fwhm_in: float = 0.0, beam_in: DataFrame | None = None, beam_out: DataFrame | None = None, pixwin_in: DataFrame | None = None, pixwin_out: DataFrame | None = None, **quadrature) -> DataFrame:
+    """Change of resolution by way of coefficients, times what comes out over what went in, in one ratio.
+
+    Beams are Gaussian (widths in radians; going out, that of the new pixels
+    unless given) or tables (l, t); pixel windows are tables (l, t).
+    """
+    lmax = min(3 * nside_out - 1, 3 * nside - 1) if lmax is None else lmax
+    fwhm_out = effective_resolution_fwhm(nside_out) if fwhm_out is None else fwhm_out
+    spark = sky.sparkSession
+    ratio = transfer(spark, lmax, windows_of(spark, lmax, "t", fwhm_out, beam_out, pixwin_out), windows_of(spark, lmax, "t", fwhm_in, beam_in, pixwin_in))
+    return ud_grade_transfer(sky, nside, nside_out, ratio, lmax, iter, **quadrature)
 
 
-def ud_grade_transfer(sky: DataFrame, nside: int, nside_out: int, transfer: DataFrame, lmax: int | None = None, iter: int = 3) -> DataFrame:
+def ud_grade_transfer(sky: DataFrame, nside: int, nside_out: int, transfer: DataFrame, lmax: int | None = None, iter: int | None = None, **quadrature) -> DataFrame:
     """Change of resolution by way of coefficients, with f(l) of table (l, fl) in one step (see ``window_ratio``)."""
     lmax = min(3 * nside_out - 1, 3 * nside - 1) if lmax is None else lmax
-    return alm2map(almxfl(map2alm(sky, nside, lmax, iter=iter), transfer), nside_out)
+    return alm2map(almxfl(map2alm(sky, nside, lmax, iter=iter, **quadrature), transfer), nside_out)
 
 
 def window_ratio(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 
 from ._lineage import settled
-from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, RING_TILE, SUMS, _block, _complex, _fourier, _ring_values, _rings, _rolled, alm2map, by_ring, map2alm, normals
-from .maps import interpolate
+from .harmonic import ALM, ORDER_BLOCK, RING_BLOCK, RING_TILE, SUMS, _block, _complex, _fourier, _ring_values, _rings, _rolled, alm2map, almxfl, by_ring, effective_resolution_fwhm, map2alm, normals, transfer, windows_of
+from .maps import interpolate, mask_bad
 
 PAIR = "l int, m int, g_re double, g_im double, c_re double, c_im double"
 
@@ -249,6 +249,47 @@ def alm2map_pol(alm: DataFrame, pair: DataFrame, nside: int) -> DataFrame:
     return alm2map(alm, nside).withColumnRenamed("value", "i").join(alm2map_spin(pair, nside, 2), "ipix")
 
 
+def pair_times(pair: DataFrame, window: DataFrame) -> DataFrame:
+    """Both tables of a pair times a window (l, fl); 0 beyond it."""
+    f = F.coalesce(F.col("fl"), F.lit(0.0))
+    return pair.join(window.select("l", "fl"), "l", "left").select("l", "m", *[(F.col(c) * f).alias(c) for c in ("g_re", "g_im", "c_re", "c_im")])
+
+
+def smoothed_pol(alm: DataFrame, pair: DataFrame, lmax: int, fwhm: float = 0.0, beam_window: DataFrame | None = None, pixwin: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Temperature and pair times a Gaussian beam, or that of a table (l, t, e), and times a pixel window (l, t, p)."""
+    spark = alm.sparkSession
+    t, e = (transfer(spark, lmax, windows_of(spark, lmax, c, fwhm, beam_window, pixwin), []) for c in "te")
+    return almxfl(alm, t), pair_times(pair, e)
+
+
+def smoothing_pol(sky: DataFrame, nside: int, fwhm: float = 0.0, lmax: int | None = None, iter: int | None = None, beam_window: DataFrame | None = None, nest: bool = False, **quadrature) -> DataFrame:
+    """Maps (ipix, i, q, u) convolved as ``smoothing`` does one; bad pixels of each stay bad (null)."""
+    lmax = 3 * nside - 1 if lmax is None else lmax
+    names = ["i", "q", "u"]
+    ring = sky.select(P.nest2ring(nside, "ipix").alias("ipix"), *names) if nest else sky.select("ipix", *names)
+    alm, pair = smoothed_pol(*map2alm_pol(ring, nside, lmax, iter, **quadrature), lmax, fwhm, beam_window)
+    smooth = alm2map_pol(alm, pair, nside).withColumnsRenamed({c: c + "2" for c in names})
+    smooth = smooth.withColumn("ipix", P.ring2nest(nside, "ipix")) if nest else smooth
+    bad = lambda c: F.col(c).isNull() | mask_bad(c)
+    return sky.join(smooth, "ipix").select("ipix", *[F.when(~bad(c), F.col(c + "2")).alias(c) for c in names])
+
+
+def synfast_pol(cl: DataFrame, nside: int, seed: int = 0, fwhm: float = 0.0, pixwin: DataFrame | None = None) -> DataFrame:
+    """(ipix, i, q, u): random maps with spectra (l, tt, ee, bb, te), smoothed by a beam and by a pixel window (l, t, p)."""
+    lmax = cl.agg(F.max("l")).first()[0] or 0
+    return alm2map_pol(*smoothed_pol(*synalm_pol(cl, seed), lmax, fwhm, None, pixwin), nside)
+
+
+def harmonic_ud_grade_pol(sky: DataFrame, nside: int, nside_out: int, fwhm_out: float | None = None, iter: int | None = None, lmax: int | None = None, fwhm_in: float = 0.0, beam_in: DataFrame | None = None, beam_out: DataFrame | None = None, pixwin_in: DataFrame | None = None, pixwin_out: DataFrame | None = None, **quadrature) -> DataFrame:
+    """``harmonic_ud_grade`` of maps (ipix, i, q, u): tables of beams have (l, t, e), those of pixel windows (l, t, p)."""
+    lmax = min(3 * nside_out - 1, 3 * nside - 1) if lmax is None else lmax
+    fwhm_out = effective_resolution_fwhm(nside_out) if fwhm_out is None else fwhm_out
+    spark = sky.sparkSession
+    t, e = (transfer(spark, lmax, windows_of(spark, lmax, c, fwhm_out, beam_out, pixwin_out), windows_of(spark, lmax, c, fwhm_in, beam_in, pixwin_in)) for c in "te")
+    alm, pair = map2alm_pol(sky, nside, lmax, iter, **quadrature)
+    return alm2map_pol(almxfl(alm, t), pair_times(pair, e), nside_out)
+
+
 def alm2map_der1(alm: DataFrame, nside: int) -> DataFrame:
     """(ipix, value, d_theta, d_phi): the map, its derivative by theta, and that by phi over sin(theta)."""
     rise = F.sqrt((F.col("l") * (F.col("l") + 1)).cast("double"))
