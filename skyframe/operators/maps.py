@@ -29,6 +29,50 @@ def null_to_unseen(value) -> Column:
     return F.coalesce(P.col(value), F.lit(UNSEEN))
 
 
+def fields_of(sky: DataFrame) -> list[str]:
+    """The names of a map's values; several stand for as many maps."""
+    return [c for c in sky.columns if c != "ipix"]
+
+
+def nside_of(sky: DataFrame, partial: bool = False) -> int:
+    """The size of a map from its pixels: all must be there, each once, or with ``partial`` the least power of two that has the greatest of them.
+
+    One row reaches the driver.  An error if a full map's pixels don't make up a sky.
+    """
+    n, distinct, last = sky.agg(F.count("ipix"), F.count_distinct("ipix"), F.max("ipix")).first()
+    if partial:
+        nside = 1
+        while 12 * nside * nside <= (last or 0):
+            nside *= 2
+        return checked_nside(nside)
+    nside = int(round((n / 12) ** 0.5))
+    if not n or n != distinct or 12 * nside * nside != n or last != n - 1:
+        raise ValueError(f"{n} pixels up to {last} make up no sky")
+    return checked_nside(nside)
+
+
+def size_of(sky: DataFrame, partial: bool = False) -> int:
+    """How many pixels a map's sky has."""
+    return 12 * nside_of(sky, partial) ** 2
+
+
+def checked_nside(nside: int, nest: bool = False) -> int:
+    """The size itself; an error if it isn't one (for NEST: no power of two) or is beyond 2 ** 29."""
+    if nside != int(nside) or nside < 1 or (nest and int(nside) & (int(nside) - 1)):
+        raise ValueError(f"{nside} is no size of a map")
+    if nside > 1 << 29:
+        raise ValueError(f"{nside} is beyond 2 ** 29")
+    return int(nside)
+
+
+def value_range(sky: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(low, high): one row, the limits of good, finite values, or those given; a limit that would pass the other is set to it."""
+    good = F.when(mask_good("value") & (F.abs("value") < float("inf")), F.col("value"))
+    found = sky.agg(F.min(good).alias("low"), F.max(good).alias("high"))
+    low_, high_ = (F.col("low") if low is None else F.lit(float(low))), (F.col("high") if high is None else F.lit(float(high)))
+    return found.select(low_.alias("low"), high_.alias("high")).select(F.least("low", "high").alias("low") if low is None else F.col("low"), F.greatest("low", "high").alias("high") if high is None else F.col("high"))
+
+
 def pixelise(points: DataFrame, nside: int, pix: Column, value: str) -> DataFrame:
     """(ipix, hits, mean): partial sums before the only shuffle, which moves a row per pixel and task."""
     return points.select(pix.alias("ipix"), value).groupBy("ipix").agg(F.count("*").alias("hits"), F.avg(value).alias("mean"))

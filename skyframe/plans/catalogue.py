@@ -115,6 +115,11 @@ def mask_good_stats(spark, sf_dir):
     return sky.agg(F.count(F.when(maps.mask_good("value"), 1)).alias("good"), F.count(F.when(maps.mask_bad("value"), 1)).alias("bad"), F.round(F.avg(maps.unseen_to_null("value")), 6).alias("mean"))
 
 
+def value_range(spark, sf_dir):
+    sky = event_map(spark, sf_dir).select("ipix", F.when(F.col("ipix") % 7 == 0, P.UNSEEN).otherwise(F.col("value")).alias("value"))
+    return maps.value_range(sky).select(*[F.round(c, 6).alias(c) for c in ("low", "high")])
+
+
 _DISC = ((0.3, -0.4, 0.8), 0.7)
 
 
@@ -324,7 +329,7 @@ def blm_gauss(spark, sf_dir):
     return spin.blm_gauss(spark, _width(spark, sf_dir), 64, pol=True).select("comp", "l", "m", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 
 
-_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, euler_frames, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
+_QUERIES = [pixelise_events, pixelise_events_nest, reorder_to_nest, pix_roundtrip, vec2pix_embeddings, degrade_mean, degrade_pessimistic, upgrade_map, mask_good_stats, value_range, disc_members, events_in_disc, strip_ranges_nest, polygon_members, disc_coverage, polygon_coverage, strip_coverage, hotspots, neighbours_ring, interp_points, fit_monopole, dipole_moments, rotate_points_g2e, euler_frames, alm2cl, almxfl_gauss, gauss_beam, projmap_mollweide, anafast, map2alm_cut, smoothing, fits_roundtrip, dist2holes, fill_small_holes, rotated_spectrum, rotate_alm_over, rotate_alm_general, synalm, synfast, alm2map, alm2map_der1, alm2map_spin2, map2alm_spin2, blm_gauss]
 
 
 def queries() -> dict:
@@ -469,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
         "upgrade_map": f"SELECT nest * 4 + part AS ipix, round(value, 6) AS value FROM (SELECT nest, avg(value) AS value FROM ({_nest(4, _EV)}) GROUP BY 1), (SELECT range AS part FROM range(4))",
         "mask_good_stats": f"SELECT count(*) FILTER (WHERE ipix % 7 <> 0) AS good, count(*) FILTER (WHERE ipix % 7 = 0) AS bad, round(avg(value) FILTER (WHERE ipix % 7 <> 0), 6) AS mean FROM ({_MAP8})",
         "disc_members": f"SELECT ipix FROM ({_centres(16)}), ({mean3('u', '')}) WHERE (s * cos(phi) * ux + s * sin(phi) * uy + z * uz) / sqrt(ux * ux + uy * uy + uz * uz) >= {math.cos(0.7)!r}",
+        "value_range": f"SELECT round(min(value), 6) AS low, round(max(value), 6) AS high FROM ({_MAP8}) WHERE ipix % 7 <> 0",
         "events_in_disc": f"SELECT event_id, ipix FROM ({_ring(16, _EV)}) WHERE ipix IN ({_in_disc(16)})",
         "strip_ranges_nest": f"SELECT min(nest) AS first, max(nest) AS last FROM (SELECT nest, nest - row_number() OVER (ORDER BY nest) AS run FROM ({strip})) GROUP BY run",
         "polygon_members": f"SELECT ipix FROM (SELECT *, sign(uvx * wx + uvy * wy + uvz * wz) AS sense FROM (SELECT *, {normal('u', 'v')}, {normal('v', 'w')}, {normal('w', 'u')} FROM ({mean3('u', 'AND label = 0')}), ({mean3('v', 'AND label = 1')}), ({mean3('w', 'AND label = 2')}))), (SELECT ipix, s * cos(phi) AS x, s * sin(phi) AS y, z FROM ({_centres(16)})) WHERE {sided}",

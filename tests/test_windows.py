@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.functions import pixel as P
-from skyframe.operators import harmonic, spin
+from skyframe.operators import harmonic, maps, spin
 
 R = np.random.default_rng(6)
 LMAX = 7
@@ -66,9 +66,9 @@ def test_random_maps_of_windows(spark):
     want = harmonic.alm2map(harmonic.synalm(cl.where("l <= 5"), 2, 3), 4, 0.2, pixwin)
     assert difference(drawn, want)[1] < 1e-12
     t, p = spin.synalm_pol(cl, 3)
-    maps = spin.synfast_pol(cl, 4, 3, pixwin=pixwin)
+    three = spin.synfast_pol(cl, 4, 3, pixwin=pixwin)
     by_hand = spin.alm2map_pol(harmonic.almxfl(t, pixwin.select("l", F.col("t").alias("fl"))), spin.pair_times(p, pixwin.select("l", F.col("p").alias("fl"))), 4)
-    assert difference(maps, by_hand, ("i", "q", "u"))[1] < 1e-12
+    assert difference(three, by_hand, ("i", "q", "u"))[1] < 1e-12
 
 
 def test_change_of_resolution_in_one_ratio(spark, tables):
@@ -87,3 +87,20 @@ def test_change_of_resolution_in_one_ratio(spark, tables):
     assert difference(one, want.select("ipix", F.col("i").alias("value")))[1] < 5e-3
     plain = harmonic.harmonic_ud_grade(sky.select("ipix", F.col("i").alias("value")), 8, 4, fwhm_out=0.0, lmax=LMAX)
     assert difference(plain, harmonic.alm2map(alm, 4))[1] < 1e-3
+
+
+def test_sizes_and_ranges(spark):
+    sky = spark.range(192).select(F.col("id").alias("ipix"), F.when(F.col("id") == 3, P.UNSEEN).when(F.col("id") == 4, float("inf")).when(F.col("id") == 5, float("nan")).otherwise(F.col("id").cast("double")).alias("value"))
+    assert maps.nside_of(sky) == 4 and maps.size_of(sky) == 192 and maps.fields_of(sky) == ["value"]
+    assert maps.nside_of(sky.where("ipix < 20"), partial=True) == 2 and maps.nside_of(sky.where("false"), partial=True) == 1
+    for wrong in (sky.where("ipix < 20"), sky.where("ipix <> 5"), sky.where("false"), sky.where("ipix < 191").unionAll(sky.where("ipix = 0"))):
+        with pytest.raises(ValueError, match="no sky"):
+            maps.nside_of(wrong)
+    for wrong in (0, -4, 1.5, 1 << 30):
+        with pytest.raises(ValueError):
+            maps.checked_nside(wrong)
+    assert maps.checked_nside(6) == 6
+    with pytest.raises(ValueError, match="no size"):
+        maps.checked_nside(6, nest=True)
+    assert maps.value_range(sky).collect() == [(0.0, 191.0)] and maps.value_range(sky, low=5, high=9).collect() == [(5.0, 9.0)]
+    assert maps.value_range(sky, high=-3).collect() == [(-3.0, -3.0)] and maps.value_range(sky.where("ipix = 3")).collect() == [(None, None)]
