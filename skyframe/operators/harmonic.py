@@ -267,7 +267,10 @@ def by_ring(sky: DataFrame, nside: int, columns: list[str], gal_cut: float = 0.0
     """(ring, place, columns, weight) of a RING map; bad pixels and those within ``gal_cut`` degrees of the equator count as 0.
 
     weight: 1 + w of (ring, w), north and south alike, times that of (ipix, weight); 1 where there is none.
+    With weights, absent pixels come as zeros, as an iteration's residual has them.
     """
+    if rings is not None or pixels is not None:
+        sky = sky.sparkSession.range(12 * nside * nside).select(F.col("id").alias("ipix")).join(sky, "ipix", "left")
     values = sky.select("ipix", *[good_or_zero(c).alias(c) for c in columns], P.pix2ring(nside, "ipix").alias("ring"))
     weight = F.lit(1.0)
     if pixels is not None:

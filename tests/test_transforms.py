@@ -74,6 +74,14 @@ def test_ring_weights_in_iterations(spark):
     assert worst(harmonic.map2alm(sky, nside, 10, iter=0, rings=rings), outside) < 1e-14
 
 
+def test_weights_of_absent_pixels_count_in_iterations(spark):
+    sky = harmonic.alm2map(coefficients(spark, 6), 4).cache()
+    rings = spark.createDataFrame([(i, 0.1 / i) for i in range(1, 9)], "ring int, w double")
+    zeros = sky.select("ipix", F.when(F.col("ipix") % 3 != 0, F.col("value")).otherwise(0.0).alias("value"))
+    few = sky.where("ipix % 3 <> 0")
+    assert worst(harmonic.map2alm(few, 4, 6, iter=2, rings=rings), harmonic.map2alm(zeros, 4, 6, iter=2, rings=rings)) < 1e-13
+
+
 def classes_by_force(nside):
     """Pixels alike under quarter turns and mirrors, numbered along each ring from its start."""
     out, n = {}, 0
