@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +136,52 @@ def extremes(good: DataFrame, nside: int) -> DataFrame:
         return out[out["is_min"] | out["is_max"]]
 
     return with_halo(good, nside, ["value", "other"]).groupBy("block").applyInPandas(beyond, "ipix long, value double, is_min boolean, is_max boolean")
+
+
+def patches(sky: DataFrame, nside: int, nest: bool = False) -> DataFrame:
+    """(ipix, pix, val): for RING pixels the RING ids and values of themselves and their neighbours, as far as they are not null; one shuffle of the map's rows and the blocks' edges."""
+    bits = block_order(nside)
+    side = 1 << bits
+    x, y = place_in_block(np.arange(side * side), bits)
+
+    def around(table: pa.Table) -> pa.Table:
+        at, src, value, own = (table.column(c).to_numpy() for c in ("ipix", "src", "value", "own"))
+        own = own.astype(bool)
+        ids, values = src[own], value[own]
+        slot = np.full((side, side), -1)
+        slot[x[at[own] % (side * side)], y[at[own] % (side * side)]] = np.arange(len(ids))
+        near = np.stack([slot[x, y]] + [_shifted(slot, dx, dy, -1)[x, y] for dx, dy in _AROUND])
+        k, i = np.nonzero(near >= 0)
+        ats = np.concatenate([i + at[0] // (side * side) * (side * side), at[~own]])
+        order = np.argsort(ats, kind="stable")
+        centres, starts = np.unique(ats[order], return_index=True)
+        offsets = np.append(starts, len(ats)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, np.concatenate([inner[near[k, i]], outer])[order]) for inner, outer in ((ids, src[~own]), (values, value[~own]))]
+        return pa.table({"centre": centres, "pix": lists[0], "val": lists[1]})
+
+    ring, at = (P.nest2ring(nside, "ipix"), F.col("ipix")) if nest else (F.col("ipix"), P.ring2nest(nside, "ipix"))
+    rows = sky.where("value is not null").select(at.alias("ipix"), ring.cast("long").alias("src"), F.col("value").cast("double").alias("value"))
+    found = with_halo(rows, nside, ["src", "value"]).groupBy("block").applyInArrow(around, "centre long, pix array<long>, val array<double>")
+    return found.select(P.nest2ring(nside, "centre").alias("ipix"), "pix", "val")
+
+
+def patch_of(nside: int, w):
+    """The RING pixel among a point's four weighted ones (``interp_weights``) that has the others as neighbours.
+
+    In the belt it is the one of greatest weight. In a cap it lies on the ring
+    next to the pole: the one whose two neighbours on the other ring are the point's.
+    """
+    npix, cap = 12 * nside * nside, 2 * nside * (nside - 1)
+
+    def polar(first, second, other):
+        """Counted from the pole; ``other`` comes first on the ring further off."""
+        def chosen(a):
+            quarter = P.let(P.idiv(P.isqrt(2 * a["p"] + 1) + 1, F.lit(2)), lambda r: 4 * r + P.idiv(a["p"] - 2 * r * (r - 1), r))
+            return F.when(a["b"] == a["p"] + quarter, a["p"]).otherwise(a["q"])
+
+        return P.let(P.record(p=first, q=second, b=other), chosen)
+
+    a, b, c, d = (F.get(w, F.lit(i))["pix"] for i in range(4))
+    heaviest = F.array_max(F.transform(w, lambda p: F.struct(p["weight"], p["pix"])))["pix"]
+    mirrored = lambda p: npix - 1 - p
+    return F.when(a < cap, polar(a, b, c)).when(d >= npix - cap, mirrored(polar(mirrored(d), mirrored(c), mirrored(b)))).otherwise(heaviest)

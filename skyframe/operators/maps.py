@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from skyframe.functions import pixel as P
 from skyframe.functions.pixel import UNSEEN
 
+from . import blocks
+
 
 def mask_bad(value, bad: float = UNSEEN, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """Whether a value is the bad one; NaN is neither bad nor good."""
@@ -110,12 +112,22 @@ def ud_grade(sky: DataFrame, nside: int, nside_out: int, nest: bool = False, pes
 
 
 def interpolate(points: DataFrame, sky: DataFrame, nside: int, key: str, theta, phi, nest: bool = False) -> DataFrame:
-    """(key, value): bilinear interpolation at points, a row for each, keys repeated or not; null where a pixel with weight is absent."""
-    near = points.select(key, F.monotonically_increasing_id().alias("_point"), P.interp_weights(nside, theta, phi, nest).alias("w"))
-    near = near.select(key, "_point", F.inline("w")).select(key, "_point", F.col("pix").alias("ipix"), "weight")
-    joined = near.join(sky.select("ipix", "value"), "ipix", "left")
-    complete = F.count(F.when(F.col("value").isNotNull() | (F.col("weight") == 0), 1)) == 4
-    return joined.groupBy("_point", key).agg(F.when(complete, F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0)))).alias("value")).drop("_point")
+    """(key, value): bilinear interpolation at points, a row for each, keys repeated or not; null where a pixel with weight is absent.
+
+    A point meets one of its four pixels, whose row holds the values around it
+    (``blocks.patches``), so one row a point is shuffled. Sizes that
+    are no powers of two have no blocks: there each point meets its four pixels.
+    """
+    blocked = not nside & (nside - 1)
+    near = points.select(key, P.interp_weights(nside, theta, phi, nest and not blocked).alias("w"))
+    if not blocked:
+        near = near.select(key, F.monotonically_increasing_id().alias("_point"), "w").select(key, "_point", F.inline("w")).select(key, "_point", F.col("pix").alias("ipix"), "weight")
+        joined = near.join(sky.select("ipix", "value"), "ipix", "left")
+        complete = F.count(F.when(F.col("value").isNotNull() | (F.col("weight") == 0), 1)) == 4
+        return joined.groupBy("_point", key).agg(F.when(complete, F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0)))).alias("value")).drop("_point")
+    joined = near.select(key, "w", blocks.patch_of(nside, F.col("w")).alias("ipix")).join(blocks.patches(sky, nside, nest), "ipix", "left")
+    part = lambda p: F.when(p["weight"] == 0, 0.0).otherwise(p["weight"] * F.get("val", F.array_position("pix", p["pix"]) - 1))
+    return joined.select(key, F.aggregate(F.transform("w", part), F.lit(0.0), lambda a, b: a + b).alias("value"))
 
 
 def _fitted(sky: DataFrame, nside: int, nest: bool, cut: float) -> DataFrame:

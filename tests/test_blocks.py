@@ -44,3 +44,22 @@ def test_points_with_one_key(spark):
     assert [r.value for r in got if r.k is None] == [1.5]
     holed = maps.interpolate(points.where("k = 1"), sky.where("ipix > 40"), 2, "k", "theta", "phi").collect()
     assert [r.value for r in holed] == [None] * 3
+
+
+@pytest.mark.parametrize(("nside", "nest", "order"), [(1, False, 6), (2, True, 6), (8, False, 2), (16, True, 3), (32, False, 6)])
+def test_interpolation_against_four_pixels_a_point(spark, monkeypatch, nside, nest, order):
+    """Every point's four pixels lie about the one it meets, at poles, faces' corners and blocks' edges too."""
+    monkeypatch.setattr(blocks, "ORDER", order)
+    sky = spark.range(12 * nside * nside).where("id % 17 <> 5").select(F.col("id").alias("ipix"), F.when(F.col("id") % 13 != 4, F.rand(3)).alias("value")).cache()
+    n = 3000
+    theta = np.concatenate([np.arccos(R.uniform(-1, 1, n)), R.uniform(0, 0.5, 500), np.pi - R.uniform(0, 0.5, 500), [0, np.pi], np.full(500, np.arccos(2 / 3))])
+    phi = np.concatenate([R.uniform(0, 7, n + 500), R.integers(0, 9, 500) * np.pi / 4, [0, 1], R.integers(0, 9, 500) * np.pi / 4 + 1e-9])
+    points = spark.createDataFrame([(i, float(t), float(p)) for i, (t, p) in enumerate(zip(theta, phi, strict=True))], "k long, theta double, phi double")
+    got = {r.k: r.value for r in maps.interpolate(points, sky, nside, "k", "theta", "phi", nest).collect()}
+    value = {r.ipix: r.value for r in sky.collect()}
+    wrong = 0
+    for r in points.select("k", P.interp_weights(nside, "theta", "phi", nest).alias("w")).collect():
+        parts = [0.0 if w.weight == 0 else None if value.get(w.pix) is None else w.weight * value[w.pix] for w in r.w]
+        want = None if None in parts else sum(parts)
+        wrong += (got[r.k] is None) != (want is None) or (want is not None and abs(want - got[r.k]) > 1e-12)
+    assert len(got) == len(theta) and wrong == 0
