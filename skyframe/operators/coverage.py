@@ -5,11 +5,15 @@ lies, in radians, negative outside.  A cell whose centre lies deeper than the
 cell's radius is inside as a whole; one that lies farther out than that is
 dropped; any other is split into four.  So the number of cells goes with the
 region's border, not its area, and all regions of a table descend at once, as
-projections and explosions without a join; one shuffle deals the cells of the
-third order out, so that a single large region is spread as well.
-
-Ranges are joined within blocks of the sky, each a group of its own, and then
-across the blocks' edges, at most two ranges a block.
+projections and explosions without a join.  Regions are dealt out by their
+keys; on fine grids one more shuffle deals the cells of the third order out, so
+that a single large region is spread as well.
+
+A region's cells come in order, one after the other, so runs are made as they
+pass by, without a shuffle or sort of cells; only where a region was spread,
+runs at its blocks' edges meet again.  Regions of one key make up one: of
+these, ranges are joined within blocks of the sky, each a group of its own, and
+then across the blocks' edges, at most two ranges a block.
 """
 
 from __future__ import annotations
@@ -17,13 +21,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skyframe.functions import pixel as P
 
 #: Cells of this order are blocks: where the descent is dealt out, and in which ranges are joined.
 BLOCK_ORDER = 3
+#: Down to this order at most (49,152 cells) a region stays whole in its task.
+WHOLE_ORDER = 6
 
 Depth = Callable[[Column, Column], Column]
 
@@ -102,13 +111,14 @@ def _order(nside: int) -> int:
     return order
 
 
-def cells(shaped: tuple[DataFrame, Depth], keys: list[str], nside: int, inclusive: bool = False, fact: int = 4) -> DataFrame:
+def cells(shaped: tuple[DataFrame, Depth], keys: list[str], nside: int, inclusive: bool = False, fact: int = 4, spread: bool = True) -> DataFrame:
     """(keys, order, cell): NEST cells of mixed orders that make up each region; rows without a shape have none.
 
     A pixel belongs to a region if its centre does.  ``inclusive``: if the
     centre of one of its parts on a grid ``fact`` times as fine is within a
     part's radius of it; so all that overlap it do, and maybe a few more. A
-    cell of the last order may then come several times.
+    cell of the last order may then come several times. Cells of a row come in
+    order and together; if they are ``spread``, those of a block do.
     """
     regions, depth = shaped
     last = _order(nside)
@@ -133,19 +143,42 @@ def cells(shaped: tuple[DataFrame, Depth], keys: list[str], nside: int, inclusiv
     step = F.explode(F.when(F.col("inside"), kept(F.lit(True))).otherwise(P.let(own, dealt))).alias("c")
     for k in range(finest + 1):
         rows = rows.select(*keys, "_shape", step).select(*keys, "_shape", "c.*")
-        if k == BLOCK_ORDER:
+        if spread and k + 1 == BLOCK_ORDER:
             rows = rows.repartition("face", "x", "y")
     up = F.greatest(F.col("order") - last, F.lit(0))
     return rows.select(*keys, F.least("order", F.lit(last)).alias("order"), F.call_function("shiftright", F.col("cell"), 2 * up).alias("cell"))
 
 
-def ranges(covered: DataFrame, keys: list[str], nside: int) -> DataFrame:
-    """(keys, first, last): the runs of NEST pixels that cells make up, both within."""
-    last = _order(nside)
-    down = 2 * (last - F.col("order"))
+def runs_of(covered: DataFrame, keys: list[str], nside: int) -> DataFrame:
+    """(keys, first, last): cells (keys, _region, order, cell) as runs of NEST pixels, both within; those of a region that follow each other are one."""
+    down = 2 * (_order(nside) - F.col("order"))
     shift = lambda c: F.call_function("shiftleft", c, down)
-    rows = covered.select(*keys, shift(F.col("cell")).alias("first"), (shift(F.col("cell") + 1) - 1).alias("last"))
-    return joined(rows, keys, 2 * max(0, last - BLOCK_ORDER))
+    rows = covered.select(*keys, "_region", shift(F.col("cell")).alias("first"), (shift(F.col("cell") + 1) - 1).alias("last"))
+    schema = StructType([*covered.select(*keys).schema.fields, *[StructField(c, LongType()) for c in ("first", "last")]])
+    return rows.mapInArrow(_passing_runs, schema)
+
+
+def _passing_runs(batches):
+    held = None
+
+    def shown(batch):
+        return batch.select([c for c in batch.schema.names if c != "_region"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        region, first, last = (batch.column(c).to_numpy() for c in ("_region", "first", "last"))
+        new = (region[1:] != region[:-1]) | (first[1:] < first[:-1]) | (first[1:] > last[:-1] + 1)
+        starts = np.flatnonzero(np.append(True, new))
+        ends = pa.array(np.maximum.reduceat(last, starts))
+        found = batch.take(pa.array(starts))
+        found = pa.RecordBatch.from_arrays([ends if c == "last" else found.column(c) for c in found.schema.names], schema=found.schema)
+        yield shown(found.slice(0, len(starts) - 1))
+        held = found.slice(len(starts) - 1)  # the last run may go on
+    if held is not None:
+        yield shown(held)
 
 
 def joined(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
@@ -156,23 +189,53 @@ def joined(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
     over an edge if it starts at one and no other starts within it.
     """
 
-    def runs(part: DataFrame, by: list) -> DataFrame:
-        before = Window.partitionBy(*by).orderBy("first", "last")
-        up_to = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
-        starts = part.withColumn("new", F.when(up_to.isNull() | (F.col("first") > up_to + 1), 1).otherwise(0))
-        starts = starts.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        return starts.groupBy(*by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
-
     size = 1 << bits
-    own = runs(rows.withColumn("block", F.shiftright("first", bits)), [*keys, "block"]).drop("block")
+    own = _runs_by(rows.withColumn("block", F.shiftright("first", bits)), [*keys, "block"]).drop("block")
+    return _over_edges(own, keys, size)
+
+
+def _runs_by(part: DataFrame, by: list) -> DataFrame:
+    before = Window.partitionBy(*by).orderBy("first", "last")
+    up_to = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    starts = part.withColumn("new", F.when(up_to.isNull() | (F.col("first") > up_to + 1), 1).otherwise(0))
+    starts = starts.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return starts.groupBy(*by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
+def _over_edges(own: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Ranges of which those at the edges of blocks of ``size`` numbers are joined."""
     edge = (F.col("first") % size == 0) | ((F.col("last") + 1) % size == 0)
-    ends = runs(own.where(edge), keys)
+    ends = _runs_by(own.where(edge), keys)
     return own.where(~edge).select(*keys, "first", "last").unionAll(ends.select(*keys, "first", "last"))
 
 
 def covered_ranges(shaped: tuple[DataFrame, Depth], keys: list[str], nside: int, inclusive: bool = False, fact: int = 4) -> DataFrame:
-    """(keys, first, last): NEST ranges of each region; see ``cells``."""
-    return ranges(cells(shaped, keys, nside, inclusive, fact), keys, nside)
+    """(keys, first, last): NEST ranges of each region, rows of equal keys together; see ``cells``."""
+    regions, depth = shaped
+    last = _order(nside)
+    bits = 2 * max(0, last - BLOCK_ORDER)
+    rows = regions.where("_shape is not null").select(*keys, "_shape")
+
+    def runs(some: DataFrame, spread: bool) -> DataFrame:
+        numbered = some.withColumn("_region", F.monotonically_increasing_id())
+        return runs_of(cells((numbered, depth), [*keys, "_region"], nside, inclusive, fact, spread), keys, nside)
+
+    def together(some: DataFrame) -> DataFrame:
+        """Of regions that may overlap: runs are cut at blocks' edges before they are joined."""
+        block = F.explode(F.sequence(F.shiftright("first", bits), F.shiftright("last", bits))).alias("block")
+        start = F.call_function("shiftleft", F.col("block"), F.lit(bits))
+        cut = runs(some, True).select(*keys, "first", "last", block)
+        return joined(cut.select(*keys, F.greatest("first", start).alias("first"), F.least("last", start + ((1 << bits) - 1)).alias("last")), keys, bits)
+
+    if not keys:
+        return together(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is kept: few bytes make many cells
+    rows = rows.repartition(parts, *keys).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    spread = last + (_order(fact) if inclusive else 0) > WHOLE_ORDER
+    alone = runs(rows.where("_n = 1").drop("_n"), spread)
+    if spread:
+        alone = _over_edges(alone, keys, 1 << bits)
+    return alone.unionAll(together(rows.where("_n > 1").drop("_n").dropDuplicates([*keys, "_shape"])))
 
 
 def in_nest_ranges(points: DataFrame, found: DataFrame, keys: list[str], nside: int) -> DataFrame:
