@@ -9,7 +9,6 @@ encoded once.  Texts in which a space meets other white space are encoded whole.
 from __future__ import annotations
 
 import os
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,10 @@ from tokenizers import Tokenizer
 
 from ._common import process_cache
 
-#: Chunks held for each worker process (about 100 bytes each); others are encoded again in each batch.
+#: Chunks held for each worker process (some 40 bytes each, in Arrow arrays); others are encoded again in each batch.
 CACHE = 600_000
+#: Chunks that are encoded as one running text.
+CHUNKS = 4096
 #: How a byte-level vocabulary writes a space byte.
 BYTE_SPACE = "\u0120"
 #: Bytes of text that go through the encoder at once.
@@ -41,6 +42,13 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
+def _lists(ids: list[np.ndarray], ends: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of ids: each array a list, or the one array cut at ``ends``."""
+    if ends is None:
+        ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).view("<i4")))
+
+
 class Encoder:
     """Encodes lists of texts; special tokens' strings in a text are ordinary text."""
 
@@ -50,39 +58,40 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
-        self.cache: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())
+        self.ids = pa.array([], pa.list_(pa.int32()))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _chunks(self, chunks: pa.Array) -> list[pa.Array]:
         """The ids of space-led chunks, given without the space: encoded as running text, cut before each token that starts with one."""
-        out: list[bytes] = []
-        for at in range(0, len(chunks), 4096):
-            own = chunks[at : at + 4096]
-            (ids,) = self._whole([" " + " ".join(own)])
+        out = []
+        for at in range(0, len(chunks), CHUNKS):
+            own = chunks.slice(at, CHUNKS)
+            running = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), " ")
+            (ids,) = self._whole([" " + running[0].as_py()])
             cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) != len(own):  # a vocabulary whose pieces don't start at spaces
-                out += [x.tobytes() for x in self._whole([" " + x for x in own])]
-                continue
-            blob, ends = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
-            out += [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out.append(_lists([ids], np.append(cuts, len(ids))) if len(cuts) == len(own) else _lists(self._whole([" " + x for x in own.to_pylist()])))  # else: pieces don't start at spaces
         return out
 
-    def _looked_up(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks, from the cache where it has them."""
-        cache = self.cache
-        got = list(map(cache.get, chunks))
-        new = [x for x, ids in zip(chunks, got, strict=True) if ids is None]
-        if new:
-            fresh = self._chunks(new)
-            cache.update([(x, ids) for x, ids in islice(zip(new, fresh, strict=True), max(0, CACHE - len(cache))) if len(x) <= 32])
-            rest = iter(fresh)
-            got = [next(rest) if ids is None else ids for ids in got]
-        return got
-
-    def _pieces(self, texts: pa.Array):
-        """Of texts: the ids of distinct pieces, which piece each place has, and where each text's places start.
+    def _looked_up(self, chunks: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+        """Lists of ids, and which of them each of distinct chunks has; from the cache where it has them."""
+        found = pc.index_in(chunks, value_set=self.words)
+        lacking = pc.is_null(found)
+        new = chunks.filter(lacking)
+        fresh = self._chunks(new)
+        of = found.fill_null(0).to_numpy().astype(np.int64)
+        of[lacking.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        known = [self.ids, *fresh]
+        if len(new) and len(self.words) < CACHE:
+            kept = pa.array(np.flatnonzero(pc.less_equal(pc.utf8_length(new), 32).to_numpy(zero_copy_only=False))[: CACHE - len(self.words)])
+            self.words = pa.concat_arrays([self.words, new.take(kept)])
+            self.ids = pa.concat_arrays([self.ids, pa.concat_arrays(fresh).take(kept)])
+        return known, of
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """Of texts: the ids of pieces, which piece each place has, and where each text's places start.
 
         A text's first place is what comes before its first space, or all of
         an unusual text; the others are chunks.
@@ -90,24 +99,22 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _UNUSUAL)
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        starts = lists.offsets.to_numpy()
+        starts = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.dictionary_encode()
         heads = lists.values.take(pa.array(starts[:-1])).to_pylist()
         if pc.any(odd).as_py():
             heads = [t if o else h for t, o, h in zip(texts.to_pylist(), odd.to_pylist(), heads, strict=True)]
-        ids = self._looked_up(words.dictionary.to_pylist())
-        places = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        places[starts[:-1]] = len(ids) + np.arange(len(heads))
-        ids += [x.tobytes() for x in self._whole(heads)]
-        return ids, places, starts.astype(np.int64)
+        known, of = self._looked_up(words.dictionary)
+        places = of[words.indices.to_numpy()]
+        places[starts[:-1]] = sum(map(len, known)) + np.arange(len(heads))
+        return pa.concat_arrays([*known, _lists(self._whole(heads))]), places, starts
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has; a null has none."""
         if not len(texts):
             return np.empty(0, np.int64)
         ids, places, starts = self._pieces(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        return np.add.reduceat(size[places], starts[:-1])
+        return np.add.reduceat(np.diff(ids.offsets.to_numpy()).astype(np.int64)[places], starts[:-1])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.ListArray:
         """The ids of each text, followed by ``end`` if given; a null has none of its own."""
@@ -117,10 +124,9 @@ class Encoder:
         if end is not None:
             places = np.insert(places, starts[1:], len(ids))
             starts = starts + np.arange(len(starts))
-            ids = [*ids, np.array([end], "<u4").tobytes()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        flat = table.take(pa.array(places)).flatten()
+            ids = pa.concat_arrays([ids, pa.array([[end]], ids.type)])
+        size = np.diff(ids.offsets.to_numpy())
+        flat = ids.take(pa.array(places)).flatten()
         ends = np.concatenate(([0], np.cumsum(size[places])))[starts]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
 
