@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import new_path, release_memory
 from .tokens import default_tokenizer, encoder, text_slices, tokenizer_json
 
 END = 0
@@ -27,12 +27,15 @@ SCHEMA = "doc_id long, chunk int, row long, n int, ids array<int>"
 
 def _encoded(json):
     def encoded(batches):
+        release_memory()  # of the worker's earlier tasks
         own = encoder(json.value)
         for batch in batches:
             for start, texts in text_slices(batch.column("text")):
                 ids = own.encode(texts, END)
                 kept = [batch.column(c).slice(start, len(texts)) for c in ("doc_id", "chunk", "row")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(ids.offsets.to_numpy())), ids], names=["doc_id", "chunk", "row", "n", "ids"])
+                del ids, kept
+                release_memory()
 
     return encoded
 

@@ -38,3 +38,14 @@ def test_ids_are_the_tokenizer_s_whether_cached_or_not(monkeypatch):
             assert own.encode(given).to_pylist() == want
             assert own.encode(given, 0).to_pylist() == [[*x, 0] for x in want]
             assert own.lengths(given).tolist() == [len(x) for x in want]
+
+
+def test_the_token_step_gives_memory_back(monkeypatch):
+    from skyframe.llm import token_output
+
+    calls, rows = [], 50
+    monkeypatch.setattr(token_output, "release_memory", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(rows)), "text": ["a b"] * rows, "chunk": [0] * rows, "row": list(range(rows))})
+    held = type("Broadcast", (), {"value": tokenizer_json(default_tokenizer())})
+    got = list(token_output._encoded(held)([batch, batch]))
+    assert sum(b.num_rows for b in got) == 2 * rows and len(calls) >= 3
